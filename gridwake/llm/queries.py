@@ -19,6 +19,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwake.llm.toxicity import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridwake.llm.sharding import shard
 
@@ -26,6 +32,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwake.llm.jaccard_join import link_classes
+
+    return link_classes(_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwake.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("_row")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridwake.llm.token_count import token_counts
 
@@ -38,8 +56,14 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwake.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op4_sharding, op7_token_counts, op8_fingerprints)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op4_sharding, op5_jaccard_join, op6_mixing, op7_token_counts, op8_fingerprints, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
