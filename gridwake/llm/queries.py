@@ -25,6 +25,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwake.llm.html_extract import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridwake.llm.sharding import shard
 
@@ -62,8 +68,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwake.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op4_sharding, op5_jaccard_join, op6_mixing, op7_token_counts, op8_fingerprints, op9_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_html_extraction, op4_sharding, op5_jaccard_join, op6_mixing, op7_token_counts, op8_fingerprints, op9_quality, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
