@@ -391,10 +391,10 @@ def d3_top_countries(spark, d):
     return _zones(spark, d).orderBy(F.desc("mean_density"), "country").limit(20).select("country", *_r("mean_density", digits=4))
 
 
-@query("SELECT category, latitude, longitude, density, round(CAST(intensity AS DOUBLE) / CAST(max(intensity) OVER (PARTITION BY category) AS DOUBLE), 6) AS intensity_normalized FROM traffic", "traffic")
+@query("SELECT category, latitude, longitude, density, round(CAST(intensity AS DOUBLE) / CAST(max(intensity) OVER (PARTITION BY category) AS DOUBLE), 9) AS intensity_normalized FROM traffic", "traffic")
 def d4_max_normalised(spark, d):
     x = grid.normalised_by_max(fx.traffic(spark, d).withColumn("intensity", F.col("intensity").cast("double")), "intensity", ["category"], "intensity_normalized")
-    return x.select("category", "latitude", "longitude", "density", *_r("intensity_normalized"))
+    return x.select("category", "latitude", "longitude", "density", *_r("intensity_normalized", digits=9))
 
 
 def _seam(a: str, b: str, n: int, name: str) -> str:
@@ -562,11 +562,11 @@ def f9_percentile_clip(spark, d):
     return x.select("category", "row_id", "col_id", *_r("value", digits=4))
 
 
-@query(f"SELECT category, row_id, col_id, round((value - avg(value) OVER w) / stddev_pop(CAST(value AS DOUBLE)) OVER w, 5) AS z, round(value / CAST(max(value) OVER w AS DOUBLE), 6) AS share FROM pixels WHERE value <> {ND} WINDOW w AS (PARTITION BY category)", "pixels")
+@query(f"SELECT category, row_id, col_id, round((value - avg(value) OVER w) / stddev_pop(CAST(value AS DOUBLE)) OVER w, 5) + 0.0 AS z, round(value / CAST(max(value) OVER w AS DOUBLE), 6) AS share FROM pixels WHERE value <> {ND} WINDOW w AS (PARTITION BY category)", "pixels")
 def f10_normalisations(spark, d):
     v = raster.valid(fx.pixels(spark, d), ND)
     x = grid.normalised_by_max(grid.z_scores(v, "value", ["category"], "z"), "value", ["category"], "share")
-    return x.select("category", "row_id", "col_id", *_r("z", digits=5), *_r("share"))
+    return x.select("category", "row_id", "col_id", (F.round("z", 5) + 0.0).alias("z"), *_r("share"))
 
 
 @query("SELECT event_id, key, CASE json_type(props, '$.' || key) WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
