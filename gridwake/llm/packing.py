@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,41 +11,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwake.llm.common import numbered
+from gridwake.llm.common import materialize, numbered
 from gridwake.llm.token_count import in_groups, word_table
 
 WINDOW = 2048
 END_ID = 1
-#: A piece between single blanks and line feeds ends where a word of the tokenizer ends, if no other white space is next to it.
-_ODD_SPACE = re.compile(r"\s[ \n]|[ \n]\s")
+
+def _pieces(text: str) -> list[str] | None:
+    """The text cut before single blanks and around single line feeds, where words of the tokenizer end; None if it has other white space."""
+    words = text.split()
+    gaps = len(words) - 1
+    if gaps < 0 or text.count(" ") + text.count("\n") != gaps or sum(map(len, words)) + gaps != len(text) or "\0" in text:
+        return None
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
 def encode(texts: list[str], table) -> list[np.ndarray]:
     """The ids of each text. Texts in which blanks and line feeds stand alone are put together from the table's pieces."""
-    out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
+    out: list[np.ndarray] = []
     for a, b in in_groups(texts):
-        parts: dict[int, list[str]] = {}
-        whole: list[int] = []
-        for i in range(a, b):
-            t = texts[i]
-            if _ODD_SPACE.search(t) or t[:1].isspace() or t[-1:].isspace() or any(s in t for s in table.special):
-                whole.append(i)
+        cut = [None if any(s in t for s in table.special) else _pieces(t) for t in texts[a:b]]
+        distinct = set().union(*filter(None, cut))
+        if not table.ids.keys() >= distinct:
+            table.compile(distinct, keep_ids=True)
+        find = table.ids.__getitem__
+        for t, own in zip(texts[a:b], cut):
+            if own is None:
+                out.append(np.array(table.tokenizer.encode(t, add_special_tokens=False).ids, "<i4"))
             else:
-                parts[i] = t.replace("\n", " \n ").replace(" ", "\0 ").replace("\0 \n\0 ", "\0\n\0").split("\0") if "\0" not in t else []
-                if not parts[i]:
-                    whole.append(i)
-                    del parts[i]
-        for i, e in zip(whole, table.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.int32)
-        for i, own in parts.items():
-            if own == [""]:
-                continue
-            try:
-                ids = [x for p in own for x in table.ids[p]]
-            except KeyError:
-                table.compile(own, keep_ids=True)
-                ids = [x for p in own for x in table.ids[p]]
-            out[i] = np.array(ids, np.int32)
+                out.append(np.frombuffer(b"".join(map(find, own)), "<i4"))
     return out
 
 
@@ -159,7 +152,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    cut = pieces(docs, vocabulary, window, end_id, keep_ids, id_col, text_col)
+    # Written first: a range shuffle reads its input twice, and texts are to be tokenized once.
+    cut = materialize(pieces(docs, vocabulary, window, end_id, keep_ids, id_col, text_col))
     placed = numbered(cut, [F.desc("length"), F.asc("doc_id"), F.asc("start"), F.asc("ids_crc32")])
     counts = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `window` rows at most
     plan, before, seen = best_fit_plan(counts, window), {}, 0
