@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from gridwake.llm.common import materialize
 
-# The characters whose frequencies the classifier reads.
-CHARACTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåçéèêëíìîïñóòôöõøúùûüýßœæ"
-SHARPNESS = 60.0  # the classifier's log odds count as those of so many characters at most
+# Strings whose frequencies the classifier reads; each tells some of the domains' languages apart.
+STRINGS = ["th", "w", "k", "ou", "qu", "ei", "ch", "un", "ci", "os", "ñ", "ç", "ß", "ä", "ö", "ü", "é", "è", "ó", "í"]
+SHARPNESS = 400.0  # the classifier's log odds count as those of so many bytes at most
 PENALTY = 1e-3
 STEPS = 60
 TOLERANCE = 1e-3
@@ -25,12 +25,15 @@ TOLERANCE = 1e-3
 TARGETS = {"en": 0.55, "fr": 0.17, "de": 0.15, "es": 0.13}
 
 
-def _letters(text: Column) -> Column:
-    """The number of each of CHARACTERS and, last, of all of them."""
+def _counts(text: Column) -> Column:
+    """How often each of STRINGS occurs and, last, the text's bytes. Lengths in bytes are at hand, so a string costs one replacement."""
     low = F.lower(text)
-    # After this, a text's length shrinks only by the character taken out.
-    counts = [F.length(low) - F.length(F.translate(low, c, "")) for c in CHARACTERS]
-    return F.array(*[c.cast("double") for c in counts])
+    found = [(F.octet_length(low) - F.octet_length(F.replace(low, F.lit(s), F.lit("")))) / len(s.encode()) for s in STRINGS]
+    return F.array(*[c.cast("double") for c in found], F.octet_length(low).cast("double"))
+
+
+def row_key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"], docs["text"])
 
 
 def tokens(text: Column) -> Column:
@@ -39,29 +42,28 @@ def tokens(text: Column) -> Column:
 
 
 def features(docs: DataFrame, domain_col: str, labelled: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, letters, domain), materialised: domain is null where the row has no label."""
+    """(doc_id, row_key, n_tokens, counts, domain), materialised: domain is null where the row has no label."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    x = docs.select("doc_id", tokens(text).alias("n_tokens"), _letters(text).alias("letters"), F.col(domain_col).cast("string").alias("_domain"))
+    x = docs.select("doc_id", row_key(docs).alias("row_key"), tokens(text).alias("n_tokens"), _counts(text).alias("counts"), F.col(domain_col).cast("string").alias("_domain"))
     known = labelled.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("_known", F.lit(True))
-    x = x.withColumn("_row", F.xxhash64("doc_id", "n_tokens", "letters"))
-    return materialize(x.join(known, "doc_id", "left").select("doc_id", "n_tokens", "letters", "_row", F.when(F.col("_known"), F.col("_domain")).alias("domain")))
+    return materialize(x.join(known, "doc_id", "left").select("doc_id", "row_key", "n_tokens", "counts", F.when(F.col("_known"), F.col("_domain")).alias("domain")))
 
 
 def posteriors(x: DataFrame, domains: list[str]) -> DataFrame:
-    """Add p, an array of one posterior for each domain, by multinomial naive Bayes over letters."""
-    k = len(CHARACTERS)
-    sums = x.where(F.col("domain").isin(domains)).groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.element_at("letters", i + 1)).alias(f"c{i}") for i in range(k)]).collect()  # a row for each domain
+    """Add p, an array of one posterior for each domain, by naive Bayes with Poisson counts per byte."""
+    k = len(STRINGS)
+    sums = x.where(F.col("domain").isin(domains)).groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.element_at("counts", i + 1)).alias(f"c{i}") for i in range(k + 1)]).collect()  # a row for each domain
     found = {r["domain"]: r for r in sums}
     rows = sum(r["n"] for r in sums)
-    total = F.aggregate("letters", F.lit(0.0), lambda a, c: a + c)
-    scale = F.least(F.lit(1.0), F.lit(SHARPNESS) / F.greatest(total, F.lit(1.0)))
+    size = F.element_at("counts", -1)
+    scale = F.least(F.lit(1.0), F.lit(SHARPNESS) / F.greatest(size, F.lit(1.0)))
     logits = []
     for d in domains:
         r = found.get(d)
-        n = [(r[f"c{i}"] if r else 0.0) + 1.0 for i in range(k)]
-        weights = F.array(*[F.lit(math.log(v / sum(n))) for v in n])
+        rates = [((r[f"c{i}"] if r else 0.0) + 0.5) / ((r[f"c{k}"] if r else 0.0) + 1000.0) for i in range(k)]
+        weights = F.array(*[F.lit(math.log(v)) for v in rates], F.lit(-sum(rates)))
         prior = math.log(((r["n"] if r else 0) + 1.0) / (rows + len(domains)))
-        logits.append(F.lit(prior) + scale * F.aggregate(F.zip_with("letters", weights, lambda c, w: c * w), F.lit(0.0), lambda a, v: a + v))
+        logits.append(F.lit(prior) + scale * F.aggregate(F.zip_with("counts", weights, lambda c, w: c * w), F.lit(0.0), lambda a, v: a + v))
     x = x.withColumn("_z", F.array(*logits))
     x = x.withColumn("_e", F.transform("_z", lambda v: F.exp(v - F.array_max("_z"))))
     return x.withColumn("p", F.transform("_e", lambda v: v / F.aggregate("_e", F.lit(0.0), lambda a, w: a + w))).drop("_z", "_e")
@@ -116,7 +118,7 @@ def fit_rates(x: DataFrame, targets: dict[str, float], total: float | None = Non
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain_col: str = "lang", total: float | None = None, seed: int = 0) -> DataFrame:
-    """A rate and a number of copies for every document: (doc_id, n_tokens, domain, posterior, rate, copies).
+    """A rate and a number of copies for every document: (doc_id, row_key, n_tokens, domain, posterior, rate, copies).
 
     The classifier learns `domain_col` from the documents that the labelled table lists; domain is the likeliest, posterior its
     probability. copies is the rate rounded up or down by a hash of the row, so that its expectation is the rate.
@@ -126,17 +128,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """
     targets = TARGETS if targets is None else targets
     domains = sorted(targets)
-    x = materialize(posteriors(features(docs, domain_col, labels), domains).drop("letters"))
+    x = materialize(posteriors(features(docs, domain_col, labels), domains).drop("counts"))
     r = fit_rates(x, targets, total)
     r = r.withColumn("posterior", F.array_max("p")).withColumn("domain", F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("p", F.col("posterior")).cast("int")))
-    chance = F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return r.select("doc_id", "_row", F.col("n_tokens").cast("long").alias("n_tokens"), "domain", "posterior", "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long").alias("copies"))
+    chance = F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return r.select("doc_id", "row_key", F.col("n_tokens").cast("long").alias("n_tokens"), "domain", "posterior", "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The documents as the mix takes them: each as often as its copies say. Columns are those of docs."""
     fit = mix(docs, labels, **settings)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", tokens(text), _letters(text)))
-    taken = fit.where("copies > 0").groupBy(F.col("_row").alias("_key")).agg(F.max("copies").alias("_copies"))
+    taken = fit.where("copies > 0").groupBy(F.col("row_key").alias("_key")).agg(F.max("copies").alias("_copies"))
+    keyed = docs.withColumn("_row", row_key(docs))
     return keyed.join(taken, F.col("_row") == F.col("_key")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
