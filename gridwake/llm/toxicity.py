@@ -32,6 +32,7 @@ CONTRAST = 6.0  # how many times as many contexts a typical window has in toxic
 LEAST_CONTEXTS = 4
 TYPICAL = 1024
 COMMON = 4096
+MISS_COST = 4.0  # a toxic document that passes weighs as much as so many clean ones rejected
 GAIN = 2  # bytes by which a window must be shorter to count
 WINDOWS_KEPT = 500_000
 
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
         got.append(_evidence(rows.where(F.col("fold") != fold), contents, ["toxic"]).toPandas())  # two numbers for each sampled row
     seen = pd.concat(got, ignore_index=True)
     y = seen["toxic"].to_numpy(np.float64)
-    weight = np.where(y == 1, sizes.get(1, 0) / n[1], sizes.get(0, 0) / n[0])
+    weight = np.where(y == 1, MISS_COST * sizes.get(1, 0) / n[1], sizes.get(0, 0) / n[0])
     slope, intercept = _logistic(seen["evidence"].to_numpy(), y, weight) if len(seen) else (0.0, -30.0)
     return dictionaries(*_lists(counts, None, n[0] / n[1])), slope, intercept
 
