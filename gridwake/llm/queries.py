@@ -47,7 +47,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridwake.llm.mixing import mix
 
-    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("_row")
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("row_key")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +78,34 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_html_extraction, op4_sharding, op5_jaccard_join, op6_mixing, op7_token_counts, op8_fingerprints, op9_quality, op10_embedding_dedup)}
 
 
+_REACH = """, pair AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach(id, root) AS (SELECT id, id FROM ids UNION SELECT pair.b, root FROM reach JOIN pair ON reach.id = pair.a), low AS (SELECT id, min(root) AS root FROM reach GROUP BY id), links AS (SELECT a AS id, count(*) AS n FROM pair GROUP BY a)"""
+
+OP3 = r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<br>', ' '), '</?(?:p|h1)>') AS parts FROM pages),
+b AS (SELECT page_id, url, [trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) FOR x IN parts] AS parts FROM a),
+t AS (SELECT page_id, url, array_to_string([x FOR x IN parts IF x <> ''], chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t"""
+
+OP5 = (
+    r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE i * 10 >= 8 * (x.n + y.n - i)), ids AS (SELECT doc_id AS id FROM documents)"""
+    + _REACH
+    + " SELECT low.id AS doc_id, root AS class_id, coalesce(n, 0) AS n_links FROM low LEFT JOIN links USING (id)"
+)
+
+OP10 = (
+    """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.95), ids AS (SELECT vec_id AS id FROM v)"""
+    + _REACH
+    + " SELECT low.id AS vec_id, coalesce(n, 0) AS n_links, root AS component_id, low.id = root AS kept FROM low LEFT JOIN links USING (id)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express: the pages' known markup, and exact joins with components by recursion."""
+    return {"op3_html_extraction": OP3, "op5_jaccard_join": OP5, "op10_embedding_dedup": OP10}
