@@ -23,7 +23,7 @@ def require_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED, source:
 
 def read_categories(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """One frame of all categories' CSV files, with their category; rows with too few fields are dropped."""
-    frames = [spark.read.schema(TRAFFIC_FIELDS).option("header", True).option("mode", "DROPMALFORMED").csv(p).withColumn("category", F.lit(c)) for c, p in paths.items()]
+    frames = [spark.read.schema(TRAFFIC_FIELDS).option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False).csv(p).withColumn("category", F.lit(c)) for c, p in paths.items()]
     return reduce(DataFrame.unionByName, frames)
 
 
