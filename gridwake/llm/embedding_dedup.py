@@ -18,6 +18,7 @@ BLOCKS = 2  # E8 points in a key
 PROBES = 4  # cells that a vector looks into in each table, its own among them
 SCALE = 0.6  # lattice units to the standard deviation that a unit vector's projection has
 BLOCK_ROWS = 2048
+BIN_ROWS = 4000  # small cells are verified many at a time
 SEED = 8
 
 
@@ -93,37 +94,48 @@ def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return v / np.where(good, norm, 1)[:, None], good
 
 
-def linked(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Verified links in one cell or between two blocks of one: (vec_id, links, low).
+def _cell_links(key: int, table: int, ids: np.ndarray, copies: np.ndarray, home: np.ndarray, side: np.ndarray, v: np.ndarray, cells: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links and smallest linked ids of the nodes of one cell, or of a pair of its blocks.
 
-    A pair can meet in several cells. It counts in the one with the least key of all in which it meets, which both
-    vectors' key lists tell, so that nothing has to be compared across tasks.
+    A pair can meet in several cells. It counts in the first table in which it meets, there in the smaller key; both nodes' cells
+    tell, so that nothing has to be compared across tasks.
     """
-    here = int(pdf["key"].iat[0])
-    ids, copies, home, side = (pdf[c].to_numpy(np.int64) for c in ("vec_id", "copies", "home", "side"))
-    v, _ = unit(pdf["embedding"].tolist())
-    near = (v @ v.T >= threshold - 1e-12) & (ids[:, None] != ids[None, :]) & ((home[:, None] + home[None, :]) > 0)
+    near = (v @ v.T >= threshold - 1e-12) & (ids[:, None] != ids[None, :]) & (home[:, None] | home[None, :])
     if side.max() > side.min():
         near &= side[:, None] != side[None, :]
-    a, b = np.nonzero(np.triu(near))
-    if len(a):
-        all_keys = [np.asarray(x, np.int64) for x in pdf["cells"]]
-        probes = pdf["probes"].iat[0]
-        least = {}
-        for i, j in zip(a.tolist(), b.tolist()):
-            x, y = all_keys[i], all_keys[j]
-            met = min(np.intersect1d(x[::probes], y).min(initial=np.iinfo(np.int64).max), np.intersect1d(y[::probes], x).min(initial=np.iinfo(np.int64).max))
-            if met != here:
-                least[i, j] = True
-        for i, j in least:
-            near[i, j] = near[j, i] = False
+    if near.any():
+        for t in range(table + 1):
+            own = cells[:, t, 0]
+            looks = (own[:, None, None] == cells[None, :, t, :]).any(axis=2)  # the row's own cell is among the column's
+            if t < table:
+                near &= ~(looks | looks.T)
+            else:
+                low = np.minimum(own[:, None], own[None, :])
+                near &= np.where(looks & looks.T, low, np.where(looks, own[:, None], own[None, :])) == key
     low = ids.copy()
     while True:
         nxt = np.minimum(low, np.where(near, low[None, :], np.iinfo(np.int64).max).min(axis=1))
         if (nxt == low).all():
-            break
+            return near.astype(np.int64) @ copies, low
         low = nxt
-    return pd.DataFrame({"vec_id": ids, "links": near.astype(np.int64) @ copies, "low": low})
+
+
+def linked(pdf: pd.DataFrame, threshold: float, tables: int, probes: int) -> pd.DataFrame:
+    """Verified links (vec_id, links, low) within the cells of a bin."""
+    pdf = pdf.sort_values("key", kind="stable")
+    key, table, ids, copies, home, side = (pdf[c].to_numpy(np.int64) for c in ("key", "table", "vec_id", "copies", "home", "side"))
+    v, _ = unit(pdf["embedding"].tolist())
+    cells = np.array(pdf["cells"].tolist(), np.int64).reshape(len(pdf), tables, probes)
+    cuts = np.flatnonzero(np.diff(key)) + 1
+    out = []
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+        w = slice(a, b)
+        links, low = _cell_links(int(key[a]), int(table[a]), ids[w], copies[w], home[w] > 0, side[w], v[w], cells[w], threshold)
+        some = links > 0
+        if some.any():
+            out.append((ids[w][some], links[some], low[some]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
+    return pd.DataFrame(dict(zip(("vec_id", "links", "low"), columns)))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
@@ -156,15 +168,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     fields = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("embedding", kind), T.StructField("cells", T.ArrayType(T.LongType()))])
     indexed = materialize(nodes.select("vec_id", "copies", "embedding").mapInPandas(index, fields))
     placed = indexed.select("vec_id", F.posexplode("cells").alias("at", "key"))
-    placed = placed.select("vec_id", "key", (F.col("at") % probes == 0).cast("long").alias("home")).groupBy("key", "vec_id").agg(F.max("home").alias("home"))
+    placed = placed.select("vec_id", "key", F.floor(F.col("at") / probes).cast("long").alias("table"), (F.col("at") % probes == 0).cast("long").alias("home")).groupBy("key", "vec_id").agg(F.max("home").alias("home"), F.min("table").alias("table"))
     cells = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum("home").alias("homes")).where("n > 1 and homes > 0")
     met = materialize(placed.join(cells.select("key", "n"), "key"))
     parts = met.withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS)).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("p"), F.greatest(i, F.col("part")).alias("q")))
-    x = parts.select("vec_id", "key", "home", "part", F.explode(pairs).alias("pair")).join(indexed, "vec_id")
-    x = x.select("vec_id", "copies", "embedding", "cells", "key", "home", F.lit(probes).alias("probes"), "pair.p", "pair.q", (F.col("part") == F.col("pair.q")).cast("long").alias("side"))
-    found = x.groupBy("key", "p", "q").applyInPandas(lambda pdf: linked(pdf, threshold), "vec_id long, links long, low long")
-    found = materialize(found.where("links > 0"))
+    bins = max(1, met.count() // BIN_ROWS)
+    bin_of = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key"))
+    x = parts.select("vec_id", "key", "table", "home", "part", (F.col("parts") == 1).alias("small"), bin_of.alias("bin"), F.explode(pairs).alias("pair")).join(indexed, "vec_id")
+    x = x.select("vec_id", "copies", "embedding", "cells", "key", "table", "home", "small", "bin", "pair.p", "pair.q", (F.col("part") == F.col("pair.q")).cast("long").alias("side"))
+    found = materialize(x.groupBy("small", "bin", "p", "q").applyInPandas(lambda pdf: linked(pdf, threshold, tables, probes), "vec_id long, links long, low long"))
     near = components(found.select(F.col("vec_id").alias("a"), F.col("low").alias("b")))
     per_node = found.groupBy("vec_id").agg(F.sum("links").alias("links")).join(near, F.col("vec_id") == F.col("node"), "left").select(F.col("vec_id").alias("rep"), "links", "root")
     classes = nodes.select("h1", "h2", F.col("vec_id").alias("rep"), "copies").join(per_node, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
