@@ -9,10 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _DONE: set[str] = set()
+#: Rows hold whole texts, some very long: batches of Spark's default of 10,000 rows take hundreds of megabytes in a worker.
+BATCH_ROWS = 1000
 
 
 def to_executors(spark: SparkSession) -> None:
-    """Send this package as a zip file to all executors, once for each application."""
+    """Send this package as a zip file to all executors, once for each application, and bound the session's Arrow batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _DONE:
         return
