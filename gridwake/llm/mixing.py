@@ -19,6 +19,7 @@ from gridwake.llm.common import materialize
 STRINGS = ["th", "w", "k", "ou", "qu", "ei", "ch", "un", "ci", "os", "ñ", "ç", "ß", "ä", "ö", "ü", "é", "è", "ó", "í"]
 SHARPNESS = 400.0  # the classifier's log odds count as those of so many bytes at most
 PENALTY = 1e-3
+LEAST_SHARE = 0.5  # of the corpus' tokens that a mix without a set total takes at least
 STEPS = 60
 TOLERANCE = 1e-3
 # A mix of languages that the test tables' domains can give.
@@ -49,11 +50,12 @@ def features(docs: DataFrame, domain_col: str, labelled: DataFrame) -> DataFrame
     return materialize(x.join(known, "doc_id", "left").select("doc_id", "row_key", "n_tokens", "counts", F.when(F.col("_known"), F.col("_domain")).alias("domain")))
 
 
-def posteriors(x: DataFrame, domains: list[str]) -> DataFrame:
-    """Add p, an array of one posterior for each domain, by naive Bayes with Poisson counts per byte."""
+def posteriors(x: DataFrame, domains: list[str]) -> tuple[DataFrame, list[str]]:
+    """Add p, an array of one posterior for each domain that has labelled rows, by naive Bayes with Poisson counts per byte; and those domains."""
     k = len(STRINGS)
     sums = x.where(F.col("domain").isin(domains)).groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.element_at("counts", i + 1)).alias(f"c{i}") for i in range(k + 1)]).collect()  # a row for each domain
     found = {r["domain"]: r for r in sums}
+    domains = [d for d in domains if d in found] or domains
     rows = sum(r["n"] for r in sums)
     size = F.element_at("counts", -1)
     scale = F.least(F.lit(1.0), F.lit(SHARPNESS) / F.greatest(size, F.lit(1.0)))
@@ -66,7 +68,7 @@ def posteriors(x: DataFrame, domains: list[str]) -> DataFrame:
         logits.append(F.lit(prior) + scale * F.aggregate(F.zip_with("counts", weights, lambda c, w: c * w), F.lit(0.0), lambda a, v: a + v))
     x = x.withColumn("_z", F.array(*logits))
     x = x.withColumn("_e", F.transform("_z", lambda v: F.exp(v - F.array_max("_z"))))
-    return x.withColumn("p", F.transform("_e", lambda v: v / F.aggregate("_e", F.lit(0.0), lambda a, w: a + w))).drop("_z", "_e")
+    return x.withColumn("p", F.transform("_e", lambda v: v / F.aggregate("_e", F.lit(0.0), lambda a, w: a + w))).drop("_z", "_e"), domains
 
 
 def _dot(p: Column, values: Column) -> Column:
@@ -84,8 +86,8 @@ def _rate(p: Column, start: float, steps: list[list[float]], penalty_step: float
 def fit_rates(x: DataFrame, targets: dict[str, float], total: float | None = None) -> DataFrame:
     """Add rate to rows with n_tokens and p so that the domains' expected tokens match their shares of `total`.
 
-    Without a total, the largest is taken at which no domain needs more than its expected tokens once over.
-    Domains without any tokens are left out of the fit.
+    Without a total, the largest is taken at which no domain needs more than its expected tokens once over, but not less than
+    LEAST_SHARE of all tokens: rarer domains are then repeated. Domains without any tokens are left out of the fit.
     """
     domains = sorted(targets)
     weight = sum(targets.values()) or 1.0
@@ -97,7 +99,7 @@ def fit_rates(x: DataFrame, targets: dict[str, float], total: float | None = Non
     use = [i for i in range(len(domains)) if have[i] > 0 and share[i] > 0]
     if not use:
         return x.withColumn("rate", F.lit(0.0))
-    goal = total if total is not None else min(have[i] / share[i] for i in use)
+    goal = total if total is not None else max(min(have[i] / share[i] for i in use), LEAST_SHARE * sum(have))
     wanted = [goal * share[i] for i in range(len(domains))]
     unit = [have[i] if have[i] > 0 else 1.0 for i in range(len(domains))]
     # Rates are preconditioned by their tokens and totals are measured in what each domain has, so that the step is 1 / the largest row sum.
@@ -124,12 +126,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     probability. copies is the rate rounded up or down by a hash of the row, so that its expectation is the rate.
 
     Null and empty texts have no tokens and get the starting rate of their prior. Rows with a null doc_id count and get
-    rates; repeated rows get equal ones. Labelled domains outside the targets teach nothing. An empty table gives no rows.
+    rates; repeated rows get equal ones. Labelled domains outside the targets teach nothing, and targets without labelled rows are left
+    out, the others' shares growing in proportion. An empty table gives no rows.
     """
     targets = TARGETS if targets is None else targets
     domains = sorted(targets)
-    x = materialize(posteriors(features(docs, domain_col, labels), domains).drop("counts"))
-    r = fit_rates(x, targets, total)
+    x, domains = posteriors(features(docs, domain_col, labels), domains)
+    x = materialize(x.drop("counts"))
+    r = fit_rates(x, {d: targets[d] for d in domains}, total)
     r = r.withColumn("posterior", F.array_max("p")).withColumn("domain", F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("p", F.col("posterior")).cast("int")))
     chance = F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return r.select("doc_id", "row_key", F.col("n_tokens").cast("long").alias("n_tokens"), "domain", "posterior", "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long").alias("copies"))
