@@ -59,6 +59,11 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     return x.join(heads, ["doc_id", "key"]).select("doc_id", "key", "text", F.concat(F.expr("left(text, length(text) - third)"), F.col("head")).alias("edited"), "next_id", "next_key")
 
 
+def _apart(buckets: DataFrame) -> DataFrame:
+    """The buckets, so that a join shuffles both its sides anew: adaptive execution can then split the rows of a hot bucket."""
+    return buckets.withColumn("bucket", F.concat("bucket", F.lit("")))
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """For every document its fingerprint, that of its edited text, and how alike they and the next document's are.
 
@@ -71,9 +76,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     digests = canon.select("doc_id", "key", "next_id", "next_key", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), bucket(F.col("c0")).alias("b0"), bucket(F.col("c1")).alias("b1"), F.sha2("c0", 256).alias("s0"), F.sha2("c1", 256).alias("s1"))
     placed = digests.select("doc_id", "key", F.posexplode(F.array("b0", "b1")).alias("kind", "bucket"))
     shared = placed.groupBy("bucket").count().where("count > 1").select("bucket")
-    wanted = placed.join(shared, "bucket", "left_semi")
+    wanted = placed.join(_apart(shared), "bucket", "left_semi")
     texts = both.join(wanted, ["doc_id", "key"]).select("bucket", canonical(F.when(F.col("kind") == 0, F.col("text")).otherwise(F.col("edited"))).alias("canon"))
-    bad = clashes(texts)
+    bad = _apart(clashes(texts))
     exact = lambda b, s, bad_col: F.when(F.col(bad_col).isNotNull(), F.concat_ws("-", b, s)).otherwise(F.col(b))
     done = digests.join(bad.select(F.col("bucket").alias("b0"), F.lit(1).alias("bad0")), "b0", "left").join(bad.select(F.col("bucket").alias("b1"), F.lit(1).alias("bad1")), "b1", "left")
     done = materialize(done.select("doc_id", "key", "next_id", "next_key", "n_chars", "edited_sha256", exact("b0", "s0", "bad0").alias("fingerprint"), exact("b1", "s1", "bad1").alias("edited_fingerprint")))
