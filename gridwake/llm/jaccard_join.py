@@ -21,7 +21,7 @@ RECALL = 0.9995
 BLOCK_ROWS = 1024
 BLOCK_CHARS = 6_000_000
 STRIP = 4096
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
 
 _WORD = re.compile(r"\w+")
 _M = np.uint64(0x9E3779B97F4A7C15)

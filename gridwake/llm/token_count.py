@@ -30,7 +30,7 @@ BEFORE, BACK = 1, 2  # a boundary before this character; one before the previous
 WHITE = [9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CHUNK = 512
 BATCH_CHARS = 2_000_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 
 
 def compile_splitter() -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ TYPICAL = 1024
 COMMON = 4096
 MISS_COST = 4.0  # a toxic document that passes weighs as much as so many clean ones rejected
 GAIN = 2  # bytes by which a window must be shorter to count
-WINDOWS_KEPT = 500_000
+WINDOWS_KEPT = 150_000
 
 _WORD = re.compile(r"\w+")
 
