@@ -1,37 +1,43 @@
 """Quality filter: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Text is read as a short alphabet: frequent words of its language, the shape of other words, runs of punctuation,
-line ends, and a mark for a word that repeats the one before. The trigram counts are taken and joined across orders in
-Spark; the finished model is as large as the alphabet allows, whatever the corpus, and goes to the scoring tasks as sorted arrays.
+Text is read twice: as its words, numbers as one symbol, and as the shapes of its words, both with runs of punctuation, line
+ends and a mark for a word that repeats the one before. Words tell gibberish, shapes tell layout and repetition. The trigrams of all trusted documents are counted, smoothed and joined across orders in Spark, with every word a
+symbol of its own. In logarithms the model is a sum of one weight for each n-gram, so a document's score is one join of its
+counted n-grams with the weights; n-grams that are frequent, at most 1 / HOT of an order and language, are looked up in the map tasks.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwake.llm.common import materialize
 
-FREQUENT = 0.002  # share of a language's trusted words from which a word is a symbol of its own
-TRUSTED_ROWS = 6000  # trusted documents of each language that the model is fitted on
+HOT = 0.0001  # share of a language's counts from which an n-gram's weight is sent to the scoring tasks
 QUANTILE = 0.99
 MARGIN = 1.25
 PRIOR_TOKENS = 40  # weight of the language's mean in a document's score
-MODEL_BYTES = 256 << 20
+CHUNK_TOKENS = 200_000  # symbols handled at once in a task
+CACHED_WORDS = 100_000
 CALIBRATION = 4  # one trusted document in so many sets the thresholds and teaches nothing
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+|\n")
-_PAD = "<s>"
+_PAD, _END = "<s>", "</s>"
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+_SHAPES = "\0shapes"  # what follows the name of a language for its model of shapes
 
 
 def shape(word: str) -> str:
-    """The symbol of a word that isn't frequent."""
     if word.islower():
         return "<long>" if len(word) > 16 else "<low>"
     if word.isdigit():
@@ -41,55 +47,112 @@ def shape(word: str) -> str:
     return "<cap>" if word.istitle() else "<mix>"
 
 
-def symbols(text: str, frequent: frozenset[str] | set[str]) -> list[str]:
-    """The text in the model's alphabet."""
-    out, last = [], None
+def symbols(text: str) -> tuple[list[str], list[str]]:
+    """The text in the symbols of each reading: words, shapes."""
+    words, shapes, last = [], [], None
     for token in _TOKEN.findall(text):
         if token[0].isalnum() or token[0] == "_":
             if token == last:
-                out.append("<again>")
-            elif token in frequent:
-                out.append(token)
+                words.append("<again>")
+                shapes.append("<again>")
             else:
-                out.append(shape(token))
+                kind = shape(token)
+                words.append(kind if kind == "<num>" else token)
+                shapes.append(kind)
             last = token
         else:
-            out.append(token if len(token) < 4 else token[:1] + "<run>")
-    return out
+            mark = token if len(token) < 4 else token[:1] + "<run>"
+            words.append(mark)
+            shapes.append(mark)
+    return words, shapes
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def hashed(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of long columns."""
+    h = np.full(len(columns[0]), 42, np.uint64)
+    for x in columns:
+        h = h + _P5 + np.uint64(8)
+        h = _rotated(h ^ (_rotated(x.view(np.uint64) * _P2, 31) * _P1), 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+class _Codes(dict):
+    """64-bit codes of one language's symbols."""
+
+    def __init__(self, lang: str) -> None:
+        self.key = blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+    def __missing__(self, symbol: str) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        code = int.from_bytes(blake2b(symbol.encode("utf-8", "surrogatepass"), digest_size=8, key=self.key).digest(), "little", signed=True)
+        self[symbol] = code
+        return code
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str], np.ndarray, np.ndarray]]:
+    """(ids, models, codes of the padded texts, row of each code) of some rows at a time.
+
+    A text has a row for each reading; the id is twice its own, and one more for shapes.
+    """
+    codes: dict[str, _Codes] = {}
+    rids, langs, parts, size = [], [], [], 0
+
+    def taken():
+        return rids, langs, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+    for batch in batches:
+        for rid, lang, text in zip(batch["rid"].to_pylist(), batch["lang"].to_pylist(), batch["text"]):
+            for reading, s in enumerate(symbols(text.as_py())):
+                name = lang + _SHAPES if reading else lang
+                own = codes.setdefault(name, _Codes(name))
+                full = [_PAD, _PAD, *s, _END] if s else []
+                rids.append(2 * rid + reading)
+                langs.append(name)
+                parts.append(np.fromiter((own[x] for x in full), np.int64, len(full)))
+                size += len(full)
+            if size >= CHUNK_TOKENS:
+                yield taken()
+                rids, langs, parts, size = [], [], [], 0
+    if parts:
+        yield taken()
 
 
 def _sets_thresholds(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(11)), F.lit(CALIBRATION)) == 0
 
 
-def _trusted(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """A bounded, reproducible sample of the trusted documents of each language: those with the least hash of the id."""
+def _text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All trusted documents but those that set the thresholds."""
     good = labels.where("quality = 1").where(~_sets_thresholds(F.col("doc_id"))).select("doc_id").distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = docs.select("doc_id", "lang").join(good, "doc_id").where(F.col("doc_id").isNotNull())
-    # An even hash cut comes first, so that the window sorts few rows whatever a language's share of the corpus.
-    sizes = few.groupBy("lang").agg(F.count("*").alias("_n"))
-    cut = few.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) <= F.least(F.lit(1.0), F.lit(2.0) * rows / F.col("_n")) * (1 << 30))
-    picked = materialize(cut.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows).select("doc_id"))
-    return docs.join(F.broadcast(picked), "doc_id", "left_semi")  # `rows` ids for each language
-
-
-def _counted(batches: Iterator[pd.DataFrame], frequent: dict[str, frozenset[str]] | None) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        found: dict[str, Counter] = {}
-        for lang, text in zip(pdf["lang"], pdf["text"]):
-            c = found.setdefault(lang, Counter())
-            if frequent is None:
-                c.update(w for w in _TOKEN.findall(text) if w[0].isalpha())
-            else:
-                s = [_PAD, _PAD, *symbols(text, frequent.get(lang, frozenset()))]
-                c.update(zip(s, s[1:], s[2:]))
-        rows = [(lang, *(k if frequent is not None else (k,)), n) for lang, c in found.items() for k, n in c.items()]
-        yield pd.DataFrame(rows, columns=["lang", *("u", "v", "w")[0 if frequent is not None else 2 :], "c"])
+    return _text(docs).join(good, "doc_id", "left_semi").select("rid", "lang", "text")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, langs, x, row in _chunks(batches):
+        at = np.flatnonzero(row[2:] == row[:-2])
+        if not len(at):
+            continue
+        _, first, n = np.unique(hashed(x[at], x[at + 1], x[at + 2]), return_index=True, return_counts=True)
+        at = at[first]
+        yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in row[at]], pa.string()), *(pa.array(x[at + i]) for i in range(3)), pa.array(n.astype(np.int64))], names=["lang", "u", "v", "w", "c"])
 
 
 def _smoothed(grams: DataFrame, context: list[str], lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """One order of modified Kneser-Ney: (lang, *context, w, p) and (lang, *context, gamma).
+    """One order of modified Kneser-Ney: (lang, *context, w, c, p, weight) and (lang, *context, c, gamma).
+
+    The weight is the logarithm of p over what the n-gram would have if it weren't counted, gamma times the lower order's p.
 
     grams has (lang, *context, w, c). The three discounts of each language come from its counts of counts.
     """
@@ -103,34 +166,76 @@ def _smoothed(grams: DataFrame, context: list[str], lower: DataFrame | None) ->
 
     d = F.broadcast(stats.select("lang", discount(1), discount(2), discount(3)))  # a row for each language
     taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    x = grams.join(d, "lang").withColumn("_d", taken)
     keys = ["lang", *context]
+    x = grams.join(d, "lang").select(*keys, "w", "c", taken.alias("_d"))
     sums = x.groupBy(*keys).agg(F.sum("c").alias("_total"), (F.sum("_d") / F.sum("c")).alias("gamma"))
+    if context:
+        sums = materialize(sums)
     own = x.join(sums, keys).withColumn("_own", (F.col("c") - F.col("_d")) / F.col("_total"))
     if lower is None:
         vocabulary = grams.groupBy("lang").agg((F.count("*") + 1).alias("_v"))
-        p = own.join(F.broadcast(vocabulary), "lang").withColumn("p", F.col("_own") + F.col("gamma") / F.col("_v"))
+        p = own.join(F.broadcast(vocabulary), "lang").withColumn("_p", 1 / F.col("_v"))
     else:
-        p = own.join(lower.select("lang", *context[1:], "w", F.col("p").alias("_p")), ["lang", *context[1:], "w"]).withColumn("p", F.col("_own") + F.col("gamma") * F.col("_p"))
-    return p.select(*keys, "w", "p"), sums.select(*keys, "gamma")
+        p = own.join(lower.select("lang", *context[1:], "w", F.col("p").alias("_p")), ["lang", *context[1:], "w"])
+    below = F.col("gamma") * F.col("_p")
+    return p.select(*keys, "w", "c", (F.col("_own") + below).alias("p"), F.log1p(F.col("_own") / below).alias("weight")), sums.select(*keys, F.col("_total").alias("c"), "gamma")
 
 
 class Model:
-    """The smoothed tables as arrays sorted by key, for scoring many tokens at once."""
-
-    def __init__(self, frequent: dict[str, frozenset[str]], tables: list[tuple[pd.DataFrame, pd.DataFrame]]) -> None:
-        self.frequent = frequent
-        names = sorted({x for p, _ in tables for x in p["w"]} | {_PAD})
-        self.ids = {w: i + 1 for i, w in enumerate(names)}
-        self.langs = {x: i + 1 for i, x in enumerate(sorted(frequent))}
-        self.n = len(names) + 1
-        self.p, self.gamma = [], []
-        for order, (p, g) in enumerate(tables):
-            context = ["u", "v"][2 - order :]
-            self.p.append(self._sorted(p, [*context, "w"], "p"))
-            self.gamma.append(self._sorted(g, context, "gamma"))
-        v = {lang: len(tables[0][0][tables[0][0]["lang"] == lang]) + 1 for lang in frequent}
-        self.unseen = {lang: 1.0 / v[lang] for lang in frequent}
+    """The smoothed tables of the three orders, and the weights of their n-grams."""
+
+    def __init__(self, tables: list[tuple[DataFrame, DataFrame]]) -> None:
+        self.tables = tables
+
+    @cached_property
+    def unseen(self) -> dict[str, float]:
+        """Logarithm of the probability of a symbol without any count, by language."""
+        (p, g), _, _ = self.tables
+        v = p.groupBy("lang").agg((F.count("*") + 1).alias("_v"))
+        return {r["lang"]: float(r["x"]) for r in v.join(g, "lang").select("lang", F.log(F.col("gamma") / F.col("_v")).alias("x")).collect()}  # a row for each language
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        """(key, lang, n, c, weight): what an n-gram adds as an n-gram and as a context; a key has a row for each of the two."""
+        (p1, _), (p2, g2), (p3, g3) = self.tables
+
+        def rows(t: DataFrame, names: list[str], weight: Column) -> DataFrame:
+            return t.select(F.xxhash64(*names).alias("key"), "lang", F.lit(len(names)).alias("n"), F.col("c").cast("long").alias("c"), weight.alias("weight"))
+
+        parts = [rows(p1, ["w"], F.col("weight")), rows(g2, ["v"], F.log("gamma")), rows(p2, ["v", "w"], F.col("weight")), rows(g3, ["u", "v"], F.log("gamma")), rows(p3, ["u", "v", "w"], F.col("weight"))]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return materialize(out)
+
+    def hot(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, sorted, and weights of the frequent n-grams: at most 2 / HOT for each order and language."""
+        total = self.weights.groupBy("lang", "n").agg(F.sum("c").alias("_total"))
+        keys = self.weights.join(F.broadcast(total), ["lang", "n"]).where(F.col("c") >= HOT * F.col("_total")).select("key").distinct()
+        t = self.weights.join(F.broadcast(keys), "key").groupBy("key").agg(F.sum("weight").alias("weight")).toPandas().sort_values("key")
+        return t["key"].to_numpy(np.int64), t["weight"].to_numpy(np.float64)
+
+    # The tables as sorted arrays on the driver, to look into small models.
+
+    @cached_property
+    def _arrays(self) -> tuple[dict[str, int], dict[int, int], list, list]:
+        t = [(p.toPandas(), g.toPandas()) for p, g in self.tables]
+        names = sorted({x for pair in t for f in pair for c in ("u", "v", "w") if c in f for x in f[c]})
+        ids, langs = {w: i + 1 for i, w in enumerate(names)}, {x: i + 1 for i, x in enumerate(sorted(set(t[0][0]["lang"])))}
+
+        def arrays(f: pd.DataFrame, columns: list[str], value: str) -> tuple[np.ndarray, np.ndarray]:
+            k = f["lang"].map(langs).to_numpy(np.int64)
+            for c in columns:
+                k = k * (len(ids) + 1) + f[c].map(ids).to_numpy(np.int64)
+            order = np.argsort(k)
+            return k[order], f[value].to_numpy(np.float64)[order]
+
+        contexts = [["u", "v"][2 - order :] for order in range(3)]
+        return langs, ids, [arrays(p, [*c, "w"], "p") for (p, _), c in zip(t, contexts)], [arrays(g, c, "gamma") for (_, g), c in zip(t, contexts)]
+
+    p = property(lambda self: self._arrays[2])
+    gamma = property(lambda self: self._arrays[3])
+    n = property(lambda self: len(self._arrays[1]) + 1)
 
     def key(self, lang: np.ndarray | int, parts: list[np.ndarray]) -> np.ndarray:
         k = np.asarray(lang, np.int64)
@@ -138,12 +243,6 @@ class Model:
             k = k * self.n + x
         return k
 
-    def _sorted(self, t: pd.DataFrame, columns: list[str], value: str) -> tuple[np.ndarray, np.ndarray]:
-        parts = [t[c].map(self.ids).to_numpy(np.int64) for c in columns]
-        k = self.key(t["lang"].map(self.langs).to_numpy(np.int64), parts)
-        order = np.argsort(k)
-        return k[order], t[value].to_numpy(np.float64)[order]
-
     @staticmethod
     def _find(table: tuple[np.ndarray, np.ndarray], k: np.ndarray) -> np.ndarray:
         """The values at the keys; NaN where there is none."""
@@ -153,79 +252,88 @@ class Model:
         at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
         return np.where(keys[at] == k, values[at], np.nan)
 
-    def surprise(self, text: str, lang: str) -> tuple[float, int]:
-        """Negative log probability of the text and its number of symbols."""
-        if lang not in self.langs:
-            return 0.0, 0
-        s = symbols(text, self.frequent[lang])
-        if not s:
-            return 0.0, 0
-        x = np.fromiter((self.ids.get(t, 0) for t in (_PAD, _PAD, *s)), np.int64, len(s) + 2)
-        u, v, w, code = x[:-2], x[1:-1], x[2:], self.langs[lang]
-        p = self._find(self.p[0], self.key(code, [w]))
-        g = self._find(self.gamma[0], np.array([code], np.int64))[0]
-        p = np.where(np.isnan(p), g * self.unseen[lang], p)
-        for order, parts in ((1, [v]), (2, [u, v])):
-            found = self._find(self.p[order], self.key(code, [*parts, w]))
-            g = self._find(self.gamma[order], self.key(code, parts))
-            p = np.where(np.isnan(found), np.where(np.isnan(g), 1.0, g) * p, found)
-        return float(-np.log(np.maximum(p, 1e-12)).sum()), len(s)
-
-
-def fit(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> Model:
-    """Fit the model on at most trusted_rows trusted documents of each language (labels.quality = 1)."""
-    text = materialize(_trusted(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")), labels, trusted_rows)).select("lang", "text")
-    words = text.mapInPandas(lambda b: _counted(b, None), "lang string, w string, c long").groupBy("lang", "w").agg(F.sum("c").alias("c"))
-    total = words.groupBy("lang").agg(F.sum("c").alias("_total"))
-    common = words.join(F.broadcast(total), "lang").where(F.col("c") >= FREQUENT * F.col("_total")).select("lang", "w").collect()  # 1 / FREQUENT words for each language at most
-    frequent: dict[str, frozenset[str]] = {r["lang"]: frozenset() for r in total.select("lang").collect()}
-    for r in common:
-        frequent[r["lang"]] |= {r["w"]}
-    t3 = materialize(text.mapInPandas(lambda b: _counted(b, frequent), "lang string, u string, v string, w string, c long").groupBy("lang", "u", "v", "w").agg(F.sum("c").alias("c")))
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit the model on the trusted documents (labels.quality = 1), without those that set the thresholds."""
+    t3 = materialize(_trusted(docs, labels).mapInArrow(_counted, "lang string, u long, v long, w long, c long").groupBy("lang", "u", "v", "w").agg(F.sum("c").alias("c")))
     t2 = materialize(t3.groupBy("lang", "v", "w").agg(F.count("*").alias("c")))
-    t1 = t2.groupBy("lang", "w").agg(F.count("*").alias("c"))
-    p1, g1 = _smoothed(t1, [], None)
-    p1 = materialize(p1)
-    p2, g2 = _smoothed(t2, ["v"], p1)
-    p2 = materialize(p2)
-    p3, g3 = _smoothed(t3, ["u", "v"], p2)
-    return Model(frequent, [(p.toPandas(), g.toPandas()) for p, g in ((p1, g1), (p2, g2), (p3, g3))])
+    t1 = materialize(t2.groupBy("lang", "w").agg(F.count("*").alias("c")))
+    tables, lower = [], None
+    for grams, context in ((t1, []), (t2, ["v"]), (t3, ["u", "v"])):
+        p, g = _smoothed(grams, context, lower)
+        lower = materialize(p)
+        tables.append((lower, g))
+    return Model(tables)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, n_symbols, surprise) of whole texts, without a shuffle. Surprise is the negative log probability."""
-    size = sum(x.nbytes for t in (*model.p, *model.gamma) for x in t)
-    if size > MODEL_BYTES:
-        raise ValueError(f"the model takes {size} bytes, more than MODEL_BYTES: raise FREQUENT or lower trusted_rows")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        for pdf in batches:
-            got = [m.surprise(t, lang) for t, lang in zip(pdf["text"], pdf["lang"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "n_symbols": np.array([n for _, n in got], np.int64), "surprise": np.array([s for s, _ in got], np.float64)})
+    """(doc_id, lang, n_symbols, surprise, shape_surprise) of whole texts, a row for each row. Surprise is the negative log probability, the text's end included.
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    x = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return x.mapInPandas(score, f"doc_id {kind}, lang string, n_symbols long, surprise double")
-
-
-def classify(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """Perplexity of every document and whether it is kept: (doc_id, lang, n_symbols, perplexity, threshold, keep).
+    A task adds up the weights of frequent n-grams itself and hands on the counts of the others, which meet theirs in a join.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((*model.hot(), model.unseen))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, weights, unseen = sent.value
+        for rids, langs, x, row in _chunks(batches):
+            known = np.array([lang in unseen for lang in langs], bool)
+            length = np.bincount(row, minlength=len(rids))
+            n = np.where(known, np.maximum(length - 2, 0), 0)
+            base = n * np.array([unseen.get(lang, 0.0) for lang in langs])
+            two, three = np.flatnonzero(row[1:] == row[:-1]), np.flatnonzero(row[2:] == row[:-2])
+            key = np.concatenate([hashed(x[two + 1]), hashed(x[two], x[two + 1]), hashed(x[three], x[three + 1], x[three + 2])])
+            doc = np.concatenate([row[two], row[two], row[three]])
+            key, doc = key[known[doc]], doc[known[doc]]
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                found = keys[at] == key
+                base = base + np.bincount(doc[found], weights[at[found]], len(rids))
+                key, doc = key[~found], doc[~found]
+            order = np.lexsort((key, doc))
+            key, doc = key[order], doc[order]
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[first, len(key)])
+            ids = np.array(rids, np.int64)
+            # A row for each document comes first, with a key that spreads them and no times; the others have its counted n-grams.
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[ids, ids[doc[first]]]), pa.array(np.r_[hashed(ids), key[first]]), pa.array(np.r_[np.zeros(len(ids), np.int32), times.astype(np.int32)]),
+                    pa.array(np.r_[n, np.zeros(len(first), np.int64)]), pa.array(np.r_[base, np.zeros(len(first))]),
+                ],
+                names=["rid", "key", "times", "n", "base"],
+            )
+
+    x = materialize(_text(docs))
+    rows = x.select("rid", "lang", "text").mapInArrow(grams, "rid long, key long, times int, n long, base double")
+    value = F.col("base") + F.col("times") * F.coalesce("weight", F.lit(0.0))
+    # A document's own row has no times, so a weight that met its key by chance adds nothing; its key is in no more than one row of weights.
+    weights = model.weights.groupBy("key").agg(F.sum("weight").alias("weight"))
+    shapes = F.col("rid") % 2 == 1
+    sums = rows.join(weights, "key", "left").groupBy(F.shiftright("rid", 1).alias("rid")).agg(
+        F.sum(F.when(shapes, 0).otherwise(F.col("n"))).alias("n_symbols"), (-F.sum(F.when(shapes, 0.0).otherwise(value))).alias("surprise"), (-F.sum(F.when(shapes, value).otherwise(0.0))).alias("shape_surprise")
+    )
+    return x.select("rid", "doc_id", "lang").join(sums, "rid").select("doc_id", "lang", "n_symbols", "surprise", "shape_surprise")
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """Perplexity of every document and whether it is kept: (doc_id, lang, n_symbols, perplexity, threshold, shape_perplexity, shape_threshold, keep).
 
     A document's mean surprise is drawn towards that of its language's trusted documents by PRIOR_TOKENS symbols, so that a few
-    symbols decide nothing. It is rejected where its perplexity is over its language's threshold: the given
+    symbols decide nothing. It is rejected where the perplexity of its words or of its shapes is over its language's threshold: the given
     quantile over all trusted documents that had no part in the fit, times margin. Empty and null texts, and languages without trusted
     documents, are kept with the language's mean (perplexity 1 where there is none). Repeated rows and null ids give a row each.
     """
-    scored = materialize(scores(docs, fit(docs, labels, trusted_rows)))
+    scored = materialize(scores(docs, fit(docs, labels)))
     good = scored.where(_sets_thresholds(F.col("doc_id"))).join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    mean = good.groupBy("lang").agg((F.sum("surprise") / F.greatest(F.sum("n_symbols"), F.lit(1))).alias("_mean"))
-    drawn = F.exp((F.col("surprise") + PRIOR_TOKENS * F.coalesce("_mean", F.lit(0.0))) / (F.col("n_symbols") + PRIOR_TOKENS))
-    level = good.join(F.broadcast(mean), "lang").groupBy("lang").agg(F.percentile_approx(drawn, quantile, 10000).alias("_q"))
+    readings = (("", "surprise"), ("shape_", "shape_surprise"))
+    mean = good.groupBy("lang").agg(*((F.sum(s) / F.greatest(F.sum("n_symbols"), F.lit(1))).alias(f"_{r}mean") for r, s in readings))
+    drawn = {r: F.exp((F.col(s) + PRIOR_TOKENS * F.coalesce(f"_{r}mean", F.lit(0.0))) / (F.col("n_symbols") + PRIOR_TOKENS)) for r, s in readings}
+    level = good.join(F.broadcast(mean), "lang").groupBy("lang").agg(*(F.percentile_approx(drawn[r], quantile, 10000).alias(f"_{r}q") for r, _ in readings))
     x = scored.join(F.broadcast(mean), "lang", "left").join(F.broadcast(level), "lang", "left")  # a row for each language
-    x = x.withColumn("perplexity", drawn).withColumn("threshold", margin * F.col("_q"))
-    return x.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
+    for r, _ in readings:
+        x = x.withColumn(f"{r}perplexity", drawn[r]).withColumn(f"{r}threshold", margin * F.col(f"_{r}q"))
+    keep = F.coalesce((F.col("perplexity") <= F.col("threshold")) & (F.col("shape_perplexity") <= F.col("shape_threshold")), F.lit(True))
+    return x.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "shape_perplexity", "shape_threshold", keep.alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -228,6 +229,46 @@ def test_kneser_ney_probabilities_add_up(spark, documents):
     assert discounted + g3 == pytest.approx(1, abs=1e-9)
 
 
+def test_gibberish_between_frequent_words_is_rejected(spark, documents):
+    rnd = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    known = ["".join(rnd.choice(letters) for _ in range(7)) for _ in range(400)]
+
+    def text(rare):
+        return " ".join(rnd.choice(WORDS) if rnd.random() < 0.5 else rare() for _ in range(150))
+
+    rows = [(i, text(lambda: rnd.choice(known))) for i in range(160)] + [(1000 + i, text(lambda: "".join(rnd.choice(letters) for _ in range(7)))) for i in range(15)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(140)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in quality.classify(documents(rows), labels).collect() if not r.keep} == {1000 + i for i in range(15)}
+
+
+@pytest.mark.parametrize("hot", [2.0, 0.02])
+def test_scores_by_join_are_those_of_the_tables(spark, documents, monkeypatch, hot):
+    monkeypatch.setattr(quality, "HOT", hot)
+    rnd = random.Random(13)
+    rows = [(i, " ".join(rnd.choice(WORDS[:9]) for _ in range(30))) for i in range(20)] + [(50, "the of zebra the of and"), (None, "of of the 12"), (None, ""), (50, "a")]
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    m = quality.fit(documents(rows), labels)
+    p, g = [], []
+    for n, (a, b) in enumerate(m.tables):
+        context = ["u", "v"][2 - n :]
+        p.append({tuple(r[c] for c in [*context, "w"]): r.p for r in a.where("lang = 'en'").collect()})
+        g.append({tuple(r[c] for c in context): r.gamma for r in b.where("lang = 'en'").collect()})
+
+    def prob(x):
+        n = len(x) - 1
+        if x in p[n]:
+            return p[n][x]
+        return g[0][()] / (len(p[0]) + 1) if n == 0 else g[n].get(x[:-1], 1.0) * prob(x[1:])
+
+    want, codes = Counter(), quality._Codes("en")
+    for i, t in rows:
+        s = quality.symbols(t)[0]
+        x = [codes[k] for k in ("<s>", "<s>", *s, "</s>")] if s else []
+        want[i, len(x[2:]), round(-sum(math.log(prob(tuple(x[k : k + 3]))) for k in range(len(x) - 2)), 6) + 0.0] += 1
+    assert Counter((r.doc_id, r.n_symbols, round(r.surprise, 6) + 0.0) for r in quality.scores(documents(rows), m).collect()) == want
+
+
 def test_toxicity(spark, documents):
     rnd = random.Random(9)
     bad = ["vilewort", "grubscum", "dolthead", "wormface"]
