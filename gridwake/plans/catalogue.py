@@ -484,7 +484,7 @@ def e6_nearest_anchor(spark, d):
 
 def _features(spark, d):
     """One-degree cells of traffic with the engineered distances and the log of density."""
-    c = grid.aggregate_grid(fx.traffic(spark, d), 2.0).withColumn("longitude", F.col("lon_bin")).withColumn("latitude", F.col("lat_bin"))
+    c = grid.aggregate_grid(fx.traffic(spark, d), 1.0).withColumn("longitude", F.col("lon_bin")).withColumn("latitude", F.col("lat_bin"))
     a = fx.anchors(spark)
     x = geo.nearest_anchor_km(geo.nearest_anchor_km(c, a, "port", "distance_to_port_km"), a, "strait", "distance_to_strait_km")
     return geo.boundary_km(x.withColumn("log_density", F.log1p(F.col("density_sum").cast("double"))), fx.countries(spark, d))
@@ -654,11 +654,11 @@ def g9_planar_dbscan(spark, d):
     return pointpattern.dbscan(materialize(x), 0.5, 10, "planar").select("hotspot_rank", "cluster_id", "is_noise")
 
 
-# ---- autocorrelation and regression (2-degree cells)
+# ---- autocorrelation and regression (one-degree cells; four-degree cells where the SQL is)
 
 
-def _cells_and_weights(spark, d):
-    c = materialize(grid.aggregate_grid(fx.traffic(spark, d), 4.0).withColumn("log_density", F.log1p(F.col("density_sum").cast("double"))))
+def _cells_and_weights(spark, d, degrees=4.0):
+    c = materialize(grid.aggregate_grid(fx.traffic(spark, d), degrees).withColumn("log_density", F.log1p(F.col("density_sum").cast("double"))))
     return c, materialize(neighbors.knn_grid(c))
 
 
@@ -688,7 +688,7 @@ def h3_moran(spark, d):
 
 @query()
 def h4_moran_permutations(spark, d):
-    c, w = _cells_and_weights(spark, d)
+    c, w = _cells_and_weights(spark, d, 1.0)
     return autocorr.moran_permutations(c, w, "log_density")
 
 
@@ -700,7 +700,7 @@ def h5_local_moran(spark, d):
 
 @query()
 def h6_h7_c20_lisa(spark, d):
-    c, w = _cells_and_weights(spark, d)
+    c, w = _cells_and_weights(spark, d, 1.0)
     return autocorr.lisa(c, w, "log_density").select("lat_idx", "lon_idx", "local_i", "quadrant", "p_sim", "lisa_cluster")
 
 
@@ -721,7 +721,7 @@ def h9_feature_table(spark, d):
 
 @query()
 def h10_autocorrelation_summary(spark, d):
-    c, w = _cells_and_weights(spark, d)
+    c, w = _cells_and_weights(spark, d, 1.0)
     return autocorr.summary(c, w, "log_density", 199)
 
 

@@ -213,3 +213,11 @@ def test_entry_points_import_without_optional_parts():
     import __spark_entry__ as e
 
     assert len(e.queries()) >= len(e.oracle_sql()) > 70
+
+
+@pytest.mark.parametrize("name", ["e7_boundary_distance", "h6_h7_c20_lisa"])
+def test_cells_are_of_one_degree(spark, sf_dir, name):
+    from gridwake import fixtures as fx
+    from gridwake.plans import catalogue
+
+    assert catalogue.QUERIES[name](spark, sf_dir).count() == grid.aggregate_grid(fx.traffic(spark, sf_dir), 1.0).count()
