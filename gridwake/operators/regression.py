@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.operators.autocorr import _indexed, moran, normal_tail
+from gridwake.operators.autocorr import _indexed, moran, moran_permutations, normal_tail
 from gridwake.operators.neighbors import spatial_lag
 from gridwake.tables import materialize
 
@@ -86,8 +86,9 @@ def residuals(df: DataFrame, y: str, xs: list[str], beta: np.ndarray) -> DataFra
 
 
 def residual_moran(df: DataFrame, weights: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """Moran's I of the residuals of an ordinary fit."""
-    return moran(residuals(df, y, xs, ols(df, y, xs)[2]), weights, "residual")
+    """Moran's I of the residuals of an ordinary fit, with p and z from permutations."""
+    r = materialize(residuals(df, y, xs, ols(df, y, xs)[2]))
+    return moran(r, weights, "residual").crossJoin(moran_permutations(r, weights, "residual").select("p_sim", "z_sim"))
 
 
 def seeded_rows(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:

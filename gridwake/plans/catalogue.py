@@ -638,7 +638,7 @@ def g6_cluster_features(spark, d):
 def g7_pattern_metrics(spark, d):
     hot = _hot_points(spark, d)
     counts = pointpattern.cluster_counts(pointpattern.dbscan(hot))
-    k = pointpattern.ripley_p(hot, 49).agg(F.array_sort(F.collect_list(F.struct("radius", "k", "p_value"))).alias("ripley"))
+    k = pointpattern.ripley_p(hot).agg(F.array_sort(F.collect_list(F.struct("radius", "k", "p_value"))).alias("ripley"))
     return pointpattern.nearest_neighbour_ratio(hot).crossJoin(counts).crossJoin(k)
 
 
@@ -715,14 +715,14 @@ def h9_feature_table(spark, d):
     f = materialize(_features(spark, d))
     w = materialize(neighbors.knn_grid(f))
     lagged = neighbors.spatial_lag(f, w, "log_density", "spatial_lag_log_density")
-    local = autocorr.lisa(f, w, "log_density", 199).select("lat_idx", "lon_idx", "local_i", "quadrant", "p_sim", "lisa_cluster")
+    local = autocorr.lisa(f, w, "log_density").select("lat_idx", "lon_idx", "local_i", "quadrant", "p_sim", "lisa_cluster")
     return lagged.join(local, ["lat_idx", "lon_idx"]).select("lat_bin", "lon_bin", "density_sum", "density_mean", "intensity_sum", "intensity_mean", "points", "log_density", "distance_to_port_km", "distance_to_strait_km", "distance_to_coast_km", "spatial_lag_log_density", "local_i", "quadrant", "p_sim", "lisa_cluster")
 
 
 @query()
 def h10_autocorrelation_summary(spark, d):
     c, w = _cells_and_weights(spark, d, 1.0)
-    return autocorr.summary(c, w, "log_density", 199)
+    return autocorr.summary(c, w, "log_density")
 
 
 @query(

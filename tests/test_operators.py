@@ -221,3 +221,17 @@ def test_cells_are_of_one_degree(spark, sf_dir, name):
     from gridwake.plans import catalogue
 
     assert catalogue.QUERIES[name](spark, sf_dir).count() == grid.aggregate_grid(fx.traffic(spark, sf_dir), 1.0).count()
+
+
+def test_residual_moran_has_p_of_999_permutations(spark, sf_dir):
+    from gridwake.plans import catalogue
+
+    row = catalogue.QUERIES["i3_residual_moran"](spark, sf_dir).first()
+    assert 0 < row.p_sim <= 0.501 and row.p_sim * 1000 == pytest.approx(round(row.p_sim * 1000))
+
+
+def test_p_values_have_the_reference_steps(spark, sf_dir):
+    from gridwake.plans import catalogue
+
+    p = [r.p_sim * 1000 for r in catalogue.QUERIES["h9_feature_table"](spark, sf_dir).select("p_sim").collect()]
+    assert all(x == pytest.approx(round(x)) for x in p) and any(round(x) % 5 for x in p)
