@@ -6,42 +6,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridwake.llm.common import materialize, numbered
-from gridwake.llm.token_count import in_groups, word_table
+from gridwake.llm.token_count import machine
 
 WINDOW = 2048
 END_ID = 1
 
-def _pieces(text: str) -> list[str] | None:
-    """The text cut before single blanks and around single line feeds, where words of the tokenizer end; None if it has other white space."""
-    words = text.split()
-    gaps = len(words) - 1
-    if gaps < 0 or text.count(" ") + text.count("\n") != gaps or sum(map(len, words)) + gaps != len(text) or "\0" in text:
-        return None
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-
-def encode(texts: list[str], table) -> list[np.ndarray]:
-    """The ids of each text. Texts in which blanks and line feeds stand alone are put together from the table's pieces."""
-    out: list[np.ndarray] = []
-    for a, b in in_groups(texts):
-        cut = [None if any(s in t for s in table.special) else _pieces(t) for t in texts[a:b]]
-        distinct = set().union(*filter(None, cut))
-        if not table.ids.keys() >= distinct:
-            table.compile(distinct, keep_ids=True)
-        find = table.ids.__getitem__
-        for t, own in zip(texts[a:b], cut):
-            if own is None:
-                out.append(np.array(table.tokenizer.encode(t, add_special_tokens=False).ids, "<i4"))
-            else:
-                out.append(np.frombuffer(b"".join(map(find, own)), "<i4"))
-    return out
-
 
 class OpenWindows:
     """Segment tree over remaining capacities: finds the least capacity of at least `need` for which windows are open."""
@@ -126,19 +101,29 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int =
     if keep_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = word_table(vocabulary)
-        for pdf in batches:
-            rows = []
-            for doc_id, ids in zip(pdf["doc_id"], encode(pdf["text"].tolist(), table)):
-                ids = np.append(ids, np.int32(end_id)).astype("<i4")
-                for start in range(0, len(ids), window):
-                    part = ids[start : start + window]
-                    rows.append((doc_id, start, len(part), len(ids), zlib.crc32(part.tobytes()), *([part.tolist()] if keep_ids else [])))
-            got = pd.DataFrame(rows, columns=[f.name for f in fields])
-            yield got if len(rows) else got.astype(object)
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(cut, T.StructType(fields))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = machine(vocabulary)
+        for batch in batches:
+            counts, ids = m.encode(batch.column(1), want_ids=True)
+            total = counts + 1
+            past = np.cumsum(total)
+            flat = np.full(int(past[-1]) if len(past) else 0, end_id, "<i4")
+            inner = np.ones(len(flat), bool)
+            inner[past - 1] = False
+            flat[inner] = ids
+            each = -(-total // window)
+            doc = np.repeat(np.arange(len(total)), each)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)) * window
+            length = np.minimum(window, total[doc] - start)
+            low = (past - total)[doc] + start
+            view = memoryview(flat.view(np.uint8))
+            crc = np.fromiter((zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(low.tolist(), (low + length).tolist())), np.int64, len(low))
+            columns = [batch.column(0).take(pa.array(doc)), *map(pa.array, (start, length, total[doc], crc))]
+            if keep_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(low, len(flat)).astype(np.int32)), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut, T.StructType(fields))
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,19 +4,23 @@ The splitting of text into words for byte-level BPE is a regular pattern with on
 deterministic transducer over character classes. A batch of texts is one long string of classes, cut into chunks of
 equal length. For every chunk the map from entry state to leaving state is computed for all states at once; maps compose
 associatively, so a parallel prefix scan over the chunks gives each chunk's entry state; a second pass emits the word
-boundaries. Within a word, arcs of a word-level transducer carry the number of tokens emitted; arcs are compiled from
-the vocabulary file when a word is first met and kept in a bounded table.
+boundaries.
+
+Inside a word a second deterministic transducer reads bytes. Its transitions are compiled from the merges of the vocabulary file:
+a state holds the longest suffix read that can still become part of a token, with the last token of the encoding at each
+place in it, and a transition carries by how much the number of emitted tokens changes. As a word begins in the start state, the boundaries
+of the first pass are where its chunk maps meet, and all words of a batch are read side by side.
 """
 
 from __future__ import annotations
 
-import os
+import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +33,9 @@ BEFORE, BACK = 1, 2  # a boundary before this character; one before the previous
 # Unicode White_Space without the blank.
 WHITE = [9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CHUNK = 512
-BATCH_CHARS = 2_000_000
-WORDS_KEPT = 200_000
+GROUP_BYTES = 2_000_000  # read at once
+STATES_KEPT = 300_000
+_SAFE_CUT = re.compile(rb"[A-Za-z0-9](?=[ \n])")  # a word ends here whatever surrounds it
 
 
 def compile_splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -125,23 +130,27 @@ class Splitter:
             marks[i], state = flat_out[at], flat_to[at]
         return np.ascontiguousarray(marks.T).ravel()[:n]
 
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """The words of each text."""
-        joined = "\0".join(texts) + "\0"
-        codes = self.classes[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        codes[ends] = END
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First bytes and lengths in bytes of the words of the texts that `offsets` cut out of UTF-8 data."""
+        texts = len(offsets) - 1
+        begin = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of each character
+        chars = np.searchsorted(begin, offsets)
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        # An END follows each text, which takes the splitter back to START.
+        codes = np.full(len(points) + texts, END, np.uint8)
+        ends = chars[1:] + np.arange(texts)
+        is_char = np.ones(len(codes), bool)
+        is_char[ends] = False
+        codes[is_char] = self.classes[points]
         marks = self.marks(codes)
         begins = (marks & BEFORE).astype(bool)
         begins[:-1] |= (marks[1:] & BACK).astype(bool)
         begins[ends] = True
-        begins[0] = True
-        begins[ends[:-1] + 1] = True
+        begins[chars[:-1] + np.arange(texts)] = True
         at = np.flatnonzero(begins)
-        words = [joined[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())] + [joined[int(at[-1]) :]]
-        cut = np.searchsorted(at, ends)
-        lo = np.concatenate([[0], cut[:-1] + 1])
-        return [words[a:b] for a, b in zip(lo.tolist(), cut.tolist())]
+        start = begin[at - np.searchsorted(ends, at)]
+        size = np.diff(np.append(start, len(data)))
+        return start[size > 0], size[size > 0]
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -151,126 +160,270 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class WordTable:
-    """Word arcs with the ids that they emit, compiled from the vocabulary when first met; forgets all when full.
+class Vocabulary:
+    """Tokens and merges of a byte-level BPE file of the tokenizers library."""
 
-    Where the vocabulary numbers its tokens in merge order, words are merged by rank with the tiktoken library, which gives the same
-    ids faster; otherwise the tokenizers library does it.
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        names, symbols = file["model"]["vocab"], _byte_symbols()
+        self.special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
+        self.ids = {bytes(symbols[c] for c in t): i for t, i in names.items() if t not in self.special and all(c in symbols for c in t)}
+        self.merges: dict[tuple[int, int], int] = {}
+        self.made: dict[int, tuple[int, int, int]] = {}  # a token's two parts and the rank of their merge
+        for rank, m in enumerate(file["model"]["merges"]):
+            a, b = m.split(" ") if isinstance(m, str) else m
+            i, j, k = names[a], names[b], names[a + b]
+            if k in self.made or (i, j) in self.merges:
+                raise ValueError("a token with two merges: the vocabulary has no deterministic pairs")
+            self.merges[i, j], self.made[k] = rank, (i, j, rank)
+        if any(bytes((b,)) not in self.ids for b in range(256)):
+            raise ValueError("not a byte-level vocabulary")
+        self.beginnings = {t[:n] for t in self.ids for n in range(1, len(t))}
+        self.sizes = np.zeros(max([*self.ids.values(), *self.special.values()]) + 1, np.int64)
+        for t, i in self.ids.items():
+            self.sizes[i] = len(t)
+        self._known: dict[tuple[int, int], bool] = {}
+
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether the encoding of the two tokens' text is the two tokens: no earlier merge would have crossed the cut.
+
+        Their merges are undone from the latest to the earliest, the right one first among equals, as merging goes from the left.
+        """
+        found = self._known.get((left, right))
+        if found is not None:
+            return found
+        if len(self._known) > 4 * STATES_KEPT:
+            self._known.clear()
+        a, b, before = left, right, len(self.merges)
+        while True:
+            across = self.merges.get((a, b))
+            if across is not None and across < before:
+                found = False
+                break
+            rank_a = self.made[a][2] if a in self.made else -1
+            rank_b = self.made[b][2] if b in self.made else -1
+            if rank_a == rank_b == -1:
+                found = True
+                break
+            if rank_a > rank_b:
+                a, before = self.made[a][1], rank_a
+            else:
+                b, before = self.made[b][0], rank_b + 1
+        self._known[left, right] = found
+        return found
+
+
+_START = (b"", ((-1, 0),))
+_HASH = np.uint64(0x9E3779B97F4A7C15)
+_BIAS = 1 << 19
+
+
+class Transducer:
+    """Reads words byte by byte. Transitions are compiled when first taken and kept in an open hash table.
+
+    A state is a suffix and, for each place in it from which a token may still begin, the last token of the encoding up to there and the
+    number of tokens there less that at the end. The next token is the longest one that ends at the next byte and stays apart
+    from the last token before it; there is exactly one such token.
     """
 
-    def __init__(self, path: str, kept: int = WORDS_KEPT) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranked = self._by_rank(path)
-        self.ids: dict[str, bytes] = {}
-        self.counts: dict[str, int] = {}
-
-    def _by_rank(self, path: str):
-        """An encoder by merge ranks, if ids are the order of merges."""
-        import json
-
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocabulary, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        symbols = _byte_symbols()
-        plain = {t: i for t, i in vocabulary.items() if t not in self.special}
-        if any(plain.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or any(c not in symbols for t in plain for c in t):
-            return None
-        ranks = {bytes(symbols[c] for c in t): i for t, i in plain.items()}
-        return tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
-
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        if self.ranked is not None:
-            return [self.ranked.encode_ordinary(w) for w in words]
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def compile(self, words: Iterable[str], keep_ids: bool) -> None:
-        """Add arcs for the words; with keep_ids they may be runs of words, which are split first."""
-        table = self.ids if keep_ids else self.counts
-        if len(table) > self.kept:
-            table.clear()
-        new = list(set(words) - table.keys())
-        if not keep_ids:
-            table.update(zip(new, map(len, self._encode(new))))
-            return
-        parts = splitter().split(new)
-        flat = self._encode([w for own in parts for w in own])
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.clear()
+
+    def clear(self) -> None:
+        self.states, self.tokens = [None, _START], np.full(1024, -1, np.int64)
+        self.numbers = {_START: 1}
+        self.bits, self.n = 16, 0
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+
+    def _compile(self, key: int) -> int:
+        """The transition of a state and a byte: target, and emitted tokens plus _BIAS in the lower 20 bits."""
+        (suffix, places), v = self.states[key >> 8], self.vocabulary
+        x = suffix + bytes((key & 255,))
+        for at in range(len(x)):
+            token = v.ids.get(x[at:])
+            if token is not None and places[at] is not None and (places[at][0] < 0 or v.stay_apart(places[at][0], token)):
+                break
+        emitted = places[at][1] + 1
+        cut = 0
+        while cut < len(x) and x[cut:] not in v.beginnings:
+            cut += 1
+        kept = [(p[0], p[1] - emitted) if p is not None and x[cut + i :] in v.beginnings else None for i, p in enumerate(places[cut:])]
+        state = (x[cut:], (*kept, (token, 0)))
+        number = self.numbers.get(state)
+        if number is None:
+            number = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            if number >= len(self.tokens):
+                self.tokens = np.concatenate([self.tokens, np.full_like(self.tokens, -1)])
+            self.tokens[number] = token
+        return number << 20 | emitted + _BIAS
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * _HASH) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _add(self, keys: np.ndarray) -> None:
+        """Compile new transitions and put them into the table, which is kept at most half full."""
+        self._put(keys, np.fromiter(map(self._compile, keys.tolist()), np.int64, len(keys)))
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        if 2 * (self.n + len(keys)) > 1 << self.bits:
+            old = self.keys >= 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            while 2 * len(keys) > 1 << self.bits:
+                self.bits += 1
+            self.keys, self.values, self.n = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), 0
+        self.n += len(keys)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # of several keys at one slot the last stays
+            done = self.keys[slot] == keys
+            self.values[slot[done]] = values[done]
+            keys, values, slot = keys[~done], values[~done], (slot[~done] + 1) & ((1 << self.bits) - 1)
+
+    def _take(self, key: np.ndarray) -> np.ndarray:
+        """The transitions of the keys."""
+        slot = self._slots(key)
+        found = self.keys[slot]
+        out = self.values[slot]
+        open_ = np.flatnonzero(found != key)
+        while len(open_):
+            missing = found[open_] < 0
+            if missing.any():
+                self._add(np.unique(key[open_[missing]]))
+                slot[open_] = self._slots(key[open_])  # the table may have grown
+            else:
+                slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            found[open_], out[open_] = self.keys[slot[open_]], self.values[slot[open_]]
+            open_ = open_[found[open_] != key[open_]]
+        return out
+
+    def read(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+        """The number of tokens of each word; with `last`, the last token of the encoding up to each byte is written to it."""
+        if len(self.states) > STATES_KEPT:
+            self.clear()
+        counts = np.zeros(len(start), np.int64)
+        if not len(start):
+            return counts
+        order = np.argsort(-size, kind="stable")
+        at, longest = start[order], int(size[order[0]])
+        longer = len(size) - np.cumsum(np.bincount(size, minlength=longest + 1))  # words of more than so many bytes
+        state, emitted = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+        for i in range(longest):
+            n = int(longer[i])
+            where = at[:n] + i
+            got = self._take(state[:n] << 8 | data[where])
+            state[:n] = got >> 20
+            emitted[:n] += (got & ((1 << 20) - 1)) - _BIAS
+            if last is not None:
+                last[where] = self.tokens[state[:n]]
+        counts[order] = emitted
+        return counts
+
+
+class Machine:
+    """Splitter and transducer of one vocabulary."""
+
+    def __init__(self, path: str) -> None:
+        self.vocabulary = Vocabulary(path)
+        self.splitter, self.transducer = Splitter(), Transducer(self.vocabulary)
+        names = sorted(self.vocabulary.special, key=len, reverse=True)
+        self.special = re.compile(b"|".join(re.escape(s.encode()) for s in names)) if names else None
+
+    def _segments(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where to cut: at the texts' ends, around special strings, and in long texts where a word ends; and the special ids by segment."""
+        cuts, specials = [offsets], {}
         at = 0
-        for w, own in zip(new, parts):
-            table[w] = np.array([i for ids in flat[at : at + len(own)] for i in ids], "<i4").tobytes()
-            at += len(own)
-
-
-_TABLES: dict[str, WordTable] = {}
-_SPLITTERS: list[Splitter] = []
-
-
-def word_table(path: str) -> WordTable:
-    """The worker's table for a vocabulary file; the workers of an executor keep it between batches."""
-    if path not in _TABLES:
-        _TABLES[path] = WordTable(path)
-    return _TABLES[path]
-
-
-def splitter() -> Splitter:
-    if not _SPLITTERS:
-        _SPLITTERS.append(Splitter())
-    return _SPLITTERS[0]
-
-
-def in_groups(texts: list[str], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with up to `most` characters together, or one longer text."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def count_batch(texts: list[str], table: WordTable) -> list[int]:
-    """Token counts as the tokenizer of `table` gives them, with special strings counted as one token each."""
-    special = re.compile("|".join(map(re.escape, table.special)) or r"(?!)")
-    pieces, owner, counts = [], [], [0] * len(texts)
-    for i, t in enumerate(texts):
-        parts = special.split(t) if table.special and any(s in t for s in table.special) else [t]
-        counts[i] += len(parts) - 1
-        pieces += parts
-        owner += [i] * len(parts)
-    for a, b in in_groups(pieces):
-        words = splitter().split(pieces[a:b])
-        distinct = set().union(*words)
-        if not table.counts.keys() >= distinct:
-            table.compile(distinct, keep_ids=False)
-        emitted = table.counts.__getitem__
-        for i, own in zip(owner[a:b], words):
-            counts[i] += sum(map(emitted, own))
-    return counts
+        while self.special and (m := self.special.search(data, at)):
+            text = int(np.searchsorted(offsets, m.start(), "right")) - 1
+            inside = m.end() <= offsets[text + 1]
+            if inside:
+                cuts.append(np.array(m.span()))
+                specials[m.start()] = self.vocabulary.special[m[0].decode()]
+            at = m.end() if inside else m.start() + 1
+        for text in np.flatnonzero(np.diff(offsets) > GROUP_BYTES):
+            at, end = int(offsets[text]) + GROUP_BYTES, int(offsets[text + 1])
+            while at < end and (m := _SAFE_CUT.search(data, at, end)):
+                cuts.append(np.array([m.end()]))
+                at = m.end() + GROUP_BYTES
+        where = np.unique(np.concatenate(cuts))
+        ids = np.full(len(where), -1, np.int64)
+        for start, i in specials.items():
+            ids[np.searchsorted(where, start)] = i
+        return where, ids[:-1]
+
+    def encode(self, texts: pa.Array, want_ids: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The number of tokens of each text and, if wanted, all their ids in a row."""
+        data, offsets = utf8(texts)
+        where, special = self._segments(data.tobytes(), offsets)
+        counts, ids = np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)]
+        first = 0
+        while first < len(where) - 1:
+            past = max(first + 1, int(np.searchsorted(where, where[first] + GROUP_BYTES, "right")) - 1)
+            cut, own = where[first : past + 1], special[first:past]
+            part = data[cut[0] : cut[-1]]
+            start, size = self.splitter.words(part, cut - cut[0])
+            segment = np.searchsorted(cut - cut[0], start, "right") - 1
+            plain = own[segment] < 0
+            start, size, segment = start[plain], size[plain], segment[plain]
+            last = np.full(len(part), -1, np.int64) if want_ids else None
+            n = np.bincount(segment, self.transducer.read(part, start, size, last), past - first).astype(np.int64) + (own >= 0)
+            counts += np.bincount(np.searchsorted(offsets, cut[:-1], "right") - 1, n, len(texts)).astype(np.int64)
+            if last is not None:
+                ends = np.zeros(len(part), bool)  # of tokens, found from the words' ends back
+                at, low = start + size - 1, start
+                while len(at):
+                    ends[at] = True
+                    at = at - self.vocabulary.sizes[last[at]]
+                    at, low = at[at >= low], low[at >= low]
+                single = np.flatnonzero(own >= 0)
+                last[cut[single] - cut[0]], ends[cut[single] - cut[0]] = own[single], True
+                ids.append(last[ends])
+            first = past
+        return counts, np.concatenate(ids) if want_ids else ids[0]
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string array without nulls, and where its texts begin and end in them."""
+    wide = pa.types.is_large_string(texts.type)
+    _, at, data = texts.buffers()
+    offsets = np.frombuffer(at, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if at is not None and at.size else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+_MACHINES: dict[str, Machine] = {}
+
+
+def machine(path: str) -> Machine:
+    """The worker's machine for a vocabulary file; the workers of an executor keep it between batches."""
+    if path not in _MACHINES:
+        _MACHINES[path] = Machine(path)
+    return _MACHINES[path]
+
+
+def count_batch(texts: list[str], vocabulary: str) -> list[int]:
+    """Token counts of some texts."""
+    return machine(vocabulary).encode(pa.array(texts, pa.string()), want_ids=False)[0].tolist()
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (id, n_bytes, n_tokens, over_limit) for every row, from whole texts, without a shuffle.
 
     `vocabulary` is a byte-level BPE file of the tokenizers library; counts equal that library's, without added begin or end
-    tokens. Null text counts as empty (0 tokens); repeated rows and null ids give a row each; an empty table gives none.
+    tokens; its special strings are one token each. Null text counts as empty (0 tokens); repeated rows and null ids give a row each; an
+    empty table gives none. Texts of any length are read in parts that end where a word does.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = word_table(vocabulary)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            yield pd.DataFrame({id_col: pdf[id_col], "n_bytes": pdf["n_bytes"], "n_tokens": np.array(count_batch(texts, table), np.int64)})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = machine(vocabulary)
+        for batch in batches:
+            n, _ = m.encode(batch.column(1), want_ids=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     x = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     kind = docs.schema[id_col].dataType.simpleString()
-    got = x.mapInPandas(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    got = x.mapInArrow(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
     return got.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
@@ -21,14 +22,16 @@ def tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_splitter_equals_the_pattern():
+@pytest.mark.parametrize("chunk", [512, 7])
+def test_splitter_equals_the_pattern(chunk):
     import public_tokenizers
 
     rnd = random.Random(1)
     texts = ["".join(rnd.choice("ab'srevlltmd 0 12\n\t .!é '' 'x") for _ in range(rnd.randrange(60))) for _ in range(3000)] + ["", "'r", "a'l", "'", "  ", "x \n"]
-    want = [regex.findall(public_tokenizers.PATTERN, t) for t in texts]
-    assert token_count.splitter().split(texts) == want
-    assert token_count.Splitter(chunk=7).split(texts) == want
+    want = [w.encode() for t in texts for w in regex.findall(public_tokenizers.PATTERN, t)]
+    data, offsets = token_count.utf8(pa.array(texts))
+    start, size = token_count.Splitter(chunk).words(data, offsets)
+    assert [data[a : a + n].tobytes() for a, n in zip(start, size)] == want
 
 
 def test_token_counts(spark, documents, awkward, vocabulary, tokenizer):
@@ -40,12 +43,19 @@ def test_token_counts(spark, documents, awkward, vocabulary, tokenizer):
     assert token_count.token_counts(documents([]), vocabulary).count() == 0
 
 
-def test_word_table_without_merge_order(vocabulary):
-    table = token_count.WordTable(vocabulary)
-    words = [" stupid", "é", "\n\n", "naïve", "12345"]
-    fast = table._encode(words)
-    table.ranked = None
-    assert table._encode(words) == fast
+@pytest.mark.parametrize("states", [300_000, 50])
+def test_transducer_equals_the_library(vocabulary, tokenizer, monkeypatch, states):
+    """Words never seen, special strings and awkward characters; with few states the machine forgets all the time."""
+    monkeypatch.setattr(token_count, "STATES_KEPT", states)
+    monkeypatch.setattr(token_count, "GROUP_BYTES", 500 if states == 50 else 2_000_000)
+    rnd = random.Random(2)
+    letters = [*"abc  \n\t'sreLV.,!12é中\u00a0\u3000😀", "<|endoftext|>", "'re", "'ll", "  ", "th", "tion"]
+    texts = ["".join(rnd.choices(letters, k=rnd.randrange(40))) for _ in range(1500)] + ["", "a" * 3000, " " * 2000, "x<|endoftext|><|endoftext|>y", "<|endof", "text|>", "".join(rnd.choices(["hello ", "wörld\n", "a", "  ", "thtion"], k=2000))]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    m = token_count.Machine(vocabulary)
+    counts, ids = m.encode(pa.array(texts), want_ids=True)
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert token_count.count_batch(texts[:200], vocabulary) == [len(x) for x in want[:200]]
 
 
 def _piecewise(counts, window):
