@@ -2,8 +2,9 @@
 
 Tokens of a page are its containers (by path) and its text blocks (by path and text). Over the different pages of a host, tokens with
 the same occurrence vector form an equivalence class; vectors are compared by one hash, which combines before the
-shuffle. The class of the page itself, with what nests in it, is the host's template: its containers bound the slots, and
-its blocks are fixed text. The article's slot is extracted, without blocks that the template or their role give away.
+shuffle. A host may have several classes: one for each layout, and others for parts that come in some pages or several times.
+Classes nest by their containers' paths. From the outermost class inwards, the container that holds most of the varying text is the
+slot of the article; blocks of the slot's classes are fixed text. A page takes the innermost slot of its host's template that it has.
 """
 
 from __future__ import annotations
@@ -22,46 +23,50 @@ from pyspark.sql import functions as F
 
 from gridwake.llm.common import materialize
 
-LEAST_PAGES = 8  # different pages from which a host has a template
-MAIN_SHARE = 0.5  # of a host's text that the main container must hold
+LEAST_PAGES = 2  # different pages from which a host has a template
+LEAST_SHARE = 0.1  # of a host's pages that a token of its template occurs in
+FIXED_PAGES = 3  # different pages from which a block counts as fixed: two near copies of a page share their article
+MAIN_SHARE = 0.5  # of the varying text around it that the article's slot holds
+OWN_SHARE = 0.05  # of a container's varying text that stands in it directly, from which it is the slot itself
+FEW_HOSTS = 500_000  # counts by host are broadcast up to so many
 BROADCAST_BYTES = 8 << 20
 SALTS = 64
 
 # The roles of elements, by the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noembed", "noframes"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "output", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture", "source"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "output", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture", "source", "math", "mi", "mn", "mo", "mrow", "msub", "msup", "mfrac", "msqrt", "mtext", "semantics"}
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "tfoot", "pre", "blockquote", "figcaption", "caption", "hr", "br", "option"}
-OUTSIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "input", "datalist", "dialog", "menu", "template", "object", "embed", "applet", "audio", "video", "canvas", "svg", "map", "math", "fieldset", "legend", "label", "progress", "meter"} | RAW
+OUTSIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "input", "datalist", "dialog", "menu", "template", "object", "embed", "applet", "audio", "video", "canvas", "svg", "fieldset", "legend", "progress", "meter"} | RAW
 MAIN = {"article", "main"}
-# Words in class, id and role that mark what isn't the article.
-MARKS = {"ad", "ads", "adbox", "adslot", "adunit", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "crumbs", "sidebar", "side", "aside", "rail", "widget", "widgets", "header", "masthead", "topbar", "footer", "foot", "bottom", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "pager", "pagination", "search", "toolbar", "copyright", "complementary", "contentinfo", "disclaimer", "skip"}
+# What the class, id or role of a container begins with where it isn't the article.
+MARKS = {"ad", "ads", "adbox", "adslot", "adunit", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "sidebar", "widget", "widgets", "masthead", "topbar", "footer", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "recommended", "comment", "comments", "commentlist", "respond", "disqus", "pager", "pagination", "toolbar", "copyright", "complementary", "contentinfo", "skip"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_FIRST = re.compile(r"[a-z]+")
 _CLOSES_P = LEAVES - {"br", "option"} | {"div", "article", "section", "main", "ul", "ol", "dl", "table", "nav", "aside", "footer", "header", "form", "figure", "address", "details"}
 
 
 def _role(tag: str, attrs: str, inside_main: bool) -> tuple[bool, str]:
     """Whether an element is outside the article, and its name in paths."""
     found = {k.lower(): (a or b or c) for k, a, b, c in _ATTR.findall(attrs)} if attrs.strip(" /") else {}
-    words = " ".join(entities.unescape(found.get(k, "")) for k in ("class", "id", "role"))
-    name = tag + ("." + ".".join(sorted(found["class"].split())[:2]) if found.get("class") else "")
+    name = tag + ("." + ".".join(sorted(found["class"].split())[:2]) if found.get("class") and tag != "section" else "")
     if tag in OUTSIDE or tag == "header" and not inside_main:
         return True, name
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True, name
-    if words and tag not in ("html", "body") and tag not in MAIN:
-        return any(w.lower() in MARKS for w in _PARTS.findall(words)), name
+    if found and tag not in LEAVES and tag not in ("html", "body") and tag not in MAIN:
+        words = entities.unescape(" ".join(found.get(k, "") for k in ("class", "id", "role"))).lower().split()
+        return any((m := _FIRST.match(w)) and m[0] in MARKS for w in words), name
     return False, name
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, bool]], Counter]:
-    """The blocks (container path, text, outside the article) in page order, and how often each container path occurs."""
-    out: list[tuple[str, str, bool]] = []
+def blocks(page: str) -> tuple[list[tuple[str, str, int]], Counter]:
+    """The blocks (container path, text, depth of the path where the article is left, or 0) in page order, and how often each container path occurs."""
+    out: list[tuple[str, str, int]] = []
     containers: Counter = Counter()
-    stack: list[tuple[str, bool, str, bool]] = []  # tag, outside, container path, inside main
+    stack: list[tuple[str, int, str, bool]] = []  # tag, where the article is left, container path, inside main
     text: list[str] = []
     at = 0
 
@@ -70,7 +75,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool]], Counter]:
             t = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if t:
-                _, outside, path, _ = stack[-1] if stack else ("", False, "", False)
+                _, outside, path, _ = stack[-1] if stack else ("", 0, "", False)
                 out.append((path, t, outside))
 
     while True:
@@ -89,7 +94,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool]], Counter]:
         if tag not in INLINE:
             flush()
         if closing:
-            if tag in INLINE and tag != "label":
+            if tag in INLINE:
                 continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -101,38 +106,42 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool]], Counter]:
             if tag != "noscript" or end:
                 at = end.end() if end else len(page)
             continue
-        if tag in VOID or tag in INLINE and tag != "label":
+        if tag in VOID or tag in INLINE:
             continue
         while stack and (stack[-1][0] == "p" and tag in _CLOSES_P or stack[-1][0] == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option")):
             stack.pop()
-        _, outside, path, inside = stack[-1] if stack else ("", False, "", False)
+        _, outside, path, inside = stack[-1] if stack else ("", 0, "", False)
         own, name = _role(tag, attrs, inside)
         if tag not in LEAVES:
             path = f"{path}/{name}"
             containers[path] += 1
         if not attrs.rstrip().endswith("/"):
-            stack.append((tag, outside or own, path, inside or tag in MAIN))
+            stack.append((tag, path.count("/") + (tag in LEAVES) if own else outside, path, inside or tag in MAIN))
     flush()
     return out, containers
 
 
 def _block_key(path: str, text: str) -> str:
-    return "#" + xxhash.xxh3_64_hexdigest(f"{path}\n{text}")
+    return f"#{xxhash.xxh3_64_hexdigest(text)} {path}"
 
 
-def page_tokens(page: str) -> list[tuple[str, int, int]]:
-    """(token, times, characters of article text in it) of one page; the page itself is the token "/"."""
+def page_tokens(page: str) -> list[tuple[str, int, float, float]]:
+    """(token, times, share of the page's text in it, share directly in it) of one page; the page itself is the token "/". A page without text has none."""
     found, containers = blocks(page)
-    chars: Counter = Counter()
+    if not found:
+        return []
+    chars, own = Counter(), Counter()
     times: Counter = Counter({"/": 1}) + containers
-    for path, text, outside in found:
-        times[_block_key(path, text)] += 1
-        if not outside:
-            parts = path.split("/")
-            for i in range(2, len(parts) + 1):
-                chars["/".join(parts[:i])] += len(text)
-            chars["/"] += len(text)
-    return [(t, n, chars.get(t, 0)) for t, n in times.items()]
+    for path, text, _ in found:
+        key = _block_key(path, text)
+        times[key] += 1
+        chars[key] += len(text)
+        own[path or "/"] += len(text)
+        parts = path.split("/")
+        for i in range(2, len(parts) + 1):
+            chars["/".join(parts[:i])] += len(text)
+        chars["/"] += len(text)
+    return [(t, n, chars[t] / chars["/"], own[t] / chars["/"]) for t, n in times.items()]
 
 
 def host_of(url: Column) -> Column:
@@ -140,61 +149,104 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the deduced template of each host with enough different pages, as JSON."""
+    """(host, template): the deduced template of each host with enough different pages, as JSON.
+
+    A template's tokens occur in LEAST_SHARE of the host's pages at least, so that there are at most 1 / LEAST_SHARE times as many as a
+    page has on average, whatever the number of pages.
+    """
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(h, k, *zip(*page_tokens(p))) for h, k, p in zip(pdf["host"], pdf["page_key"], pdf["html"])]
-            yield pd.DataFrame({"host": [r[0] for r in rows], "page_key": np.array([r[1] for r in rows], np.int64), "token": [list(r[2]) for r in rows], "times": [list(r[3]) for r in rows], "chars": [list(r[4]) for r in rows]})
+            rows = [(h, k, page_tokens(p)) for h, k, p in zip(pdf["host"], pdf["page_key"], pdf["html"])]
+            lists = {name: [[t[i] for t in r[2]] for r in rows] for i, name in enumerate(("token", "times", "chars", "own"))}
+            yield pd.DataFrame({"host": [r[0] for r in rows], "page_key": np.array([r[1] for r in rows], np.int64), **lists})
 
     x = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page_key"), F.coalesce("html", F.lit("")).alias("html")).where("host <> ''")
     # Copies of a page say nothing new: without them, each occurrence vector is over different pages.
-    each = x.mapInPandas(tokens, "host string, page_key long, token array<string>, times array<int>, chars array<int>").dropDuplicates(["host", "page_key"])
-    each = each.select("host", "page_key", F.explode(F.arrays_zip("token", "times", "chars")).alias("t")).select("host", "page_key", "t.token", "t.times", "t.chars")
+    each = x.mapInPandas(tokens, "host string, page_key long, token array<string>, times array<int>, chars array<double>, own array<double>").dropDuplicates(["host", "page_key"])
+    each = each.select("host", "page_key", F.explode(F.arrays_zip("token", "times", "chars", "own")).alias("t")).select("host", "page_key", "t.token", "t.times", "t.chars", "t.own")
     vector = F.bit_xor(F.xxhash64("page_key", "times"))
-    seen = each.groupBy("host", "token").agg(vector.alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars")).where(F.col("pages") >= LEAST_PAGES)
-    root = seen.where("token = '/'").select("host", F.col("vector").alias("root_vector"), F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
-    same = seen.where("token <> '/'").join(root, "host").where("vector = root_vector and pages = all_pages")
-    # A page's own tokens bound a host's class, whatever its number of pages.
-    members = same.groupBy("host").agg(F.collect_list(F.struct("token", "chars")).alias("members"), F.max("all_chars").alias("all_chars"))
+    seen = each.groupBy("host", "token").agg(vector.alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("own").alias("own"))
+    seen = materialize(seen.where(F.col("pages") >= LEAST_PAGES))
+    totals = seen.where("token = '/'").select("host", F.col("pages").alias("all_pages"))
+    totals = F.broadcast(totals) if totals.count() <= FEW_HOSTS else totals
+    members = seen.join(totals, "host").where(F.col("pages") >= LEAST_SHARE * F.col("all_pages"))
+    members = members.groupBy("host").agg(F.collect_list(F.struct("token", "vector", "pages", "chars", "own")).alias("members"))
 
     def deduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"host": pdf["host"], "template": [json.dumps(_nested({m["token"]: m["chars"] for m in ms}, n)) for ms, n in zip(pdf["members"], pdf["all_chars"])]})
+            yield pd.DataFrame({"host": pdf["host"], "template": [json.dumps(nested([tuple(m[c] for c in ("token", "vector", "pages", "chars", "own")) for m in ms])) for ms in pdf["members"]]})
 
     return members.mapInPandas(deduce, "host string, template string")
 
 
-def _nested(members: dict[str, int], all_chars: int) -> dict:
-    """Keep the containers whose outer containers are of the class too, and find the innermost that holds the article."""
-    paths = {m for m in members if m[0] == "/"}
-    valid = {p for p in paths if all("/".join(p.split("/")[:i]) in paths for i in range(2, p.count("/") + 1))}
-    inner = [p for p in valid if members[p] >= MAIN_SHARE * all_chars and members[p]]
-    named = [p for p in inner if p.rsplit("/", 1)[1].split(".")[0] in MAIN]
-    main = max(named or inner, key=lambda p: (p.count("/"), p), default="")
-    return {"main": main, "fixed": sorted(m for m in members if m[0] == "#")}
+def _outer(path: str) -> str:
+    return path.rsplit("/", 1)[0] or "/"
+
+
+def nested(members: list[tuple[str, int, int, float, float]]) -> dict:
+    """The template of a host from its tokens (token, vector, pages, text in it, text directly in it), text as a sum of shares of pages.
+
+    Tokens of one vector are a class. A class is valid if its containers stand in containers of the template, all the way out. Fixed blocks
+    are those of a class that has a container too. The slots run from the page inwards: the article's is the container that holds
+    MAIN_SHARE of the varying text of the one around it, until a container holds such text itself.
+    """
+    containers = {t: (v, n, chars, own) for t, v, n, chars, own in members if t[0] == "/"}
+    valid = {t for t in containers if t == "/" or all("/".join(t.split("/")[:i]) in containers for i in range(2, t.count("/") + 1))}
+    classes = {containers[t][0] for t in valid}
+    fixed = {t: chars for t, v, n, chars, _ in members if t[0] == "#" and n >= FIXED_PAGES and v in classes}
+    inside, directly = Counter(), Counter()  # text of fixed blocks
+    for t, chars in fixed.items():
+        path = t[1:].split(" ", 1)[1] or "/"
+        directly[path] += chars
+        while path != "/":
+            inside[path] += chars
+            path = _outer(path)
+        inside["/"] += chars
+    varying = {t: max(0.0, containers[t][2] - inside[t]) for t in valid}
+    slots, at = [], "/"
+    inner: dict[str, list[str]] = {}
+    for t in valid - {"/"}:
+        inner.setdefault(_outer(t), []).append(t)
+    # Layouts differ in their outer containers: each child that holds enough of the text of the pages that have it is followed.
+    todo = [at]
+    while todo:
+        at = todo.pop()
+        if at != "/":
+            slots.append(at)
+        if containers[at][3] - directly[at] > OWN_SHARE * varying[at]:
+            continue
+        for child in inner.get(at, []):
+            around = varying[at] * containers[child][1] / max(1, containers[at][1])  # in the pages that have the child, on average
+            if varying[child] > 0 and varying[child] >= MAIN_SHARE * min(around, varying[at]):
+                todo.append(child)
+    return {"slots": sorted(slots, key=lambda t: (-t.count("/"), -varying[t], t)), "fixed": sorted(fixed)}
+
 
+def extract(page: str, template: dict | None, roles: bool = True) -> str:
+    """The article's blocks, one to a line: those of the template's slot, else by the roles of elements.
 
-def extract(page: str, template: dict | None) -> str:
-    """The article's blocks, one to a line."""
-    found, _ = blocks(page)
-    rest = [(path, text) for path, text, outside in found if not outside]
-    if template:
+    Inside the slot only what is below it can leave the article by its role; without `roles`, nothing does.
+    """
+    found, containers = blocks(page)
+    slot = next((t for t in template["slots"] if t in containers), None) if template else None
+    if slot is not None:
         fixed = set(template["fixed"])
-        rest = [(path, text) for path, text in rest if _block_key(path, text) not in fixed]
-        main = template["main"]
-        slot = [(path, text) for path, text in rest if main and (path == main or path.startswith(main + "/"))]
-        rest = slot or rest
+        depth = slot.count("/")
+        rest = [(path, text, left) for path, text, left in found if (path == slot or path.startswith(slot + "/")) and _block_key(path, text) not in fixed]
+        return "\n".join(text for _, text, left in rest if not roles or left <= depth)
+    rest = [(path, text) for path, text, left in found if not roles or not left]
     named = [(path, text) for path, text in rest if any(p.split(".")[0] in MAIN for p in path.split("/"))]
-    return "\n".join(text for _, text in named or rest)
+    return "\n".join(text for _, text in (named if roles and named else rest))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, roles: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html), from the whole html.
 
     Null html counts as empty; pages without an article give an empty text. Hosts with fewer than LEAST_PAGES different
-    pages, and pages without a host in their url, are read by the roles of their elements alone. Copies of a page
-    teach nothing new and get the same text; null ids and urls stay null. An empty table gives no rows.
+    pages, pages without a host in their url, and pages that have none of their host's slots are read by the roles of their elements
+    alone. Copies of a page teach nothing new and get the same text; null ids and urls stay null. An empty table gives no rows.
+    Without `roles`, templates alone decide.
 
     Templates go to the tasks in a broadcast if their measured size is under BROADCAST_BYTES, else by a join on
     the host with salts, so that a host with a third of all pages is dealt over many tasks.
@@ -223,7 +275,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                     if len(parsed) > 10_000:
                         parsed.clear()
                     parsed[template] = json.loads(template)
-                texts.append(extract(page, parsed.get(template) if isinstance(template, str) else None))
+                texts.append(extract(page, parsed.get(template) if isinstance(template, str) else None, roles))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts})
 
     return x.mapInPandas(run, schema).withColumn("n_chars", F.length("text").cast("long"))

@@ -42,6 +42,58 @@ def test_template_of_a_host_without_roles(spark, monkeypatch, broadcast):
     assert all(got[i] == want[i] for i in want) and got[120] == want[0]
 
 
+def _words(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefg"), 5)) for _ in range(n))
+
+
+def test_layouts_and_odd_pages_keep_their_templates(spark):
+    """Two layouts, empty pages, an error page and a very long page on one host, without telling tags or names."""
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for i in range(40):
+        body = [_words(rng, 25) for _ in range(rng.integers(1, 4))]
+        if i == 39:
+            body = [_words(rng, 60_000)]
+        text = "".join(f"<p>{b}</p>" for b in body)
+        if i % 2:
+            page = f"<div class=a1><p>{_words(rng, 3)}</p></div><div class=a2><p>Printed here</p>{text}</div>"
+        else:
+            page = f"<div class=b1>{text}<p>All rights kept</p></div><div class=b2><p>{_words(rng, 4)}</p></div>"
+        rows.append((i, "https://h.example/x", f"<html><body><div class=top>Our Site</div>{page}</body></html>"))
+        want[i] = "\n".join(body)
+    rows += [(100, "https://h.example/e", None), (101, "https://h.example/e", ""), (102, "https://h.example/e", "<html><body><p>Not found</p></body></html>")]
+    got = {r.page_id: r.text for r in html_extract.main_text(pages(spark, rows), roles=False).collect()}
+    assert all(got[i] == want[i] for i in want)
+    assert got[100] == got[101] == "" and got[102] == "Not found"
+
+
+def test_templates_alone_find_the_articles(spark):
+    """The given pages with roles switched off: right wherever a host has two different pages."""
+    import duckdb
+
+    from gridwake.llm.queries import OP3
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    want = {r[0]: r[2] for r in con.sql(OP3).fetchall()}
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.main_text(table, roles=False).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 244
+
+
+def test_near_copies_on_a_host_keep_what_they_share(spark):
+    rng = np.random.default_rng(5)
+    body = [_words(rng, 30) for _ in range(5)]
+    rows = [(i, "https://n.example/1", "<html><body><div class=m>" + "".join(f"<p>{b}</p>" for b in [*body[:i], f"edit {i}", *body[i + 1 :]]) + "</div></body></html>") for i in range(2)]
+    assert texts(spark, rows) == {i: "\n".join([*body[:i], f"edit {i}", *body[i + 1 :]]) for i in range(2)}
+
+
+@pytest.mark.parametrize("part, line", [("<header class='entry-header'><h1>Title</h1></header>", "Title"), ("<h2 id='related-work'>Rel</h2>", "Rel"), ("<p class='side-note'>Side</p>", "Side"), ("<p>E <math><mi>m</mi></math> end</p>", "E m end")])
+def test_article_text_with_telling_names_stays(part, line):
+    page = f"<html><body><main><article>{part}<p>Text</p><div class='comments'><p>Nice</p></div></article></main></body></html>"
+    assert html_extract.extract(page, None) == f"{line}\nText"
+
+
 def test_few_pages_have_no_template(spark):
     rows = [(i, "https://s.example/1", "<html><body><p>The same words</p></body></html>") for i in range(20)]
     assert set(texts(spark, rows).values()) == {"The same words"}
