@@ -1,18 +1,18 @@
-"""Toxicity by compression distance between two zstandard dictionaries.
-
-A window of text (by default one word) is written in fixed-length codes: one of the word's first letters and one of the
-whole word. Equal words then share long runs of bytes and different words none, so that the length a window compresses to
-tells whether a dictionary knows it. The toxic dictionary holds the windows that are typical of toxic training text beside the
-most common ones; the ordinary dictionary holds other common windows in their place. A document's evidence is how much shorter its
-distinct windows come out under the toxic dictionary; logistic calibration on training rows that had no part in the
-dictionaries used turns it into a score.
+"""Toxicity by compression distance between zstandard dictionaries trained on toxic and on ordinary text.
+
+A window of text is one word, written in fixed-length codes: one of the word's first letters and one of the whole word. Equal words
+then share long runs of bytes and different words none, so that the length a window compresses to tells whether a dictionary
+knows it; on plain text, chance syllables match in either dictionary. Each kind of text trains several dictionaries on parts of its
+own: a word counts as known to toxic text if all of its dictionaries know it, and as known to ordinary text if one does.
+A document's evidence is how much shorter its distinct windows come out under the toxic dictionaries; logistic calibration on training
+rows that had no part in the dictionaries used turns it into a score.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,10 +28,8 @@ TOXIC_ROWS = 3000  # labelled rows of either kind that are used for training
 ORDINARY_ROWS = 6000
 STEM = 4
 LEVEL = 3
-CONTRAST = 6.0  # how many times as many contexts a typical window has in toxic text
-LEAST_CONTEXTS = 4
-TYPICAL = 1024
-COMMON = 4096
+PARTS = {0: 16, 1: 2}  # dictionaries of either kind
+DICTIONARY_BYTES = {0: 32_768, 1: 16_384}
 MISS_COST = 4.0  # a toxic document that passes weighs as much as so many clean ones rejected
 GAIN = 2  # bytes by which a window must be shorter to count
 WINDOWS_KEPT = 150_000
@@ -45,57 +43,83 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def code(unit: str) -> bytes:
-    return xxhash.xxh64_digest(unit)
-
-
-_FRAME = code("frame 1") + code("frame 2")
+    return xxhash.xxh3_128_digest(unit)
 
 
 def units(word: str) -> tuple[str, str]:
     return word[:STEM] + "~", word
 
 
-def dictionaries(typical: list[str], common: list[str]) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary; both lists have the strongest unit last."""
-    typical, shared = typical[-TYPICAL:], common[-COMMON:]
-    other = common[-COMMON - len(typical) : -COMMON] if len(common) > COMMON else [f"other {i}" for i in range(len(typical))]
-    base = b"".join(map(code, shared))
-    return tuple(_FRAME + b"".join(map(code, own)) + base + _FRAME for own in (typical, other))
+def trained(texts: Iterable[str], size: int) -> bytes | None:
+    """A dictionary trained on the coded words of some texts; None if they are too few to train one.
+
+    A word that follows the same word as in an earlier text is left out, so that copies and repeated passages count once.
+    """
+    seen, samples = set(), []
+    for text in texts:
+        words = _WORD.findall(text.lower())
+        new = []
+        for pair in dict.fromkeys(zip(["", *words], words)):
+            h = xxhash.xxh3_64_intdigest("\n".join(pair))
+            if h not in seen:
+                seen.add(h)
+                new.append(pair[1])
+        if new:
+            samples.append(b"".join(map(code, dict.fromkeys(u for w in new for u in units(w)))))
+    try:
+        return zstandard.train_dictionary(size, samples, k=len(code("")), d=8).as_bytes()
+    except zstandard.ZstdError:
+        return None
 
 
 class Distance:
-    """How much shorter a window is under the toxic dictionary than under the ordinary one."""
+    """How much shorter a window is under the toxic dictionaries than under the ordinary ones."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, level: int = LEVEL) -> None:
+    def __init__(self, ordinary: list[bytes], toxic: list[bytes], level: int = LEVEL) -> None:
         def compressor(content: bytes) -> zstandard.ZstdCompressor:
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content)
             d.precompute_compress(level=level)
             return zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_dict_id=False, write_checksum=False)
 
-        self.toxic, self.ordinary, self.kept = compressor(toxic), compressor(ordinary), {}
+        self.ordinary, self.toxic = list(map(compressor, ordinary)), list(map(compressor, toxic))
+        self.kept: dict[str, int] = {}
+        self.stems: dict[str, int] = {}
+        self.unknown = max((len(c.compress(code("\0"))) for c in self.toxic), default=0)  # of a window that no dictionary knows
+
+    def _gain(self, unit: str) -> int:
+        window = code(unit)
+        longest = 0
+        for c in self.toxic:
+            longest = max(longest, len(c.compress(window)))
+            if longest + GAIN >= self.unknown:
+                return 0
+        gain = min((len(c.compress(window)) for c in self.ordinary), default=self.unknown) - longest
+        return gain if gain > GAIN else 0
 
     def gain(self, word: str) -> int:
+        """Bytes gained by the codes of a word, each if it gains more than GAIN."""
         got = self.kept.get(word)
         if got is None:
-            if len(self.kept) > WINDOWS_KEPT:
-                self.kept.clear()
+            for table in (self.kept, self.stems):
+                if len(table) > WINDOWS_KEPT:
+                    table.clear()
             stem, whole = units(word)
-            window = _FRAME + code(stem) + _FRAME + code(whole) + _FRAME
-            got = self.kept[word] = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
+            if stem not in self.stems:
+                self.stems[stem] = self._gain(stem)
+            got = self.kept[word] = self.stems[stem] + self._gain(whole)
         return got
 
     def evidence(self, text: str) -> float:
-        """Bytes gained by the distinct windows that gain, over the root of their number; 0 for an empty text."""
+        """Bytes gained by the distinct windows, over the root of their number; 0 for an empty text."""
         found = set(_WORD.findall(text.lower()))
-        gains = [g for g in map(self.gain, found) if g > GAIN]
-        return sum(gains) / math.sqrt(len(found) + 10)
+        return sum(map(self.gain, found)) / math.sqrt(len(found) + 10) if self.toxic else 0.0
 
 
 _DISTANCES: dict[bytes, Distance] = {}
 
 
-def _distance(contents: tuple[bytes, bytes]) -> Distance:
-    key = xxhash.xxh3_128_digest(contents[0] + contents[1])
+def _distance(contents: tuple[list[bytes], list[bytes]]) -> Distance:
+    key = xxhash.xxh3_128_digest(b"".join(contents[0] + contents[1]))
     if key not in _DISTANCES:
         _DISTANCES.clear()
         _DISTANCES[key] = Distance(*contents)
@@ -119,29 +143,23 @@ def _training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary
     return materialize(rows.withColumn("fold", F.pmod(F.floor(F.crc32(F.col("doc_id").cast("string")) / 5), F.lit(2)).cast("int"))), sizes
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct (unit, word before it) of each kind and fold in a batch."""
-    for pdf in batches:
-        seen = set()
-        for text, toxic, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"]):
-            w = _WORD.findall(text.lower())
-            for before, word in set(zip(["", *w], w)):
-                h = xxhash.xxh32_intdigest(before)
-                seen.update((u, h, toxic, fold) for u in units(word))
-        yield pd.DataFrame(list(seen), columns=["unit", "before", "toxic", "fold"]).astype({"before": "int64", "toxic": "int32", "fold": "int32"})
+def _dictionaries(rows: DataFrame) -> dict[int, tuple[list[bytes], list[bytes]]]:
+    """Ordinary and toxic dictionaries from fold 0, fold 1 and both (2). Each is trained in a task on a part of the sampled rows."""
+    x = rows.withColumn("fold", F.explode(F.array("fold", F.lit(2))))
+    parts = F.when(F.col("toxic") == 1, PARTS[1]).otherwise(PARTS[0])
+    x = x.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), parts).cast("int"))
 
+    def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fold, toxic, _ = key
+        return pd.DataFrame({"fold": [fold], "toxic": [toxic], "content": [trained(pdf.sort_values(["doc_id", "text"])["text"], DICTIONARY_BYTES[toxic])]})
 
-def _lists(counts: DataFrame, fold: int | None, ratio: float) -> tuple[list[str], list[str]]:
-    """Typical and common units by their contexts in one fold, or in both; at most TYPICAL and COMMON + TYPICAL of them come to the driver."""
-    n = lambda toxic: F.sum(F.when((F.col("toxic") == toxic) & (F.lit(True) if fold is None else F.col("fold") == fold), F.col("n")).otherwise(0))
-    c = counts.groupBy("unit").agg(n(1).alias("c1"), n(0).alias("c0")).withColumn("contrast", (F.col("c1") + 0.5) / (F.col("c0") / ratio + 0.5))
-    least = LEAST_CONTEXTS if fold is None else max(2, LEAST_CONTEXTS // 2)
-    typical = c.where((F.col("c1") >= least) & (F.col("contrast") > CONTRAST)).orderBy(F.desc("contrast"), "unit").limit(TYPICAL).collect()
-    common = c.where((F.col("c0") >= 2) & (F.col("contrast") <= 2)).orderBy(F.desc("c0"), "unit").limit(COMMON + TYPICAL).collect()
-    return [r["unit"] for r in reversed(typical)], [r["unit"] for r in reversed(common)]
+    # At most 3 * (PARTS[0] + PARTS[1]) rows of DICTIONARY_BYTES come to the driver.
+    got = x.select("fold", "toxic", "part", "doc_id", "text").groupBy("fold", "toxic", "part").applyInPandas(train, "fold int, toxic int, content binary").where("content is not null").collect()
+    own = lambda fold, toxic: sorted(bytes(r["content"]) for r in got if (r["fold"], r["toxic"]) == (fold, toxic))
+    return {fold: (own(fold, 0), own(fold, 1)) for fold in (0, 1, 2)}
 
 
-def _evidence(rows: DataFrame, contents: tuple[bytes, bytes], keep: list[str]) -> DataFrame:
+def _evidence(rows: DataFrame, contents: tuple[list[bytes], list[bytes]], keep: list[str]) -> DataFrame:
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep) + ", evidence double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,21 +183,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(0.0, float(beta[0])), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> tuple[tuple[bytes, bytes], float, float]:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> tuple[tuple[list[bytes], list[bytes]], float, float]:
     """Dictionaries and calibration from at most toxic_rows + ordinary_rows labelled rows, none of them held out."""
     rows, sizes = _training_rows(docs, labels, toxic_rows, ordinary_rows)
-    counts = rows.mapInPandas(_contexts, "unit string, before long, toxic int, fold int").distinct().groupBy("unit", "toxic", "fold").agg(F.count("*").alias("n"))
-    counts = materialize(counts)
+    dictionaries = _dictionaries(rows)
     n = {k: max(1, min(sizes.get(k, 0), m)) for k, m in ((0, ordinary_rows), (1, toxic_rows))}
-    got = []
-    for fold in (0, 1):
-        contents = dictionaries(*_lists(counts, fold, n[0] / n[1]))
-        got.append(_evidence(rows.where(F.col("fold") != fold), contents, ["toxic"]).toPandas())  # two numbers for each sampled row
+    # The evidence of a row comes from dictionaries that it had no part in; two numbers for each sampled row.
+    got = [_evidence(rows.where(F.col("fold") != fold), dictionaries[fold], ["toxic"]).toPandas() for fold in (0, 1)]
     seen = pd.concat(got, ignore_index=True)
     y = seen["toxic"].to_numpy(np.float64)
     weight = np.where(y == 1, MISS_COST * sizes.get(1, 0) / n[1], sizes.get(0, 0) / n[0])
     slope, intercept = _logistic(seen["evidence"].to_numpy(), y, weight) if len(seen) else (0.0, -30.0)
-    return dictionaries(*_lists(counts, None, n[0] / n[1])), slope, intercept
+    return dictionaries[2], slope, intercept
 
 
 def score(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> DataFrame:

@@ -303,6 +303,39 @@ def test_toxicity(spark, documents):
     assert {r.predicted for r in toxicity.score(documents(rows[:5]), none).collect()} == {0}
 
 
+def test_evidence_equals_plain_compression(spark):
+    """Scores against every window compressed under every dictionary, without tables or shortcuts; copies teach nothing twice."""
+    import zstandard
+
+    rnd = random.Random(14)
+    bad = ["vilewort", "grubscum", "dolthead"]
+    ordinary = [[_prose(rnd, 60) for _ in range(60)] for _ in range(3)]
+    toxic = [[" ".join([*_prose(rnd, 30).split(), rnd.choice(bad), *_prose(rnd, 30).split(), rnd.choice(bad)]) for _ in range(60)] for _ in range(2)]
+    contents = [[toxicity.trained(t, 16_384) for t in part] for part in (ordinary, toxic)]
+    assert toxicity.trained(ordinary[0] * 3, 16_384) == contents[0][0] and toxicity.trained(["a"], 16_384) is None
+    distance = toxicity.Distance(*contents)
+
+    def length(content, unit):
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False, write_checksum=False).compress(toxicity.code(unit)))
+
+    def gain(unit):
+        g = min(length(c, unit) for c in contents[0]) - max(length(c, unit) for c in contents[1])
+        return g if g > toxicity.GAIN else 0
+
+    for text in ["", toxic[0][0], ordinary[1][3], "VILEWORT vilewort the", "the zzz unseen grubscum " * 50]:
+        found = set(re.findall(r"\w+", text.lower()))
+        assert distance.evidence(text) == pytest.approx(sum(gain(u) for w in found for u in toxicity.units(w)) / math.sqrt(len(found) + 10))
+    assert all(distance.gain(w) > 0 for w in bad)
+
+
+def test_toxicity_of_repeated_rows_and_empty_tables(spark, documents, awkward):
+    known = spark.createDataFrame([(3, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(documents(awkward), known).collect()
+    assert len(got) == len(awkward) and len({r.score for r in got if r.doc_id == 3}) == 1 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score(documents([]), known).count() == 0
+    assert toxicity.keep_clean(documents(awkward), known).count() <= len(awkward)
+
+
 def test_held_out_labels_are_never_read(spark, documents):
     rnd = random.Random(10)
     rows = [(i, _prose(rnd, 40)) for i in range(100)]
