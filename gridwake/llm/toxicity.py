@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwake.llm.common import materialize
@@ -136,7 +136,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary
         # An even cut on a hash leaves about twice the rows wanted; only they are sorted.
         share = min(1.0, 2.0 * most[kind] / max(1, sizes.get(kind, 0)))
         few = known.where((F.col("toxic") == kind) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) <= share * (1 << 30)))
-        few = few.withColumn("_r", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_r") <= most[kind]).drop("_r")
+        few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[kind])  # each task keeps that many at most
         picked = few if picked is None else picked.union(few)
     picked = materialize(picked)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # toxic_rows + ordinary_rows at most

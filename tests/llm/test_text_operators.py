@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from gridwake.llm import fingerprint, jaccard_join, mixing, packing, quality, sharding, token_count, toxicity
 
@@ -224,19 +225,74 @@ def test_quality(spark, documents):
     assert all(r.keep for r in quality.classify(documents(rows[:3]), none).collect())
 
 
-def test_kneser_ney_probabilities_add_up(spark, documents):
+def _kneser_ney(texts):
+    """Probability of a symbol after its context, by the published recursion on plain dictionaries; texts are lists of framed symbols."""
+    n = quality.ORDER
+    counts = {n: Counter(tuple(t[i - n + 1 : i + 1]) for t in texts for i in range(n - 1, len(t)))}
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts, after = {}, {}
+    for k, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+        y = n1 / max(1, n1 + 2 * n2)
+        discounts[k] = [0] + [min(max(i - (i + 1) * y * b / max(1, a), 0.1), i - 0.1) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        after[k] = defaultdict(dict)
+        for g, v in c.items():
+            after[k][g[:-1]][g[-1]] = v
+
+    def p(context, w):
+        k = len(context) + 1
+        lower = p(context[1:], w) if context else 1 / (len(counts[1]) + 1)
+        seen = after[k].get(context)
+        if not seen:
+            return lower
+        total, d = sum(seen.values()), discounts[k]
+        own = seen[w] - d[min(3, seen[w])] if w in seen else 0
+        return own / total + sum(d[min(3, v)] for v in seen.values()) / total * lower
+
+    return p
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 300, 1])
+def test_scores_equal_the_published_recursion(spark, documents, monkeypatch, hot):
+    """Frequent n-grams by look-up, the others by join: the same sums; also for repeated, empty and null texts, and null ids."""
+    monkeypatch.setattr(quality, "HOT_KEYS", hot)
+    monkeypatch.setattr(quality, "FILTER_BITS", 1 << 20)
+    rnd = random.Random(13)
+    rows = [(i, " ".join(rnd.choice([*WORDS[:9], "Is", "12", "of."]) for _ in range(30))) for i in range(20)] + [(50, "the of zebra the of and"), (None, "of of the\n12"), (None, ""), (50, "a"), (50, "a"), (51, None)]
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    m = quality.fit(documents(rows), labels)
+    teaches = {r.doc_id for r in documents(rows).where("doc_id < 20").where(~quality._sets_thresholds(F.col("doc_id"))).collect()}
+
+    def framed(read, t):
+        x, _ = read([t or ""])
+        return [quality._PAD] * (quality.ORDER - 1) + x.tolist() + [quality._END] if len(x) else []
+
+    got = Counter((r.doc_id, r.n_symbols, round(r.surprise, 6) + 0.0, r.n_shapes, round(r.shape_surprise, 6) + 0.0) for r in quality.scores(documents(rows), m).collect())
+    want, models = Counter(), {f: _kneser_ney([framed(f, t) for i, t in rows if i in teaches]) for f in (quality.letters, quality.shapes)}
+    for i, t in rows:
+        out = [i]
+        for f, p in models.items():
+            x = framed(f, t)
+            k = quality.ORDER - 1
+            out += [max(0, len(x) - k), round(-sum(math.log(p(tuple(x[j - k : j]), x[j])) for j in range(k, len(x))), 6) + 0.0]
+        want[tuple(out)] += 1
+    assert got == want
+
+
+def test_probabilities_add_up(spark):
     rnd = random.Random(8)
-    docs = documents([(i, _prose(rnd, 60)) for i in range(30)])
-    m = quality.fit(docs, spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int"))
-    keys, p = m.p[2]
-    contexts = keys // m.n
-    some = contexts[len(contexts) // 2]
-    own = keys[contexts == some] % m.n
-    v = int(some % m.n)
-    g3 = m._find(m.gamma[2], np.array([some]))[0]
-    lower = np.array([m._find(m.p[1], m.key(1, [np.array([v]), np.array([w])]))[0] for w in own])
-    discounted = p[contexts == some].sum() - g3 * np.nansum(lower)
-    assert discounted + g3 == pytest.approx(1, abs=1e-9)
+    p = _kneser_ney([[1] * 4 + [rnd.choice("abcd") for _ in range(200)] + [2] for _ in range(5)])
+    for context in (("a", "b"), ("c",), ("d", "a", "b", "c"), (1, 1, 1, 1)):
+        assert sum(p(context, w) for w in [*"abcd", 2, "never"]) == pytest.approx(1)
+
+
+def test_readings():
+    at = lambda f, t: f([t])[0].tolist()
+    assert at(quality.letters, "Ab  9\n\nç") == [ord(c) for c in "ab 0\nç"] and at(quality.letters, "") == at(quality.shapes, "") == []
+    same = lambda a, b: at(quality.shapes, a) == at(quality.shapes, b)
+    assert same("one two", "three  four") and not same("one two", "one one") and same("x one one", "y two two") and not same("a!", "a!!") and same("a!!!!", "a!!!!!!")
+    assert not same("Ab", "AB") and not same("a" * 9, "a" * 20) and same("é", "e") and len(at(quality.shapes, "Ab Ab Ab")) == 4
 
 
 def test_gibberish_between_frequent_words_is_rejected(spark, documents):
@@ -252,33 +308,6 @@ def test_gibberish_between_frequent_words_is_rejected(spark, documents):
     assert {r.doc_id for r in quality.classify(documents(rows), labels).collect() if not r.keep} == {1000 + i for i in range(15)}
 
 
-@pytest.mark.parametrize("hot", [2.0, 0.02])
-def test_scores_by_join_are_those_of_the_tables(spark, documents, monkeypatch, hot):
-    monkeypatch.setattr(quality, "HOT", hot)
-    rnd = random.Random(13)
-    rows = [(i, " ".join(rnd.choice(WORDS[:9]) for _ in range(30))) for i in range(20)] + [(50, "the of zebra the of and"), (None, "of of the 12"), (None, ""), (50, "a")]
-    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
-    m = quality.fit(documents(rows), labels)
-    p, g = [], []
-    for n, (a, b) in enumerate(m.tables):
-        context = ["u", "v"][2 - n :]
-        p.append({tuple(r[c] for c in [*context, "w"]): r.p for r in a.where("lang = 'en'").collect()})
-        g.append({tuple(r[c] for c in context): r.gamma for r in b.where("lang = 'en'").collect()})
-
-    def prob(x):
-        n = len(x) - 1
-        if x in p[n]:
-            return p[n][x]
-        return g[0][()] / (len(p[0]) + 1) if n == 0 else g[n].get(x[:-1], 1.0) * prob(x[1:])
-
-    want, codes = Counter(), quality._Codes("en")
-    for i, t in rows:
-        s = quality.symbols(t)[0]
-        x = [codes[k] for k in ("<s>", "<s>", *s, "</s>")] if s else []
-        want[i, len(x[2:]), round(-sum(math.log(prob(tuple(x[k : k + 3]))) for k in range(len(x) - 2)), 6) + 0.0] += 1
-    assert Counter((r.doc_id, r.n_symbols, round(r.surprise, 6) + 0.0) for r in quality.scores(documents(rows), m).collect()) == want
-
-
 def test_toxicity(spark, documents):
     rnd = random.Random(9)
     bad = ["vilewort", "grubscum", "dolthead", "wormface"]
