@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from gridwake.llm.common import materialize
 
 ORDER = 5
-HOT_KEYS = 400_000  # n-grams whose weights are sent to the scoring tasks
+HOT_KEYS = 250_000  # n-grams whose weights are sent to the scoring tasks
 QUANTILE = 0.99
 MARGIN = 1.1
 SHAPE_MARGIN = 1.25
 PRIOR_SYMBOLS = 200  # weight of the language's mean in a document's score
 PRIOR_SHAPES = 40
-FILTER_BITS = 1 << 26  # of the filter that tells n-grams which aren't in the model, whatever its size
+BROADCAST_IDS = 1_000_000  # of trusted documents, up to which texts aren't shuffled to meet them
+FILTER_BITS = 1 << 25  # of the filter that tells n-grams which aren't in the model, whatever its size
 CHUNK_CHARS = 200_000  # read at once in a task; a longer text is read in parts of that length, each as a text
 CALIBRATION = 4  # one trusted document in so many sets the thresholds and teaches nothing
 LONG_WORD = 16
@@ -171,6 +172,8 @@ def _text(docs: DataFrame) -> DataFrame:
 def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All trusted documents but those that set the thresholds."""
     good = labels.where("quality = 1").where(~_sets_thresholds(F.col("doc_id"))).select("doc_id").distinct()
+    if good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
     return _text(docs).join(good, "doc_id", "left_semi").select("rid", "lang", "text")
 
 
@@ -278,9 +281,12 @@ class Model:
         return materialize(out)
 
     def hot(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys, weights and log probabilities of the most frequent n-grams, at most HOT_KEYS; the last is NaN but for the longest."""
-        t = self.weights.orderBy(F.desc("c"), "key").limit(HOT_KEYS).select("key", "weight", "log_p").toPandas()
-        return t["key"].to_numpy(np.int64), t["weight"].to_numpy(np.float64), t["log_p"].to_numpy(np.float64)
+        """Keys, weights and log probabilities of the most frequent n-grams, some HOT_KEYS; the last is NaN but for the longest."""
+        share = min(1.0, HOT_KEYS / max(1, self.weights.count()))
+        least = 0 if share == 1.0 else self.weights.agg(F.percentile_approx("c", 1 - share, 1000)).first()[0]
+        t = self.weights.where(F.col("c") > least).select("key", "weight", "log_p").toArrow()
+        return tuple(t.column(c).to_numpy() for c in ("key", "weight", "log_p"))
+
 
     def filter(self) -> np.ndarray:
         """A bit for each key of the model, by its lowest bits: FILTER_BITS / 8 bytes, put together in parts by Spark."""
