@@ -82,7 +82,7 @@ def prefixes(s: np.ndarray, trees: int, depth: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
-    """(doc_id, k1, k2, bands): two hashes of the word sequence, null for texts without words, and the prefix of each tree."""
+    """(doc_id, k1, k2, chars, bands): two hashes of the word sequence, null for texts without words, and the prefix of each tree."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -95,9 +95,9 @@ def signatures(docs: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
                     rows.append((doc_id, k1, k2, prefixes(shingles(w, size), trees, depth).tolist()))
                 else:
                     rows.append((doc_id, None, None, None))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": pd.array([r[1] for r in rows], "Int64"), "k2": pd.array([r[2] for r in rows], "Int64"), "bands": [r[3] for r in rows]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": pd.array([r[1] for r in rows], "Int64"), "k2": pd.array([r[2] for r in rows], "Int64"), "chars": pdf["text"].str.len().astype("int64"), "bands": [r[3] for r in rows]})
 
-    return docs.mapInPandas(sign, "doc_id long, k1 long, k2 long, bands array<long>")
+    return docs.mapInPandas(sign, "doc_id long, k1 long, k2 long, chars long, bands array<long>")
 
 
 def _local_roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -170,16 +170,16 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     """
     x = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = materialize(signatures(x, trees, prefix_length(threshold, trees, recall), size))
-    reps = materialize(signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    reps = materialize(signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("chars").alias("chars")))
     first = signed.join(reps.select("k1", "k2", F.col("rep").alias("doc_id"), "copies"), ["k1", "k2", "doc_id"]).dropDuplicates(["k1", "k2"])
     nodes = first.select("doc_id", F.posexplode("bands").alias("tree", "band"))
     hubs = nodes.groupBy("tree", "band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     edges = materialize(nodes.join(hubs, ["tree", "band"]).where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
     groups = components(edges)
-    member = materialize(groups.join(reps.groupBy("rep").agg(F.max("copies").alias("copies")), F.col("node") == F.col("rep")).select("node", "root", "copies"))
+    member = materialize(groups.join(reps.groupBy("rep").agg(F.max("copies").alias("copies"), F.sum("chars").alias("chars")), F.col("node") == F.col("rep")).select("node", "root", "copies", "chars"))
     texts = x.join(member, x["doc_id"] == member["node"]).select("doc_id", "root", "copies", "text")
-    sizes = member.groupBy("root").agg(F.count("*").alias("n"))
-    parted = texts.join(sizes, "root").withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS)).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    sizes = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS), F.lit(1)).alias("parts"))
+    parted = texts.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("p"), F.greatest(i, F.col("part")).alias("q")))
     )
