@@ -41,22 +41,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.withColumn("sha", F.sha2("canon", 256)).drop("canon").join(bad, "bucket", "left").select(id_col, F.when(F.col("clash"), F.concat_ws("-", "bucket", "sha")).otherwise(F.col("bucket")).alias("fingerprint"))
 
 
+_ROW = ["doc_id", "no_id", "key"]  # what tells documents apart: the id, 0 where there is none, whether there is none, and a hash of the text
+
+
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """Return (doc_id, key, text, edited, next_id, next_key): each document with its edited text.
+    """Return (doc_id, no_id, key, copies, text, edited, next_doc_id, next_no_id, next_key): each document with its edited text.
 
     The last floor(n/3) code points give way to the first as many of the next document in descending doc_id (after the last: the
-    first). Documents are told apart by doc_id and a hash of the text; rows that repeat both are one document. Only ids and hashes
-    are numbered; of the texts, each is shuffled once, and the prefixes that move to another document once more.
+    first). Documents are told apart by doc_id and a hash of the text; rows that repeat both are `copies` of one document, and those without an
+    id come last. Only ids and hashes are numbered; of the texts, each is shuffled once, and the prefixes that move to another document once more.
     """
-    x = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    order = numbered(x.select("doc_id", "key", F.floor(F.length("text") / 3).cast("int").alias("third")).distinct(), [F.desc("doc_id"), F.desc("key")])
+    no_id = F.col("doc_id").isNull()
+    x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), no_id.alias("no_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    order = numbered(x.select(*_ROW, F.floor(F.length("text") / 3).cast("int").alias("third")).distinct(), [F.asc("no_id"), F.desc("doc_id"), F.desc("key")])
     total = max(1, order.count())
-    after = order.select(F.pmod(F.col("row_no") - 1, F.lit(total)).alias("row_no"), F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"))
+    after = order.select(F.pmod(F.col("row_no") - 1, F.lit(total)).alias("row_no"), *[F.col(c).alias(f"next_{c}") for c in _ROW])
     links = materialize(order.join(after, "row_no").drop("row_no"))
-    x = x.groupBy("doc_id", "key").agg(F.first("text").alias("text"))
-    gives = links.select(F.col("next_id").alias("doc_id"), F.col("next_key").alias("key"), F.col("doc_id").alias("to_id"), F.col("key").alias("to_key"), "third")
-    heads = x.join(gives, ["doc_id", "key"]).select(F.col("to_id").alias("doc_id"), F.col("to_key").alias("key"), "third", F.expr("left(text, third)").alias("head"), F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"))
-    return x.join(heads, ["doc_id", "key"]).select("doc_id", "key", "text", F.concat(F.expr("left(text, length(text) - third)"), F.col("head")).alias("edited"), "next_id", "next_key")
+    x = x.groupBy(*_ROW).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    gives = links.select(*[F.col(f"next_{c}").alias(c) for c in _ROW], *[F.col(c).alias(f"to_{c}") for c in _ROW], "third")
+    heads = x.join(gives, _ROW).select(*[F.col(f"to_{c}").alias(c) for c in _ROW], "third", F.expr("left(text, third)").alias("head"), *[F.col(c).alias(f"next_{c}") for c in _ROW])
+    return x.join(heads, _ROW).select(*_ROW, "copies", "text", F.concat(F.expr("left(text, length(text) - third)"), F.col("head")).alias("edited"), *[f"next_{c}" for c in _ROW])
 
 
 def _apart(buckets: DataFrame) -> DataFrame:
@@ -67,20 +71,23 @@ def _apart(buckets: DataFrame) -> DataFrame:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """For every document its fingerprint, that of its edited text, and how alike they and the next document's are.
 
-    Exact digests are alike by 1 where equal, else by 0. Null texts count as empty; a null doc_id has no place in
-    the order and gives no row; rows that repeat doc_id and text give one row; an empty table gives no rows.
-    Texts are compared byte by byte only in buckets that hold more than one of them.
+    Exact digests are alike by 1 where equal, else by 0. Null texts count as empty. Documents without an id follow all others in the order; rows
+    that repeat doc_id and text are one document there and give a row each; an empty table gives no rows.
+    Digests are written once, as a narrow table; texts are read again, and compared byte by byte, only for buckets that hold more than one.
     """
-    both = edited_pairs(docs.where(F.col("doc_id").isNotNull()))
+    both = edited_pairs(docs)
+    following = [f"next_{c}" for c in _ROW]
     canon = both.select("*", canonical(F.col("text")).alias("c0"), canonical(F.col("edited")).alias("c1"))
-    digests = canon.select("doc_id", "key", "next_id", "next_key", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), bucket(F.col("c0")).alias("b0"), bucket(F.col("c1")).alias("b1"), F.sha2("c0", 256).alias("s0"), F.sha2("c1", 256).alias("s1"))
-    placed = digests.select("doc_id", "key", F.posexplode(F.array("b0", "b1")).alias("kind", "bucket"))
+    digests = materialize(canon.select(*_ROW, *following, "copies", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), bucket(F.col("c0")).alias("b0"), bucket(F.col("c1")).alias("b1"), F.sha2("c0", 256).alias("s0"), F.sha2("c1", 256).alias("s1")))
+    placed = digests.select(*_ROW, F.posexplode(F.array("b0", "b1")).alias("kind", "bucket"))
     shared = placed.groupBy("bucket").count().where("count > 1").select("bucket")
     wanted = placed.join(_apart(shared), "bucket", "left_semi")
-    texts = both.join(wanted, ["doc_id", "key"]).select("bucket", canonical(F.when(F.col("kind") == 0, F.col("text")).otherwise(F.col("edited"))).alias("canon"))
-    bad = _apart(clashes(texts))
+    texts = both.join(wanted, _ROW).select("bucket", canonical(F.when(F.col("kind") == 0, F.col("text")).otherwise(F.col("edited"))).alias("canon"))
+    bad = _apart(materialize(clashes(texts)))
     exact = lambda b, s, bad_col: F.when(F.col(bad_col).isNotNull(), F.concat_ws("-", b, s)).otherwise(F.col(b))
     done = digests.join(bad.select(F.col("bucket").alias("b0"), F.lit(1).alias("bad0")), "b0", "left").join(bad.select(F.col("bucket").alias("b1"), F.lit(1).alias("bad1")), "b1", "left")
-    done = materialize(done.select("doc_id", "key", "next_id", "next_key", "n_chars", "edited_sha256", exact("b0", "s0", "bad0").alias("fingerprint"), exact("b1", "s1", "bad1").alias("edited_fingerprint")))
-    following = done.select(F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"), F.col("fingerprint").alias("_next"))
-    return done.join(following, ["next_id", "next_key"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"), (F.col("fingerprint") == F.col("_next")).cast("double").alias("near_next"))
+    done = materialize(done.select(*_ROW, *following, "copies", "n_chars", "edited_sha256", exact("b0", "s0", "bad0").alias("fingerprint"), exact("b1", "s1", "bad1").alias("edited_fingerprint")))
+    theirs = done.select(*[F.col(c).alias(f"next_{c}") for c in _ROW], F.col("fingerprint").alias("_next"))
+    out = done.join(theirs, following).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    alike = lambda c: (F.col("fingerprint") == F.col(c)).cast("double")
+    return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("_next").alias("near_next"))
