@@ -80,18 +80,11 @@ def keys(v: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, probes: int
     return out
 
 
-def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, and which rows have one; all rows must have one length but for the invalid."""
-    sizes = [0 if x is None else len(x) for x in rows]
-    d = max(sizes, default=0)
-    v = np.full((len(rows), max(d, 1)), np.nan)
-    for i, x in enumerate(rows):
-        if sizes[i] == d and d:
-            v[i] = np.array([np.nan if c is None else c for c in x], np.float64)
-    norm = np.sqrt((v * v).sum(axis=1))
-    good = np.isfinite(norm) & (norm > 0)
-    v[~good] = 0
-    return v / np.where(good, norm, 1)[:, None], good
+def unit(rows: list) -> np.ndarray:
+    """Unit vectors in double precision, of one length and without invalid ones; scaled first, so that no square over- or underflows."""
+    v = np.array([np.asarray(x, np.float64) for x in rows]).reshape(len(rows), -1)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
 def _cell_links(key: int, table: int, ids: np.ndarray, copies: np.ndarray, home: np.ndarray, side: np.ndarray, v: np.ndarray, cells: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +93,7 @@ def _cell_links(key: int, table: int, ids: np.ndarray, copies: np.ndarray, home:
     A pair can meet in several cells. It counts in the first table in which it meets, there in the smaller key; both nodes' cells
     tell, so that nothing has to be compared across tasks.
     """
-    near = (v @ v.T >= threshold - 1e-12) & (ids[:, None] != ids[None, :]) & (home[:, None] | home[None, :])
+    near = (v @ v.T >= threshold) & (ids[:, None] != ids[None, :]) & (home[:, None] | home[None, :])
     if side.max() > side.min():
         near &= side[:, None] != side[None, :]
     if near.any():
@@ -122,15 +115,15 @@ def _cell_links(key: int, table: int, ids: np.ndarray, copies: np.ndarray, home:
 
 def linked(pdf: pd.DataFrame, threshold: float, tables: int, probes: int) -> pd.DataFrame:
     """Verified links (vec_id, links, low) within the cells of a bin."""
-    pdf = pdf.sort_values("key", kind="stable")
+    pdf = pdf.assign(width=pdf["embedding"].map(len)).sort_values(["key", "width"], kind="stable")
     key, table, ids, copies, home, side = (pdf[c].to_numpy(np.int64) for c in ("key", "table", "vec_id", "copies", "home", "side"))
-    v, _ = unit(pdf["embedding"].tolist())
+    vectors = pdf["embedding"].tolist()
     cells = np.array(pdf["cells"].tolist(), np.int64).reshape(len(pdf), tables, probes)
-    cuts = np.flatnonzero(np.diff(key)) + 1
+    cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(pdf["width"].to_numpy()) != 0)) + 1
     out = []
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
         w = slice(a, b)
-        links, low = _cell_links(int(key[a]), int(table[a]), ids[w], copies[w], home[w] > 0, side[w], v[w], cells[w], threshold)
+        links, low = _cell_links(int(key[a]), int(table[a]), ids[w], copies[w], home[w] > 0, side[w], unit(vectors[w]), cells[w], threshold)
         some = links > 0
         if some.any():
             out.append((ids[w][some], links[some], low[some]))
@@ -144,25 +137,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     Equal vectors are one node. Every node is indexed in its own cell of each table and looks into the `probes` nearest
     cells; candidates are verified in double precision. A cell with more than BLOCK_ROWS nodes is compared in pairs of blocks.
 
-    Vectors that are null, zero, of another length than the rest of their batch, or hold null or non-finite components link with nothing.
+    Vectors of different lengths never link; each length has lattice cells of its own. Vectors that are null, empty, zero, or hold null or
+    non-finite components link with nothing.
     Rows with a null vec_id give no row; repeated rows are copies of each other. An empty table gives no rows.
     """
     rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    width = F.coalesce(F.size("embedding"), F.lit(0))
-    most = rows.where(width > 0).groupBy(width.alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()  # the usual length
-    d = most["d"] if most else 0
-    usual = F.when(width == d, F.col("embedding"))
-    valid = usual.isNotNull() & ~F.exists(usual, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(usual, lambda c: c != 0)
-    rows = rows.select("vec_id", F.when(valid, usual).alias("embedding"))
+    x = F.col("embedding")
+    valid = (F.size("embedding") > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(x, lambda c: c != 0)
+    rows = rows.select("vec_id", F.when(valid, x).alias("embedding"))
     copy = [F.xxhash64("embedding"), F.xxhash64(F.lit(1), F.transform("embedding", lambda c: c + F.lit(0.0).cast("float")))]
     rows = rows.withColumn("h1", F.when(F.col("embedding").isNotNull(), copy[0])).withColumn("h2", F.when(F.col("embedding").isNotNull(), copy[1]))
     nodes = materialize(rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                v, _ = unit(pdf["embedding"].tolist())
-                yield pdf.assign(cells=list(keys(v, tables, blocks, probes, scale).reshape(len(pdf), -1)))
+            for width, own in pdf.groupby(pdf["embedding"].map(len)):
+                found = keys(unit(own["embedding"].tolist()), tables, blocks, probes, scale) ^ np.int64(width << 40)
+                yield own.assign(cells=list(found.reshape(len(own), -1)))
 
     kind = nodes.schema["embedding"].dataType
     fields = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("embedding", kind), T.StructField("cells", T.ArrayType(T.LongType()))])
