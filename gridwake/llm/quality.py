@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gridwake.llm.common import materialize
 
 ORDER = 5
-HOT_KEYS = 250_000  # n-grams whose weights are sent to the scoring tasks
+HOT_KEYS = 600_000  # n-grams whose weights are sent to the scoring tasks
 QUANTILE = 0.99
 MARGIN = 1.1
 SHAPE_MARGIN = 1.25

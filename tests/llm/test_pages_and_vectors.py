@@ -131,6 +131,18 @@ def test_vectors_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_vectors_of_several_lengths_and_sizes(spark):
+    """Each length links within itself; components near the ends of a double's range neither over- nor underflow."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(30)]
+    rows += [(100 + i, (np.array([1.0, 2.0, 3.0]) * 10.0 ** (200 * (i - 1))).tolist()) for i in range(3)] + [(110, [1.0, 2.0, 3.1]), (111, [-3.0, 1.0, 0.0])]
+    rows += [(200, [0.0] * 3), (201, [1.0, float("inf"), 0.0]), (202, [])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(d).collect()}
+    assert all(got[i] == (3, 100) for i in (100, 101, 102, 110))
+    assert all(got[i] == (0, i) for i in (111, 200, 201, 202))
+
+
 def test_vectors_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 10)
     rng = np.random.default_rng(7)

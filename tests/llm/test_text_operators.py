@@ -130,7 +130,7 @@ def _canonical(t):
 
 
 def test_fingerprints(spark, documents, awkward):
-    rows = [r for r in awkward if "\0" not in (r[1] or "")]
+    rows = awkward
     got = {(r.doc_id, r.fingerprint) for r in fingerprint.fingerprints(documents(rows)).collect()}
     groups = defaultdict(set)
     for i, t in rows:
@@ -144,16 +144,24 @@ def test_clashing_buckets_are_told_apart(spark):
 
 
 def test_edited_fingerprints(spark, documents, awkward):
-    rows = [r for r in awkward if r[0] is not None]
-    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(documents(rows)).collect()}
-    order = sorted(dict(rows).items(), reverse=True)
-    assert len(got) == len(order)
-    for k, (i, t) in enumerate(order):
-        t, after = t or "", order[(k + 1) % len(order)][1] or ""
-        n = len(t) // 3
-        edited = t[: len(t) - n] + after[:n]
-        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
-        assert got[i].near_edited == float(_canonical(t) == _canonical(edited))
+    """A row for every row; documents without an id come last in the order, repeated rows are one document there."""
+    rows = [*awkward, (None, "other text without id"), (3, "a")]
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited) for r in fingerprint.edited_fingerprints(documents(rows)).collect())
+    assert sum(got.values()) == len(rows)
+    order = sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda r: -r[0])
+    ends = [(i, t) for i, t in {(i, t or "") for i, t in rows if i is None}]
+    for tail in (ends, ends[::-1]):  # rows of one id follow a hash of the text
+        want = Counter()
+        whole = [*order, *tail]
+        for k, (i, t) in enumerate(whole):
+            after = whole[(k + 1) % len(whole)][1]
+            n = len(t) // 3
+            edited = t[: len(t) - n] + after[:n]
+            want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), float(_canonical(t) == _canonical(edited))] += sum((j, u or "") == (i, t) for j, u in rows)
+        if want == got:
+            break
+    else:
+        raise AssertionError("no order gives these rows")
     assert fingerprint.edited_fingerprints(documents([])).count() == 0
 
 
@@ -386,6 +394,31 @@ def test_mixing(spark, documents):
     tokens = {d: sum(r.rate * r.n_tokens * (r.posterior if r.domain == d else 1 - r.posterior) for r in got) for d in targets}
     assert tokens["en"] == pytest.approx(tokens["fr"], rel=5e-3)
     assert {r.domain for r in got if r.doc_id is not None and 1000 <= r.doc_id < 2000} == {"fr"}
-    mixed = mixing.mixed(docs, labels, targets=targets)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
+    assert all(r.gap < 0.01 for r in got)
+    clash = docs.withColumn("_key", F.lit(1)).withColumn("_copies", F.lit(2)).withColumn("_row", F.lit(3))
+    mixed = mixing.mixed(clash, labels, targets=targets)
+    assert mixed.columns == clash.columns and mixed.count() == sum(r.copies for r in got)
     assert mixing.mix(docs.limit(0), labels, targets).count() == 0
+    by_source = docs.withColumn("source", F.when(F.col("lang") == "en", "web").otherwise("books"))
+    other = mixing.mix(by_source, labels, {"web": 0.5, "books": 0.5}, domain_col="source").collect()
+    assert {r.domain for r in other if r.doc_id is not None and 1000 <= r.doc_id < 2000} == {"books"} and other[0].gap < 0.01
+
+
+def test_rates_are_a_least_squares_solution(spark):
+    """Against plain projected gradient on the whole matrix, run long; one domain has no target and one target can't be met by nonnegative rates alone."""
+    rng = np.random.default_rng(15)
+    n, domains = 40, ["a", "b", "c"]
+    t, p = rng.integers(5, 100, n).astype(float), rng.dirichlet([0.4, 0.4, 0.4], n)
+    x = spark.createDataFrame([(float(a), b.tolist()) for a, b in zip(t, p)], "n_tokens double, p array<double>")
+    for targets in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.7, "b": 0.3}):
+        got = mixing.fit_rates(x, targets, total=600.0, domains=domains).collect()
+        rates = np.array([r.rate for r in got])
+        assert (rates >= 0).all()
+        have = t @ p
+        wanted = 600 * np.array([targets.get(d, 0.0) for d in domains])
+        loss = lambda r: (((r * t) @ p - wanted) ** 2 / have).sum()
+        r = np.full(n, 600 / t.sum())
+        step = 0.5 / np.linalg.norm((t[:, None] * p) / np.sqrt(have), 2) ** 2
+        for _ in range(20_000):
+            r = np.maximum(0, r - step * 2 * t * (p @ (((r * t) @ p - wanted) / have)))
+        assert loss(rates) <= loss(r) + 0.01 * (wanted**2 / have).sum()
