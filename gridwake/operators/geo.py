@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from gridwake.functions.scalar import equal_area_xy, haversine_km
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+ANCHORS = 10_000
 CELL_DEG = 5.0
 
 
-def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df as a broadcast side if it has at most `limit` rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df as a broadcast side if its rings take at most `limit` bytes, else as it is, for a shuffled join."""
+    size = df.agg(F.sum(64 + 24 * F.size(F.flatten("rings")))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def edges(countries: DataFrame) -> DataFrame:
@@ -68,8 +71,14 @@ def choropleth(countries: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def nearest_anchor_km(points: DataFrame, anchors: DataFrame, kind: str, name: str) -> DataFrame:
-    """Add the distance to the nearest anchor of a kind; anchors are a constant set, so they stand in the expression."""
-    found = [(r["lon"], r["lat"]) for r in anchors.where(F.col("kind") == kind).limit(10_000).collect()]
+    """Add the distance to the nearest anchor of a kind; anchors are a constant set, so they stand in the expression.
+
+    More than ANCHORS raise an error: `neighbors.nearest_neighbour` finds the nearest of a large set.
+    """
+    own = anchors.where(F.col("kind") == kind)
+    found = [(r["lon"], r["lat"]) for r in own.limit(ANCHORS + 1).collect()]
+    if len(found) > ANCHORS:
+        raise ValueError(f"more than {ANCHORS} anchors: use neighbors.nearest_neighbour")
     each = F.array(*[F.struct(F.lit(a).alias("lon"), F.lit(b).alias("lat")) for a, b in found])
     return points.withColumn(name, F.array_min(F.transform(each, lambda p: haversine_km(F.col("longitude"), F.col("latitude"), p["lon"], p["lat"]))))
 

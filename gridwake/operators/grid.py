@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwake.functions.scalar import bin_centre, bin_index, clip01, wrap_longitude
+from gridwake.tables import materialize
 
+BRACKET = 0.0005  # share of a group's rows on either side of a percentile
+SKETCH = 10_000  # accuracy of the sketches: the bracket is five times their error
+SMALL_GROUP = 10_000
 RESOLUTIONS = {"low": 1.0, "mid": 0.5, "high": 0.25}
 
 
@@ -46,10 +50,9 @@ def pyramid(points: DataFrame, weight: str, resolutions: dict[str, float] = RESO
 def normalised_by_p99(cells: DataFrame, by: list[str], least: float = 0.01) -> DataFrame:
     """weight = raw_weight over the 99th percentile of its layer, clipped to [0, 1]; cells under `least` go.
 
-    Percentiles are exact, from the counts of distinct values, which combine before they meet.
+    Percentiles are exact; no task reads a whole layer for them.
     """
-    counts = cells.groupBy(*by, "raw_weight").agg(F.count("*").alias("n"))
-    p99 = counts.groupBy(*by).agg(F.percentile("raw_weight", F.lit(0.99), F.col("n")).alias("p99"))
+    p99 = exact_percentiles(cells, "raw_weight", {"p99": 0.99}, by)
     # One row for each layer.
     weighted = cells.join(F.broadcast(p99), by).withColumn("weight", clip01(F.col("raw_weight") / F.when(F.col("p99") > 0, F.col("p99")).otherwise(1.0)))
     return weighted.where(F.col("weight") >= least).drop("p99")
@@ -64,11 +67,29 @@ def heat_triples(points: DataFrame, grid_deg: float, weight: str) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, value: str, at: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """Linear-interpolated percentiles by group, over counts of distinct values so that no group's rows meet in one task."""
-    by = by or []
-    counts = df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    found = [F.percentile("_v", F.lit(p), F.col("_n")).alias(name) for name, p in at.items()]
-    return counts.groupBy(*by).agg(*found) if by else counts.agg(*found)
+    """Linear-interpolated exact percentiles by group, without a task that reads or holds a whole group's values.
+
+    Mergeable sketches bracket each percentile to 2 * BRACKET of a group's rows; one pass counts the values in the brackets and the rows below
+    them, and only those counts meet to settle the ranks. Groups of up to SMALL_GROUP rows are their own bracket. Nulls don't count.
+    """
+    keys, names = by or ["_g"], list(at)
+    x = df.withColumn("_g", F.lit(0)).select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    edges = [F.percentile_approx("_v", F.array(*[F.lit(min(1.0, max(0.0, p + side * BRACKET))) for p in at.values()]), SKETCH).alias(name) for side, name in ((-1, "_lo"), (1, "_hi"))]
+    sketch = x.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), *edges)
+    small = F.col("_n") <= SMALL_GROUP
+    brackets = sketch.select(*keys, "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.when(small, F.col("_least")).otherwise(F.col("_lo")[i]).alias("lo"), F.when(small, F.col("_most")).otherwise(F.col("_hi")[i]).alias("hi")) for i, p in enumerate(at.values())])).alias("_b"))
+    brackets = materialize(brackets)  # a row for each group and percentile
+    met = x.join(F.broadcast(brackets.groupBy(*keys).agg(F.collect_list("_b").alias("_all"))), keys).withColumn("_b", F.explode("_all")).where(F.col("_v") <= F.col("_b.hi"))
+    counts = met.groupBy(*keys, F.col("_b.i").alias("_i"), F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    seen = counts.withColumn("_seen", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v"))))
+    place = (F.col("_n") - 1) * F.col("_b.p")
+    ranked = seen.join(F.broadcast(brackets.withColumn("_i", F.col("_b.i")).withColumn("_place", place)), [*keys, "_i"])
+    low, high = (F.min(F.when(F.col("_seen") > rank, F.col("_v"))) for rank in (F.floor("_place"), F.ceil("_place")))
+    found = ranked.groupBy(*keys, "_i").agg(low.alias("_low"), high.alias("_high"), F.first("_place").alias("_place"))
+    share = F.col("_place") - F.floor("_place")
+    settled = found.withColumn("_p", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise((1 - share) * F.col("_low") + share * F.col("_high")))
+    out = settled.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_p"))).alias(name) for i, name in enumerate(names)])
+    return out if by else out.drop("_g")
 
 
 def normalised_by_max(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:

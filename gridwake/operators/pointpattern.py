@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwake.functions.scalar import EARTH_KM
@@ -18,19 +18,19 @@ from gridwake.tables import connected, materialize
 BOUNDED_POINTS = 50_000
 
 
-def ranked_hotspots(cells: DataFrame, p: float = 0.95) -> DataFrame:
-    """Cells at or over the percentile of density_sum, ranked by intensity_sum, ties by cell.
-
-    Ranks come from sorted range partitions and their sizes, so that no task sorts all cells.
-    """
-    hot = at_least_percentile(cells, "density_sum", p)
-    order = [F.desc("intensity_sum"), F.asc("lat_idx"), F.asc("lon_idx")]
+def ranked(cells: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their rank from 1 in the given order, from sorted range partitions and their sizes, so that no task sorts all rows."""
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(hot.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = materialize(cells.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     sizes = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))  # a row for each partition
-    return placed.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn("hotspot_rank", (F.col("_b") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("_p", "_b", "_at")
+    return placed.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn(name, (F.col("_b") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("_p", "_b", "_at")
+
+
+def ranked_hotspots(cells: DataFrame, p: float = 0.95) -> DataFrame:
+    """Cells at or over the percentile of density_sum, ranked by intensity_sum, ties by cell."""
+    return ranked(at_least_percentile(cells, "density_sum", p), [F.desc("intensity_sum"), F.asc("lat_idx"), F.asc("lon_idx")], "hotspot_rank")
 
 
 def kernel_density(points: DataFrame, weight: str) -> DataFrame:

@@ -92,10 +92,7 @@ def a8_records_json(spark, d):
 
 @query()
 def a9_e12_file_inventory(spark, d):
-    names = ["lineitem.parquet", "nation.parquet", "events.parquet", "traffic.csv"]
-    lengths = spark.read.format("binaryFile").load([f"{d}/nation.parquet", f"{d}/region.parquet"]).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-    required = spark.createDataFrame([(n,) for n in [*names, "region.parquet"]], "name string")
-    return required.join(lengths, "name", "left").select("name", F.col("length").isNotNull().alias("present"), F.round(F.col("length") / (1024 * 1024), 3).alias("mb"))
+    return validate.file_inventory(spark, d, ["lineitem.parquet", "nation.parquet", "events.parquet", "region.parquet", "traffic.csv"])
 
 
 @query("SELECT country, 1 AS rings, 5 AS corners, lon0 AS west, lat0 AS south FROM countries", "countries")
@@ -373,10 +370,10 @@ def c23_taxonomy(spark, d):
 # ---- ranks and top k
 
 
-@query(", " + _cells("traffic", 1.0) + " SELECT lat_bin, lon_bin, density_sum, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY density_sum DESC, lat_idx, lon_idx) AS rank FROM cells) WHERE rank <= 100", "traffic")
+@query(", " + _cells("traffic", 1.0) + " SELECT lat_bin, lon_bin, density_sum, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY density_sum DESC, lat_idx, lon_idx) AS rank FROM cells)", "traffic")
 def d2_sorted_grid(spark, d):
-    top = grid.aggregate_grid(fx.traffic(spark, d), 1.0).orderBy(F.desc("density_sum"), "lat_idx", "lon_idx").limit(100)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("density_sum"), "lat_idx", "lon_idx")).cast("long")).select("lat_bin", "lon_bin", "density_sum", "rank")
+    cells = grid.aggregate_grid(fx.traffic(spark, d), 1.0)
+    return pointpattern.ranked(cells, [F.desc("density_sum"), F.asc("lat_idx"), F.asc("lon_idx")], "rank").select("lat_bin", "lon_bin", "density_sum", "rank")
 
 
 IN_COUNTRY = ", " + _cells("traffic", 1.0) + ", z AS (SELECT country, avg(density_mean) AS mean_density, avg(intensity_mean) AS mean_intensity, CAST(sum(density_sum) AS BIGINT) AS total_density, CAST(sum(points) AS BIGINT) AS points, count(*) AS cells FROM cells JOIN countries ON lon_bin > lon0 AND lon_bin < lon1 AND lat_bin > lat0 AND lat_bin < lat1 GROUP BY country)"
@@ -651,7 +648,7 @@ def g8_cluster_profiles(spark, d):
 def g9_planar_dbscan(spark, d):
     cells = pointpattern.ranked_hotspots(grid.aggregate_grid(fx.clustered(spark, d), 0.25).where("density_sum > 10000"), 0.0)
     x = cells.withColumn("longitude", F.col("lon_bin")).withColumn("latitude", F.col("lat_bin"))
-    return pointpattern.dbscan(materialize(x), 0.5, 10, "planar").select("hotspot_rank", "cluster_id", "is_noise")
+    return pointpattern.dbscan(materialize(x), 0.05, 10, "planar").select("hotspot_rank", "cluster_id", "is_noise")
 
 
 # ---- autocorrelation and regression (one-degree cells; four-degree cells where the SQL is)

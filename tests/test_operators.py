@@ -235,3 +235,40 @@ def test_p_values_have_the_reference_steps(spark, sf_dir):
 
     p = [r.p_sim * 1000 for r in catalogue.QUERIES["h9_feature_table"](spark, sf_dir).select("p_sim").collect()]
     assert all(x == pytest.approx(round(x)) for x in p) and any(round(x) % 5 for x in p)
+
+
+def test_percentiles_of_distinct_values_settle_in_brackets(spark):
+    """Groups beyond SMALL_GROUP with no equal values, with many equal ones, and a small one with nulls, against numpy."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from gridwake.operators import grid
+
+    n = 60_000
+    x = spark.range(n).select(F.lit("distinct").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / 1024.0).alias("v"))
+    x = x.union(spark.range(n).select(F.lit("ties"), F.floor(F.sqrt(F.col("id") % 100)).cast("double"))).union(spark.range(7).select(F.lit("few"), F.when(F.col("id") > 1, F.col("id").cast("double"))))
+    at = {"low": 0.0, "median": 0.5, "p95": 0.95, "p999": 0.999, "top": 1.0}
+    got = {r.g: r for r in grid.exact_percentiles(x, "v", at, ["g"]).collect()}
+    for g in ("distinct", "ties", "few"):
+        v = np.array([r.v for r in x.where(F.col("g") == g).collect() if r.v is not None])
+        assert all(abs(got[g][name] - np.quantile(v, p)) <= 1e-9 * max(1.0, abs(got[g][name])) for name, p in at.items())
+    whole = grid.exact_percentiles(x, "v", {"m": 0.5}).first().m
+    assert whole == np.quantile(np.array([r.v for r in x.collect() if r.v is not None]), 0.5)
+
+
+def test_inventory_names_what_is_there(spark, sf_dir):
+    from gridwake.plans import catalogue
+
+    got = {r["name"]: (r.present, r.mb) for r in catalogue.QUERIES["a9_e12_file_inventory"](spark, sf_dir).collect()}
+    assert {n for n, (present, _) in got.items() if present} == {"lineitem.parquet", "nation.parquet", "events.parquet", "region.parquet"} and got["traffic.csv"] == (False, None)
+
+
+def test_too_many_anchors_raise(spark, monkeypatch):
+    import pytest
+
+    from gridwake.operators import geo
+
+    monkeypatch.setattr(geo, "ANCHORS", 2)
+    anchors = spark.createDataFrame([("port", float(i), 0.0) for i in range(3)], "kind string, lon double, lat double")
+    with pytest.raises(ValueError):
+        geo.nearest_anchor_km(spark.createDataFrame([(0.0, 0.0)], "longitude double, latitude double"), anchors, "port", "d")
