@@ -53,13 +53,13 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     """
     no_id = F.col("doc_id").isNull()
     x = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), no_id.alias("no_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    order = numbered(x.select(*_ROW, F.floor(F.length("text") / 3).cast("int").alias("third")).distinct(), [F.asc("no_id"), F.desc("doc_id"), F.desc("key")])
+    order = numbered(x.select(*_ROW, F.floor(F.length("text") / 3).cast("int").alias("third")).groupBy(*_ROW, "third").agg(F.count("*").alias("copies")), [F.asc("no_id"), F.desc("doc_id"), F.desc("key")])
     total = max(1, order.count())
     after = order.select(F.pmod(F.col("row_no") - 1, F.lit(total)).alias("row_no"), *[F.col(c).alias(f"next_{c}") for c in _ROW])
     links = materialize(order.join(after, "row_no").drop("row_no"))
-    x = x.groupBy(*_ROW).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    gives = links.select(*[F.col(f"next_{c}").alias(c) for c in _ROW], *[F.col(c).alias(f"to_{c}") for c in _ROW], "third")
-    heads = x.join(gives, _ROW).select(*[F.col(f"to_{c}").alias(c) for c in _ROW], "third", F.expr("left(text, third)").alias("head"), *[F.col(c).alias(f"next_{c}") for c in _ROW])
+    x = x.groupBy(*_ROW).agg(F.first("text").alias("text"))  # alike for both its uses, which then share a shuffle
+    gives = links.select(*[F.col(f"next_{c}").alias(c) for c in _ROW], *[F.col(c).alias(f"to_{c}") for c in _ROW], "third", "copies")
+    heads = x.join(gives, _ROW).select(*[F.col(f"to_{c}").alias(c) for c in _ROW], "third", "copies", F.expr("left(text, third)").alias("head"), *[F.col(c).alias(f"next_{c}") for c in _ROW])
     return x.join(heads, _ROW).select(*_ROW, "copies", "text", F.concat(F.expr("left(text, length(text) - third)"), F.col("head")).alias("edited"), *[f"next_{c}" for c in _ROW])
 
 
@@ -73,17 +73,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     Exact digests are alike by 1 where equal, else by 0. Null texts count as empty. Documents without an id follow all others in the order; rows
     that repeat doc_id and text are one document there and give a row each; an empty table gives no rows.
-    Digests are written once, as a narrow table; texts are read again, and compared byte by byte, only for buckets that hold more than one.
+    Texts are compared byte by byte only in buckets that hold more than one of them; all uses share the shuffles of the texts.
     """
     both = edited_pairs(docs)
     following = [f"next_{c}" for c in _ROW]
     canon = both.select("*", canonical(F.col("text")).alias("c0"), canonical(F.col("edited")).alias("c1"))
-    digests = materialize(canon.select(*_ROW, *following, "copies", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), bucket(F.col("c0")).alias("b0"), bucket(F.col("c1")).alias("b1"), F.sha2("c0", 256).alias("s0"), F.sha2("c1", 256).alias("s1")))
+    digests = canon.select(*_ROW, *following, "copies", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), bucket(F.col("c0")).alias("b0"), bucket(F.col("c1")).alias("b1"), F.sha2("c0", 256).alias("s0"), F.sha2("c1", 256).alias("s1"))
     placed = digests.select(*_ROW, F.posexplode(F.array("b0", "b1")).alias("kind", "bucket"))
     shared = placed.groupBy("bucket").count().where("count > 1").select("bucket")
     wanted = placed.join(_apart(shared), "bucket", "left_semi")
     texts = both.join(wanted, _ROW).select("bucket", canonical(F.when(F.col("kind") == 0, F.col("text")).otherwise(F.col("edited"))).alias("canon"))
-    bad = _apart(materialize(clashes(texts)))
+    bad = _apart(clashes(texts))
     exact = lambda b, s, bad_col: F.when(F.col(bad_col).isNotNull(), F.concat_ws("-", b, s)).otherwise(F.col(b))
     done = digests.join(bad.select(F.col("bucket").alias("b0"), F.lit(1).alias("bad0")), "b0", "left").join(bad.select(F.col("bucket").alias("b1"), F.lit(1).alias("bad1")), "b1", "left")
     done = materialize(done.select(*_ROW, *following, "copies", "n_chars", "edited_sha256", exact("b0", "s0", "bad0").alias("fingerprint"), exact("b1", "s1", "bad1").alias("edited_fingerprint")))
