@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -59,30 +60,37 @@ def shingles(w: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(h + np.uint64(size)))
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, longest: int = LONGEST_PREFIX) -> int:
-    """How long prefixes must match: shortened from the longest until a pair at the threshold meets in some tree often enough."""
+def prefix_length(similarity: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, longest: int = LONGEST_PREFIX) -> int:
+    """The longest prefix at which a pair of this similarity meets in some tree with the probability `recall`."""
     k = longest
-    while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
+    while k > 1 and 1 - (1 - similarity**k) ** trees < recall:
         k -= 1
     return k
 
 
-def prefixes(s: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The MinHash prefix of a shingle set in each tree, as one hash each."""
+@functools.lru_cache(maxsize=8)
+def _hash_functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20250101))
-    a = rng.integers(1, 1 << 63, trees * depth, np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, trees * depth, np.uint64)
+    return rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+
+
+def prefixes(s: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """The path of a shingle set's MinHash signature down each tree: row k - 1 holds a hash of its first k levels in every tree."""
+    a, b = _hash_functions(trees * depth)
     least = np.full(trees * depth, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), STRIP):
         least = np.minimum(least, _mix(s[i : i + STRIP, None] * a + b).min(axis=0))
-    acc = np.zeros(trees, np.uint64)
-    for level in least.reshape(trees, depth).T:  # as in a sorted trie: two signatures share a node if all levels down to it agree
-        acc = _mix((acc + level) * _M)
-    return acc.view(np.int64)
+    path, acc = np.zeros((depth, trees), np.uint64), np.zeros(trees, np.uint64)
+    for k, level in enumerate(least.reshape(trees, depth).T):  # two signatures share a node of the trie if all levels down to it agree
+        path[k] = acc = _mix((acc + level) * _M)
+    return path.view(np.int64)
 
 
-def signatures(docs: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
-    """(doc_id, k1, k2, chars, bands): two hashes of the word sequence, null for texts without words, and the prefix of each tree."""
+def signatures(docs: DataFrame, trees: int, shortest: int, longest: int, size: int) -> DataFrame:
+    """(doc_id, k1, k2, chars, bands): two hashes of the word sequence, null for texts without words, and the nodes in each tree.
+
+    bands holds the nodes of all trees at the shortest prefix first, then at the next longer one, up to the longest.
+    """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -92,7 +100,7 @@ def signatures(docs: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
                 if len(w):
                     raw = w.tobytes()
                     k1, k2 = (x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh3_64_intdigest(raw), xxhash.xxh64_intdigest(raw, 9)))
-                    rows.append((doc_id, k1, k2, prefixes(shingles(w, size), trees, depth).tolist()))
+                    rows.append((doc_id, k1, k2, prefixes(shingles(w, size), trees, longest)[shortest - 1 :].ravel()))
                 else:
                     rows.append((doc_id, None, None, None))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": pd.array([r[1] for r in rows], "Int64"), "k2": pd.array([r[2] for r in rows], "Int64"), "chars": pdf["text"].str.len().astype("int64"), "bands": [r[3] for r in rows]})
@@ -113,12 +121,14 @@ def _local_roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def verify_block(pdf: pd.DataFrame, size: int, threshold: float) -> pd.DataFrame:
     """Exact links within one block of texts, or between the two sides of a pair of blocks.
 
-    Returns (doc_id, links, low): the documents linked to, copies counted, and the smallest id linked through this block.
+    Returns (root, doc_id, links, low, least): the documents linked to, copies counted, the smallest id linked through this block and
+    the least similarity of its links, null without any.
     """
     pdf = pdf.drop_duplicates(["doc_id", "side", "text"]).sort_values(["side", "doc_id"], kind="stable").reset_index(drop=True)
     ids, copies, side = (pdf[c].to_numpy(np.int64) for c in ("doc_id", "copies", "side"))
     sets = [shingles(words(t), size) for t in pdf["text"]]
     n = np.array([len(s) for s in sets], np.int64)
+    inter = np.zeros((len(sets), len(sets)), np.float32)
     near = np.zeros((len(sets), len(sets)), bool)
     across = side.max() > side.min()
 
@@ -130,8 +140,8 @@ def verify_block(pdf: pd.DataFrame, size: int, threshold: float) -> pd.DataFrame
         for i in range(len(sets)):
             for j in range(i + 1, len(sets)):
                 if min(n[i], n[j]) >= threshold * max(n[i], n[j]) - 1e-9 and ids[i] != ids[j]:
-                    inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    near[i, j] = near[j, i] = enough(np.array([[inter]]), slice(i, i + 1), slice(j, j + 1))[0, 0]
+                    inter[i, j] = inter[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    near[i, j] = near[j, i] = enough(inter[i : i + 1, j : j + 1], slice(i, i + 1), slice(j, j + 1))[0, 0]
     else:
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), n)
@@ -141,7 +151,6 @@ def verify_block(pdf: pd.DataFrame, size: int, threshold: float) -> pd.DataFrame
         owner = owner[shared]
         order = np.argsort(column, kind="stable")
         column, owner = column[order], owner[order]
-        inter = np.zeros((len(sets), len(sets)), np.float32)
         for start in range(0, int(column[-1]) + 1 if len(column) else 0, STRIP):
             a, b = np.searchsorted(column, [start, start + STRIP])
             m = np.zeros((len(sets), STRIP), np.float32)
@@ -152,7 +161,30 @@ def verify_block(pdf: pd.DataFrame, size: int, threshold: float) -> pd.DataFrame
     if across:
         near &= side[:, None] != side[None, :]
     links = near.astype(np.int64) @ copies
-    return pd.DataFrame({"doc_id": ids, "links": links, "low": _local_roots(near, ids)})
+    a, b = np.nonzero(near)
+    least = np.full(len(ids), np.inf)
+    np.minimum.at(least, a, inter[a, b] / (n[a] + n[b] - inter[a, b]))
+    return pd.DataFrame({"root": pdf["root"], "doc_id": ids, "links": links, "low": _local_roots(near, ids), "least": pd.array(np.where(np.isinf(least), None, least), "Float64")})
+
+
+def _groups(nodes: DataFrame, trees: int, at: int) -> DataFrame:
+    """(node, root) of the texts that share trie nodes, those of the length in place `at` of bands, directly or through others."""
+    of_tree = nodes.select("doc_id", F.posexplode(F.slice("bands", at * trees + 1, trees)).alias("tree", "band"))
+    hubs = of_tree.groupBy("tree", "band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return components(materialize(of_tree.join(hubs, ["tree", "band"]).where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()))
+
+
+def _verified(x: DataFrame, member: DataFrame, size: int, threshold: float) -> DataFrame:
+    """verify_block's rows over all texts of the groups in `member`, in pairs of blocks of bounded size."""
+    texts = x.join(member, x["doc_id"] == member["node"]).select("doc_id", "root", "copies", "text")
+    sizes = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS), F.lit(1)).alias("parts"))
+    parted = texts.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q")))).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("p"), F.greatest(i, F.col("part")).alias("q")))
+    )
+    blocks = parted.select("doc_id", "root", "copies", "text", "part", "parts", F.explode(pairs).alias("pair"))
+    blocks = blocks.select("doc_id", "root", "copies", "text", "pair.p", "pair.q", (F.col("part") == F.col("pair.q")).cast("long").alias("side"))
+    return blocks.groupBy("root", "p", "q").applyInPandas(lambda pdf: verify_block(pdf, size, threshold), "root long, doc_id long, links long, low long, least double")
 
 
 def link_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -161,31 +193,37 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     Similarity is Jaccard's on the sets of `size`-word shingles of lower-case words; a shorter text is one shingle. n_links counts the
     other documents linked directly, copies included; class_id is the smallest doc_id that links reach.
 
-    Texts of the same words are one node. The forest's prefix matches give candidate groups; inside a group all
-    texts are compared exactly, in pairs of blocks of bounded size, so that no pair that shares a group is lost and no
-    pair leaves a task. A pair at the threshold shares no prefix in any tree with probability under 1 - recall.
+    Texts of the same words are one node. Groups of texts that share a node at the longest prefix in some tree are compared exactly
+    first, in pairs of blocks of bounded size, so that no pair that shares a group is lost and no pair leaves a task. The least similarity among
+    the links found tells the recall of such pairs: while it is under `recall`, prefixes are shortened to the longest ones that reach it and groups
+    that grew are compared again. Without any link, pairs at the threshold itself are to reach it. A pair no less similar than the
+    least found is missed with a probability of at most 1 - recall.
 
     Null and wordless texts link with nothing: class_id = doc_id, n_links = 0. Rows with a null doc_id give no row. Rows that repeat a
     doc_id are one node each text, share its class and give a row each. An empty table gives no rows.
     """
     x = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    signed = materialize(signatures(x, trees, prefix_length(threshold, trees, recall), size))
+    shortest = prefix_length(threshold, trees, recall)
+    signed = materialize(signatures(x, trees, shortest, LONGEST_PREFIX, size))
     reps = materialize(signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("chars").alias("chars")))
-    first = signed.join(reps.select("k1", "k2", F.col("rep").alias("doc_id"), "copies"), ["k1", "k2", "doc_id"]).dropDuplicates(["k1", "k2"])
-    nodes = first.select("doc_id", F.posexplode("bands").alias("tree", "band"))
-    hubs = nodes.groupBy("tree", "band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    edges = materialize(nodes.join(hubs, ["tree", "band"]).where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
-    groups = components(edges)
-    member = materialize(groups.join(reps.groupBy("rep").agg(F.max("copies").alias("copies"), F.sum("chars").alias("chars")), F.col("node") == F.col("rep")).select("node", "root", "copies", "chars"))
-    texts = x.join(member, x["doc_id"] == member["node"]).select("doc_id", "root", "copies", "text")
-    sizes = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS), F.lit(1)).alias("parts"))
-    parted = texts.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q")))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("p"), F.greatest(i, F.col("part")).alias("q")))
-    )
-    blocks = parted.select("doc_id", "root", "copies", "text", "part", "parts", F.explode(pairs).alias("pair"))
-    blocks = blocks.select("doc_id", "root", "copies", "text", "pair.p", "pair.q", (F.col("part") == F.col("pair.q")).cast("long").alias("side"))
-    found = materialize(blocks.groupBy("root", "p", "q").applyInPandas(lambda pdf: verify_block(pdf, size, threshold), "doc_id long, links long, low long"))
+    nodes = signed.join(reps.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"]).dropDuplicates(["k1", "k2"]).select("doc_id", "bands")
+    weight = reps.groupBy("rep").agg(F.max("copies").alias("copies"), F.sum("chars").alias("chars"))
+    length, before = LONGEST_PREFIX, None
+    while True:
+        groups = _groups(nodes, trees, length - shortest)
+        member = materialize(groups.join(weight, F.col("node") == F.col("rep")).select("node", "root", "copies", "chars"))
+        sizes = member.groupBy("root").agg(F.count("*").alias("n"))
+        if before is None:
+            found = _verified(x, member, size, threshold)
+        else:  # groups only grow as prefixes shorten: one of the same root and size is the same
+            same = materialize(sizes.join(before[0], ["root", "n"], "left_semi").select("root"))
+            found = before[1].join(same, "root", "left_semi").unionByName(_verified(x, member.join(same, "root", "left_anti"), size, threshold))
+        found = materialize(found)
+        least = found.agg(F.min("least")).first()[0]
+        shorter = prefix_length(threshold if least is None else max(least, threshold), trees, recall, length)
+        if shorter == length:
+            break
+        length, before = shorter, (sizes, found)
     near = components(found.select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
     linked = found.groupBy("doc_id").agg(F.sum("links").alias("links")).join(near, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("rep"), "links", F.coalesce("root", "doc_id").alias("root"))
     per_text = reps.join(linked, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))

@@ -214,6 +214,47 @@ def test_prefixes_are_shortened_to_the_recall():
     assert 1 - (1 - 0.8**k) ** 24 >= 0.9995 > 1 - (1 - 0.8 ** (k + 1)) ** 24
 
 
+def _edited(rnd, words, edits):
+    base = [f"w{rnd.randrange(3000)}" for _ in range(words)]
+    return base, [f"e{rnd.random()}" if i in edits else w for i, w in enumerate(base)]
+
+
+def _forest_lengths(monkeypatch, spark, documents, rows):
+    lengths, inner = [], jaccard_join._groups
+
+    def groups(nodes, trees, at):
+        lengths.append(at + jaccard_join.prefix_length())
+        return inner(nodes, trees, at)
+
+    monkeypatch.setattr(jaccard_join, "_groups", groups)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.link_classes(documents(rows)).collect()}
+    return got, lengths
+
+
+def test_forest_stays_at_long_prefixes_where_all_links_are_close(spark, documents, monkeypatch):
+    rnd = random.Random(11)
+    rows = []
+    for g in range(30):
+        for k, t in enumerate(_edited(rnd, 300, {7})):
+            rows.append((2 * g + k, " ".join(t)))
+    got, lengths = _forest_lengths(monkeypatch, spark, documents, rows)
+    assert got == _jaccard(rows)
+    assert lengths == [jaccard_join.LONGEST_PREFIX]
+
+
+def test_forest_shortens_prefixes_for_links_near_the_threshold(spark, documents, monkeypatch):
+    rnd = random.Random(12)
+    rows = []
+    for g in range(150):  # two edits far apart in 104 words: 90 of 110 shingles shared, a similarity of 0.82
+        for k, t in enumerate(_edited(rnd, 104, {30, 70})):
+            rows.append((2 * g + k, " ".join(t)))
+    got, lengths = _forest_lengths(monkeypatch, spark, documents, rows)
+    truth = _jaccard(rows)
+    assert sum(n for _, n in truth.values()) >= 290
+    assert sum(got[i] == truth[i] for i in truth) >= 0.99 * len(truth)
+    assert lengths[0] == jaccard_join.LONGEST_PREFIX and len(lengths) > 1 and lengths[-1] == jaccard_join.prefix_length()
+
+
 WORDS = "the of and a to in is it that was for on are with as at be this from or had by".split()
 
 
