@@ -72,6 +72,19 @@ def local_moran(cells: DataFrame, weights: DataFrame, value: str) -> DataFrame:
     return c.crossJoin(F.broadcast(s)).withColumn("local_i", F.col("z") * F.col("lag_z") / F.col("_s")).withColumn("quadrant", quadrant).drop("_s")
 
 
+def distinct_draws(rng: np.random.Generator, n: int, rows: int, k: int) -> np.ndarray:
+    """Rows of k different numbers below n, every such set alike; for few numbers from whole permutations, else by drawing clashing rows anew."""
+    if n < 4 * k * k:
+        return rng.permuted(np.tile(np.arange(n), (rows, 1)), axis=1)[:, :k]
+    draw = rng.integers(0, n, (rows, k))
+    while True:
+        ordered = np.sort(draw, axis=1)
+        clash = (ordered[:, 1:] == ordered[:, :-1]).any(axis=1)
+        if not clash.any():
+            return draw
+        draw[clash] = rng.integers(0, n, (int(clash.sum()), k))
+
+
 def local_permutations(cells: DataFrame, weights: DataFrame, value: str, permutations: int = 999, seed: int = 42) -> DataFrame:
     """(lat_idx, lon_idx, p_sim) by conditional permutation: each cell's draws have a seed of their own, whatever the partitioning."""
     z, near, c = _indexed(cells, weights, value)
@@ -85,7 +98,7 @@ def local_permutations(cells: DataFrame, weights: DataFrame, value: str, permuta
             out = []
             for i in pdf["id"].to_numpy():
                 rng = np.random.default_rng([seed, int(i)])
-                draw = rng.integers(0, n - 1, (permutations, k))
+                draw = distinct_draws(rng, n - 1, permutations, k)
                 draw += draw >= i  # any cell but this one
                 lag, own = z[draw].mean(axis=1), z[near[i]].mean()
                 over = int((z[i] * lag >= z[i] * own).sum())

@@ -143,6 +143,15 @@ def test_knn_of_scattered_cells(spark):
         assert sorted((r["rank"], r.dst_lat, r.dst_lon) for r in w if (r.src_lat, r.src_lon) == s) == [(i + 1, *t[1:]) for i, t in enumerate(want)]
 
 
+@pytest.mark.parametrize("n", [8, 20, 2000])
+def test_draws_are_distinct_and_even(n):
+    draw = autocorr.distinct_draws(np.random.default_rng(3), n, 5000, 8)
+    assert draw.shape == (5000, 8) and draw.min() >= 0 and draw.max() < n
+    assert (np.diff(np.sort(draw, axis=1), axis=1) > 0).all()
+    times = np.bincount(draw.ravel(), minlength=n)
+    assert abs(times - 5000 * 8 / n).max() <= 6 * np.sqrt(5000 * 8 / n)
+
+
 def test_permutations_tell_order_from_noise(spark):
     c = cells(spark, 12, lambda i, j: i)
     w = neighbors.knn_grid(c)
