@@ -131,8 +131,8 @@ def _log_determinant(weights: DataFrame, cells: DataFrame, n: int):
 def spatial_lag_model(df: DataFrame, weights: DataFrame, y: str, xs: list[str]) -> tuple[DataFrame, DataFrame]:
     """Maximum-likelihood y = rho W y + X b + e: (variable, coefficient, std_error, z_stat, p_value) and (rho, aic, pseudo_r2, n).
 
-    The likelihood, concentrated in rho, needs one aggregate of cross products and the log-determinant. Standard errors come from its
-    curvature for rho and from X'X for the coefficients.
+    The likelihood, concentrated in rho, needs one aggregate of cross products and the log-determinant. Standard errors come from
+    the observed information of all parameters together.
     """
     lagged = spatial_lag(df, weights, y, "_wy")
     m = _products(lagged, [*xs, y, "_wy"])
@@ -158,7 +158,9 @@ def spatial_lag_model(df: DataFrame, weights: DataFrame, y: str, xs: list[str])
     h = 1e-4
     curve = -(loglik(rho + h) - 2 * loglik(rho) + loglik(rho - h)) / h**2
     beta = by - rho * bw
-    se = [*np.sqrt(np.maximum(0, s2 * np.diag(inv))).tolist(), 1 / math.sqrt(curve) if curve > 0 else math.nan]
+    of_rho = 1 / curve if curve > 0 else math.nan
+    # The coefficients are by - rho bw, so rho's variance adds to theirs: the inverse of the observed information, block by block.
+    se = [*np.sqrt(s2 * np.diag(inv) + bw * bw * of_rho).tolist(), math.sqrt(of_rho)]
     rows = [(name, float(b), float(s), float(b / s) if s else math.inf, normal_tail(b / s) if s else 0.0) for name, b, s in zip(["const", *xs, "W_y"], [*beta.tolist(), rho], se)]
     fitted = F.lit(rho) * F.col("_wy") + F.lit(float(beta[0]))
     for x, b in zip(xs, beta[1:].tolist()):

@@ -186,6 +186,17 @@ def test_spatial_lag_model_finds_rho(spark):
     table, fit = regression.spatial_lag_model(d, w, "y", ["x"])
     assert fit.first().rho == pytest.approx(rho, abs=0.06)
     assert {r.variable: r.coefficient for r in table.collect()}["x"] == pytest.approx(2, abs=0.1)
+    found = {r.variable: r for r in table.collect()}
+    r, b = fit.first().rho, np.array([found["const"].coefficient, found["x"].coefficient])
+    xx, wy, g = np.column_stack([np.ones(n * n), x]), m @ y, m @ np.linalg.inv(np.eye(n * n) - r * m)
+    e = y - r * wy - xx @ b
+    s2 = e @ e / (n * n)
+    h = np.zeros((4, 4))  # the observed information of (const, x, rho, variance)
+    h[:2, :2], h[:2, 2], h[2, :2] = xx.T @ xx / s2, xx.T @ wy / s2, xx.T @ wy / s2
+    h[2, 2], h[2, 3], h[3, 2], h[3, 3] = np.trace(g @ g) + wy @ wy / s2, wy @ e / s2**2, wy @ e / s2**2, n * n / (2 * s2**2)
+    errors = np.sqrt(np.diag(np.linalg.inv(h)))
+    assert [found[v].std_error for v in ("const", "x", "W_y")] == pytest.approx(errors[:3].tolist(), rel=0.002)
+    assert found["const"].std_error > 1.5 * math.sqrt(s2 * np.linalg.inv(xx.T @ xx)[0, 0])
 
 
 def test_range_modes_and_empty_filters(spark):
