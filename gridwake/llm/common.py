@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
@@ -30,6 +30,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, value: Column) -> tuple[DataFrame, object]:
+    """materialize(df) and the value of an aggregate over its rows, which the same job computes; the aggregate must not mind rows met twice."""
+    seen = Observation()
+    table = materialize(df.observe(seen, value.alias("value")))
+    return table, seen.get["value"]
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
     """Add the gapless row number from 0 in the given order, without a one-task window.
 
@@ -50,19 +57,18 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """Connected components of an undirected graph as (node, root), root being the smallest node; nodes without edges don't appear.
 
     Smallest-neighbour hooking with pointer jumping: each round joins labels to the edges, lowers them and then
-    replaces each label by its label's label, so that chains shorten geometrically. Every round is written to the shared
-    folder. Only the number of changed labels comes to the driver.
+    replaces each label by its label's label, so that chains shorten geometrically; no label lowered means that labels agree along every
+    edge. Every round is written to the shared folder. Only whether a label was lowered comes to the driver.
     """
-    e = edges.where(F.col(left) != F.col(right)).select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
-    e = materialize(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node")
+    a, b = F.col(left).cast("long"), F.col(right).cast("long")
+    both = F.explode(F.array(F.struct(a.alias("u"), b.alias("v")), F.struct(b.alias("u"), a.alias("v")))).alias("edge")
+    e = materialize(edges.where(a != b).select(both).select("edge.u", "edge.v").distinct())
+    labels = materialize(e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"))
     while True:
-        labels = materialize(labels)
         near = e.join(labels.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("low"))
         lowered = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
-        lowered = materialize(lowered)
+        lowered, changed = measured(lowered, F.max(F.col("root") < F.col("old")))
+        if not changed:
+            return labels
         jumped = lowered.join(lowered.select(F.col("node").alias("n2"), F.col("root").alias("r2")), F.col("root") == F.col("n2"), "left")
-        nxt = materialize(jumped.select("node", "old", F.least("root", F.coalesce("r2", "root")).alias("root")))
-        if nxt.where("root < old").isEmpty():
-            return nxt.select("node", "root")
-        labels = nxt.select("node", "root")
+        labels = materialize(jumped.select("node", F.least("root", F.coalesce("r2", "root")).alias("root")))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.llm.common import components, materialize
+from gridwake.llm.common import components, materialize, measured
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -22,6 +22,7 @@ RECALL = 0.9995
 BLOCK_ROWS = 1024
 BLOCK_CHARS = 6_000_000
 STRIP = 4096
+HASHED_AT_ONCE = 128
 WORDS_KEPT = 150_000
 
 _WORD = re.compile(r"\w+")
@@ -78,8 +79,12 @@ def prefixes(s: np.ndarray, trees: int, depth: int) -> np.ndarray:
     """The path of a shingle set's MinHash signature down each tree: row k - 1 holds a hash of its first k levels in every tree."""
     a, b = _hash_functions(trees * depth)
     least = np.full(trees * depth, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), STRIP):
-        least = np.minimum(least, _mix(s[i : i + STRIP, None] * a + b).min(axis=0))
+    hashed = np.empty((min(len(s), HASHED_AT_ONCE), trees * depth), np.uint64)  # small enough for a core's cache
+    for i in range(0, len(s), HASHED_AT_ONCE):
+        part = s[i : i + HASHED_AT_ONCE]
+        h = np.multiply(part[:, None], a, out=hashed[: len(part)])  # shingles are mixed hashes already: a linear function orders them at random
+        h += b
+        np.minimum(least, h.min(axis=0), out=least)
     path, acc = np.zeros((depth, trees), np.uint64), np.zeros(trees, np.uint64)
     for k, level in enumerate(least.reshape(trees, depth).T):  # two signatures share a node of the trie if all levels down to it agree
         path[k] = acc = _mix((acc + level) * _M)
@@ -87,25 +92,34 @@ def prefixes(s: np.ndarray, trees: int, depth: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, trees: int, shortest: int, longest: int, size: int) -> DataFrame:
-    """(doc_id, k1, k2, chars, bands): two hashes of the word sequence, null for texts without words, and the nodes in each tree.
+    """(doc_id, k1, k2, chars, bands5 ...): two hashes of the word sequence, null for texts without words, and the nodes in each tree.
 
-    bands holds the nodes of all trees at the shortest prefix first, then at the next longer one, up to the longest.
+    There is a column of nodes for each prefix length from the shortest to the longest, so that a round reads and shuffles its own alone.
     """
+    lengths = range(shortest, longest + 1)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            k1, k2, paths = [], [], []
+            for text in pdf["text"]:
                 w = words(text)
                 if len(w):
                     raw = w.tobytes()
-                    k1, k2 = (x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh3_64_intdigest(raw), xxhash.xxh64_intdigest(raw, 9)))
-                    rows.append((doc_id, k1, k2, prefixes(shingles(w, size), trees, longest)[shortest - 1 :].ravel()))
+                    k1.append(_signed(xxhash.xxh3_64_intdigest(raw)))
+                    k2.append(_signed(xxhash.xxh64_intdigest(raw, 9)))
+                    paths.append(prefixes(shingles(w, size), trees, longest))
                 else:
-                    rows.append((doc_id, None, None, None))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": pd.array([r[1] for r in rows], "Int64"), "k2": pd.array([r[2] for r in rows], "Int64"), "chars": pdf["text"].str.len().astype("int64"), "bands": [r[3] for r in rows]})
+                    k1.append(None)
+                    k2.append(None)
+                    paths.append(None)
+            bands = {f"bands{k}": [None if p is None else p[k - 1] for p in paths] for k in lengths}
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": pd.array(k1, "Int64"), "k2": pd.array(k2, "Int64"), "chars": pdf["text"].str.len().astype("int64"), **bands})
 
-    return docs.mapInPandas(sign, "doc_id long, k1 long, k2 long, chars long, bands array<long>")
+    return docs.mapInPandas(sign, "doc_id long, k1 long, k2 long, chars long, " + ", ".join(f"bands{k} array<long>" for k in lengths))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _local_roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -167,11 +181,11 @@ def verify_block(pdf: pd.DataFrame, size: int, threshold: float) -> pd.DataFrame
     return pd.DataFrame({"root": pdf["root"], "doc_id": ids, "links": links, "low": _local_roots(near, ids), "least": pd.array(np.where(np.isinf(least), None, least), "Float64")})
 
 
-def _groups(nodes: DataFrame, trees: int, at: int) -> DataFrame:
-    """(node, root) of the texts that share trie nodes, those of the length in place `at` of bands, directly or through others."""
-    of_tree = nodes.select("doc_id", F.posexplode(F.slice("bands", at * trees + 1, trees)).alias("tree", "band"))
+def _groups(nodes: DataFrame, length: int) -> DataFrame:
+    """(node, root) of the texts that share trie nodes of this length, directly or through others."""
+    of_tree = nodes.select("doc_id", F.posexplode(f"bands{length}").alias("tree", "band"))
     hubs = of_tree.groupBy("tree", "band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    return components(materialize(of_tree.join(hubs, ["tree", "band"]).where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()))
+    return components(of_tree.join(hubs, ["tree", "band"]).where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
 
 
 def _verified(x: DataFrame, member: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -206,20 +220,18 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     shortest = prefix_length(threshold, trees, recall)
     signed = materialize(signatures(x, trees, shortest, LONGEST_PREFIX, size))
     reps = materialize(signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("chars").alias("chars")))
-    nodes = signed.join(reps.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"]).dropDuplicates(["k1", "k2"]).select("doc_id", "bands")
+    nodes = signed.join(reps.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
     weight = reps.groupBy("rep").agg(F.max("copies").alias("copies"), F.sum("chars").alias("chars"))
     length, before = LONGEST_PREFIX, None
     while True:
-        groups = _groups(nodes, trees, length - shortest)
-        member = materialize(groups.join(weight, F.col("node") == F.col("rep")).select("node", "root", "copies", "chars"))
+        member = materialize(_groups(nodes, length).join(weight, F.col("node") == F.col("rep")).select("node", "root", "copies", "chars"))
         sizes = member.groupBy("root").agg(F.count("*").alias("n"))
         if before is None:
             found = _verified(x, member, size, threshold)
         else:  # groups only grow as prefixes shorten: one of the same root and size is the same
             same = materialize(sizes.join(before[0], ["root", "n"], "left_semi").select("root"))
             found = before[1].join(same, "root", "left_semi").unionByName(_verified(x, member.join(same, "root", "left_anti"), size, threshold))
-        found = materialize(found)
-        least = found.agg(F.min("least")).first()[0]
+        found, least = measured(found, F.min("least"))
         shorter = prefix_length(threshold if least is None else max(least, threshold), trees, recall, length)
         if shorter == length:
             break

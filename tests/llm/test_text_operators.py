@@ -214,6 +214,18 @@ def test_prefixes_are_shortened_to_the_recall():
     assert 1 - (1 - 0.8**k) ** 24 >= 0.9995 > 1 - (1 - 0.8 ** (k + 1)) ** 24
 
 
+@pytest.mark.parametrize("n, shared", [(200, 160), (40, 32)])
+def test_prefixes_meet_by_the_law_of_minhash(n, shared):
+    rnd, met, runs = np.random.default_rng(3), np.zeros(8), 600
+    for _ in range(runs):
+        s = jaccard_join.shingles(rnd.integers(0, 1 << 63, n + 4, np.uint64))
+        own = (n - shared) // 2
+        a, b = (jaccard_join.prefixes(x, 24, 8) for x in (s[: shared + own], np.concatenate([s[:shared], s[shared + own :]])))
+        met += (a == b).any(axis=1)
+    law = [1 - (1 - (shared / n) ** k) ** 24 for k in range(1, 9)]
+    assert np.abs(met / runs - law).max() < 0.02
+
+
 def _edited(rnd, words, edits):
     base = [f"w{rnd.randrange(3000)}" for _ in range(words)]
     return base, [f"e{rnd.random()}" if i in edits else w for i, w in enumerate(base)]
@@ -222,9 +234,9 @@ def _edited(rnd, words, edits):
 def _forest_lengths(monkeypatch, spark, documents, rows):
     lengths, inner = [], jaccard_join._groups
 
-    def groups(nodes, trees, at):
-        lengths.append(at + jaccard_join.prefix_length())
-        return inner(nodes, trees, at)
+    def groups(nodes, length):
+        lengths.append(length)
+        return inner(nodes, length)
 
     monkeypatch.setattr(jaccard_join, "_groups", groups)
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.link_classes(documents(rows)).collect()}
