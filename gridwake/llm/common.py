@@ -34,7 +34,7 @@ def measured(df: DataFrame, value: Column) -> tuple[DataFrame, object]:
     """materialize(df) and the value of an aggregate over its rows, which the same job computes; the aggregate must not mind rows met twice."""
     seen = Observation()
     table = materialize(df.observe(seen, value.alias("value")))
-    return table, seen.get["value"]
+    return table, seen.get.get("value")  # None where a table without rows was planned away
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
