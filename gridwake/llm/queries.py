@@ -74,8 +74,16 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwake.llm.hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_html_extraction, op4_sharding, op5_jaccard_join, op6_mixing, op7_token_counts, op8_fingerprints, op9_quality, op10_embedding_dedup)}
+    found = (op1_packing, op2_toxicity, op3_html_extraction, op4_sharding, op5_jaccard_join, op6_mixing, op7_token_counts, op8_fingerprints, op9_quality, op10_embedding_dedup, op11_hard_negatives)
+    return {f.__name__: f for f in found}
 
 
 _REACH = """, pair AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach(id, root) AS (SELECT id, id FROM ids UNION SELECT pair.b, root FROM reach JOIN pair ON reach.id = pair.a), low AS (SELECT id, min(root) AS root FROM reach GROUP BY id), links AS (SELECT a AS id, count(*) AS n FROM pair GROUP BY a)"""
@@ -106,6 +114,14 @@ e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_
 )
 
 
+OP11 = """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS own, b.vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT * FROM (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score) WHERE rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the operators that it can express: the pages' known markup, and exact joins with components by recursion."""
-    return {"op3_html_extraction": OP3, "op5_jaccard_join": OP5, "op10_embedding_dedup": OP10}
+    """SQL for the operators that it can express: the pages' known markup, exact joins with components by recursion, and ranked windows."""
+    return {"op3_html_extraction": OP3, "op5_jaccard_join": OP5, "op10_embedding_dedup": OP10, "op11_hard_negatives": OP11}
