@@ -81,8 +81,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwake.llm.spelling import variants
+
+    return variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_packing, op2_toxicity, op3_html_extraction, op4_sharding, op5_jaccard_join, op6_mixing, op7_token_counts, op8_fingerprints, op9_quality, op10_embedding_dedup, op11_hard_negatives)
+    found = (op1_packing, op2_toxicity, op3_html_extraction, op4_sharding, op5_jaccard_join, op6_mixing, op7_token_counts, op8_fingerprints, op9_quality, op10_embedding_dedup, op11_hard_negatives, op13_spelling)
     return {f.__name__: f for f in found}
 
 

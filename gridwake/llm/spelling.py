@@ -21,7 +21,8 @@ FORM_RATIO = 10  # a form is so many times as frequent as its variant
 TYPO_EVERY = 31
 SHARD_CHARS = 40_000  # characters of one index
 HELD_WORDS = 200_000  # distinct words that a task counts before it hands them on
-QUERY_ROWS = 4096
+TABLE = 1 << 25  # counts that an index holds
+QUERY_CHARS = 1 << 16
 JUMPS = 6  # counts grow tenfold with each form, so a chain of longs has under 2 ** 6 links
 
 _LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
@@ -70,7 +71,7 @@ class FMIndex:
     """Intervals of suffix ranks over words that end in a delimiter, read from right to left.
 
     Suffixes are sorted up to their word's delimiter, equal ones in the words' order, by doubling: log2 of the longest word's length sorts,
-    whatever its length. Row c of `occ` counts symbol c before each rank. Over reversed words the same index reads from left to right.
+    whatever its length. Row c of `occ` counts symbol c before each rank, or before every 64th where the table would be large. Over reversed words the same index reads from left to right.
     """
 
     def __init__(self, words: list[str]):
@@ -89,9 +90,11 @@ class FMIndex:
         order = np.argsort(rank, kind="stable")
         before = np.where(left[order] == lengths[word_of[order]], 0, text[order - 1])  # a word's first character follows a delimiter
         self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=len(self.symbols)))]
-        self.occ = np.zeros((len(self.symbols), n + 1), np.int32)
+        self.stride = 1 if len(self.symbols) * n <= TABLE else 64
+        self.occ = np.zeros((len(self.symbols), n // self.stride + 1), np.int32)
         for c in range(len(self.symbols)):
-            np.cumsum(before == c, out=self.occ[c, 1:])
+            self.occ[c, 1:] = np.cumsum(before == c)[self.stride - 1 :: self.stride]
+        self.before = np.r_[before, np.full(self.stride, -1)]
         self.starts = word_of[order[before == 0]]  # words in the order of their whole suffixes
         self.words = len(words)
 
@@ -107,11 +110,25 @@ class FMIndex:
         out[row, (lengths[row] - 1) - (np.arange(len(codes)) - starts[row])] = flat
         return out, lengths
 
+    def count(self, symbol: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """How often a symbol comes before the suffixes under a rank."""
+        if self.stride == 1:
+            return self.occ[symbol, rank]
+        block, offset = rank // self.stride, np.arange(self.stride)
+        rest = (self.before[block[:, None] * self.stride + offset] == symbol[:, None]) & (offset < (rank % self.stride)[:, None])
+        return self.occ[symbol, block] + rest.sum(axis=1)
+
+    def occurs(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which symbols but the delimiter come before the suffixes of each interval."""
+        if self.stride == 1:
+            return self.occ[1:, hi] > self.occ[1:, lo]
+        return np.array([self.count(np.full(len(lo), c), hi) > self.count(np.full(len(lo), c), lo) for c in range(1, len(self.symbols))]).reshape(-1, len(lo))
+
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the suffixes that begin with the symbol before the given ones'; empty for symbol -1."""
         known = symbol >= 0
         c = np.maximum(symbol, 0)
-        return self.first[c] + self.occ[c, lo], np.where(known, self.first[c] + self.occ[c, hi], 0)
+        return self.first[c] + self.count(c, lo), np.where(known, self.first[c] + self.count(c, hi), 0)
 
     def near(self, words: list[str], exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, word) numbers whose texts differ by one inserted, deleted or replaced code point left of the query's last `exact` ones.
@@ -138,8 +155,7 @@ class FMIndex:
                 free = at >= exact[q]
                 x_q, x_at, x_lo, x_hi = (x[free] for x in (q, at, lo, hi))
                 if len(x_q):
-                    occurs = self.occ[1:, x_hi] > self.occ[1:, x_lo]
-                    c, i = np.nonzero(occurs)
+                    c, i = np.nonzero(self.occurs(x_lo, x_hi))
                     c += 1
                     n_lo, n_hi = self.step(c, x_lo[i], x_hi[i])
                     more = x_at[i] < length[x_q[i]]
@@ -157,7 +173,7 @@ class FMIndex:
         if not done_q:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         f_q, f_lo, f_hi = (np.concatenate(x) for x in (done_q, done_lo, done_hi))
-        f_lo, f_hi = self.occ[0, f_lo].astype(np.int64), self.occ[0, f_hi].astype(np.int64)  # ranks of whole words
+        f_lo, f_hi = (self.count(np.zeros(len(x), np.int64), x).astype(np.int64) for x in (f_lo, f_hi))  # ranks of whole words
         size = np.maximum(f_hi - f_lo, 0)
         query = np.repeat(f_q, size)
         rank = np.arange(len(query)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(f_lo, size)
@@ -176,8 +192,10 @@ def shard_near(pdf: pd.DataFrame) -> pd.DataFrame:
     words, counts = held["word"].tolist(), held["n"].to_numpy(np.int64)
     index = FMIndex(words if side else [w[::-1] for w in words])
     out = []
-    for a in range(0, len(asked), QUERY_ROWS):
-        queries = asked["word"].iloc[a : a + QUERY_ROWS].tolist()
+    waiting = sorted(asked["word"].tolist(), key=len, reverse=True)  # a batch is as wide as its longest word
+    while waiting:
+        size = max(1, QUERY_CHARS // len(waiting[0]))
+        queries, waiting = waiting[:size], waiting[size:]
         half = np.array([len(w) // 2 for w in queries])
         q, v = index.near(queries if side else [w[::-1] for w in queries], half + np.array([len(w) % 2 for w in queries]) if side else half)
         if side:  # equal first halves too: the other side finds the pair
@@ -191,7 +209,7 @@ def shard_near(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True) if out else empty
 
 
-def _routes(shards: int) -> Column:
+def _routes() -> Column:
     """The keys of a word: the first and the last half that a query of its length, or of one more or less, has to match exactly.
 
     A query of length m matches its first m // 2 or its last m - m // 2 code points, so a word is indexed under two lengths for either side.
@@ -203,7 +221,6 @@ def _routes(shards: int) -> Column:
         return F.struct(F.lit(side).alias("side"), F.xxhash64(F.lit(side), half, part).alias("key"), asks.alias("asks"))
 
     first, last = F.floor(m / 2).cast("int"), F.ceil(m / 2).cast("int")
-    near = lambda x, up: F.when(m % 2 == 1, x + (1 if up else -1)).otherwise(x + (-1 if not up else 1))
     # Odd 2j + 1 has neighbours with first halves j and j + 1, last halves j and j + 1; even 2j with j - 1 and j, and j and j + 1.
     other_first = F.when(m % 2 == 1, first + 1).otherwise(first - 1)
     other_last = F.when(m % 2 == 1, last - 1).otherwise(last + 1)
@@ -217,7 +234,7 @@ def near_words(words: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     index. A key with more is split: its words are indexed in several shards, its queries in several blocks, and each block asks each shard.
     """
     size = F.length("word") + 1
-    entries = materialize(words.select("word", "n", F.explode(_routes(1)).alias("r")).select("word", "n", "r.*"))
+    entries = materialize(words.select("word", "n", F.explode(_routes()).alias("r")).select("word", "n", "r.*"))
     total = entries.agg(F.sum(size)).first()[0] or 1
     shards = max(1, -(-int(total) // shard_chars))
     large = entries.groupBy("side", "key").agg(F.ceil(F.sum(size) / shard_chars).alias("parts")).where("parts > 1")
