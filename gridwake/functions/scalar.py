@@ -34,10 +34,10 @@ def clip01(x: Column) -> Column:
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle distance; the argument of asin is clamped to 1."""
+    """Great-circle distance; the argument of asin is clamped to 1. Null where a coordinate is."""
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH_KM * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # least() would pass over a null
 
 
 def unit_vector(lon: Column, lat: Column) -> tuple[Column, Column, Column]:

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwake.functions.scalar import EARTH_KM, haversine_km, unit_vector
-from gridwake.tables import materialize
+from gridwake.tables import materialize, small
+
+DESCENT = 2  # doublings of the cells' size from one level of a search to the next
+CHORD = 1 / 64  # edge of the cubes in which the nearest of a set is searched, about 100 km
 
 
 def _offsets(dims: int, reach: int = 1) -> Column:
@@ -70,6 +73,51 @@ def radius_pairs_between(some: DataFrame, others: DataFrame, km: float, id_col:
     return left.join(right, ["cx", "cy", "cz"]).where("a <> b").select("a", "b", d.alias("km")).where(F.col("km") <= km)
 
 
+def _gap(own: Column, other: Column, width: float, size: float, far: bool) -> Column:
+    """Least or greatest distance along an axis between cell `own` of edge `size` and cell `other` of edge `width`."""
+    lo, hi, a, b = own * size, own * size + size, other * width, other * width + width
+    return F.greatest(F.abs(hi - a), F.abs(b - lo)) if far else F.greatest(F.lit(0.0), a - hi, lo - b)
+
+
+def candidate_cells(places: DataFrame, occupied: DataFrame, dims: int, size: float, span: float, slack: float) -> DataFrame:
+    """For each cell p0, p1, .. of `places` the cells c0, c1, .. of `occupied` that can hold the nearest thing to one of its points.
+
+    Cells have the edge `size`; every occupied cell holds a point of a thing, no other point of which is further than `slack` from it. The search goes from
+    a few cells that hold the whole `span` down: each is replaced by its occupied parts, and parts go whose least distance exceeds the
+    greatest distance to another. So a place in the void meets no more cells than one nearby.
+    """
+    p, c, u = ([f"{x}{i}" for i in range(dims)] for x in "pcu")
+    occupied = materialize(occupied.select(*c).distinct())
+    top = math.ceil(math.log2(span / size)) + 1
+    top += -top % DESCENT
+    at = lambda level, names: [F.shiftright(x, level).alias(n) for x, n in zip(c, names)]
+    found = places.select(*p).distinct().crossJoin(F.broadcast(occupied.select(*at(top, c)).distinct()))  # 2 ** dims cells at most
+    for level in range(top - DESCENT, -1, -DESCENT):
+        parts = occupied.select(*at(level + DESCENT, u), *at(level, c)).distinct()
+        met = found.withColumnsRenamed(dict(zip(c, u))).join(small(parts, 32 * dims), u).drop(*u)
+
+        def distance(far: bool, width: float = size * 2**level) -> Column:
+            gaps = [_gap(F.col(a), F.col(b), width, size, far) for a, b in zip(p, c)]
+            return F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
+
+        bound = F.min(distance(True)).over(Window.partitionBy(*p))
+        found = met.withColumn("_most", bound).where(distance(False) - slack <= F.col("_most")).drop("_most")
+    return found
+
+
+def nearest_of(places: DataFrame, others: DataFrame, name: str = "km", chord: float = CHORD) -> DataFrame:
+    """(longitude, latitude, name): the great-circle distance from each of different places to the nearest of `others`; no row where there is none."""
+
+    def cubes(d: DataFrame, letter: str) -> DataFrame:
+        return d.withColumns({f"{letter}{i}": F.floor(v / chord).cast("long") for i, v in enumerate(unit_vector(F.col("longitude"), F.col("latitude")))})
+
+    p = materialize(cubes(places.select("longitude", "latitude").distinct(), "p"))
+    o = materialize(cubes(others.select("longitude", "latitude").distinct(), "c").withColumnsRenamed({"longitude": "_lon", "latitude": "_lat"}))
+    cells = materialize(candidate_cells(p, o, 3, chord, 2.0, 1e-9))
+    met = p.join(cells, ["p0", "p1", "p2"]).join(small(o, 64), ["c0", "c1", "c2"])
+    return met.groupBy("longitude", "latitude").agg(F.min(haversine_km(F.col("longitude"), F.col("latitude"), F.col("_lon"), F.col("_lat"))).alias(name))
+
+
 def knn_grid(cells: DataFrame, k: int = 8, start_reach: int = 2) -> DataFrame:
     """Row-standardised weights (src_lat, src_lon, dst_lat, dst_lon, rank, dist2, w) to the k nearest cells.
 

@@ -17,6 +17,9 @@ from gridwake.tables import materialize, scratch_dir
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 H, W, ND = fx.HEIGHT, fx.WIDTH, fx.NODATA
+_E2 = fn.WGS84_E2
+_E = _E2**0.5
+_K0 = 0.75**0.5 / (1 - _E2 * 0.25) ** 0.5
 
 
 def query(sql: str | None = None, *views: str, name: str | None = None):
@@ -444,11 +447,10 @@ def e2_zonal_statistics(spark, d):
     return _zones(spark, d).select("country", *_r("mean_density", digits=4), *_r("mean_intensity"), "total_density", "points", "cells")
 
 
-@query(IN_COUNTRY.replace("count(*) AS cells FROM cells JOIN", "count(*) AS cells FROM (SELECT * FROM cells WHERE lat_idx >= 100) cells JOIN") + " SELECT country, round(coalesce(mean_density, 0), 4) AS mean_density, coalesce(total_density, 0) AS total_density, coalesce(cells, 0) AS cells FROM countries LEFT JOIN z USING (country)", "traffic", "countries")
+@query(IN_COUNTRY + " SELECT country, round(coalesce(mean_density, 0), 4) AS mean_density, coalesce(total_density, 0) AS total_density, coalesce(cells, 0) AS cells FROM countries LEFT JOIN z USING (country)", "traffic", "countries")
 def e3_choropleth(spark, d):
-    north = grid.aggregate_grid(fx.traffic(spark, d), 1.0).where("lat_idx >= 100")
     c = fx.countries(spark, d)
-    return geo.choropleth(c, geo.zonal_statistics(north, c)).select("country", *_r("mean_density", digits=4), "total_density", "cells")
+    return geo.choropleth(c, _zones(spark, d)).select("country", *_r("mean_density", digits=4), "total_density", "cells")
 
 
 @query("SELECT category, count(*) AS n FROM (SELECT category FROM traffic UNION ALL SELECT 'global' FROM traffic) GROUP BY category", "traffic")
@@ -487,9 +489,23 @@ def _features(spark, d):
     return geo.boundary_km(x.withColumn("log_density", F.log1p(F.col("density_sum").cast("double"))), fx.countries(spark, d))
 
 
-@query()
+def _plane(lon: str, lat: str) -> tuple[str, str]:
+    s = f"sin(radians({lat}))"
+    return f"{fn.WGS84_A * _K0!r} * radians({lon})", f"{fn.WGS84_A / (2 * _K0)!r} * {1 - _E2!r} * ({s} / (1 - {_E2!r} * {s} * {s}) - {1 / (2 * _E)!r} * ln((1 - {_E!r} * {s}) / (1 + {_E!r} * {s})))"
+
+
+def _to_rectangles() -> str:
+    """SQL of the distance from cells to the nearest side of the countries, which are rectangles in the plane too."""
+    (px, py), (x0, y0), (x1, y1) = _plane("lon_bin", "lat_bin"), _plane("lon0", "lat0"), _plane("lon1", "lat1")
+    side = lambda along, lo, hi, across, at: f"sqrt(pow(greatest({lo} - {along}, 0, {along} - {hi}), 2) + pow({across} - {at}, 2))"
+    sides = [side("px", "x0", "x1", "py", y) for y in ("y0", "y1")] + [side("py", "y0", "y1", "px", x) for x in ("x0", "x1")]
+    return f", c AS (SELECT lat_bin, lon_bin, {px} AS px, {py} AS py FROM cells), r AS (SELECT {x0} AS x0, {y0} AS y0, {x1} AS x1, {y1} AS y1 FROM countries) SELECT lat_bin, lon_bin, round(min(least({', '.join(sides)})) / 1000, 4) AS distance_to_coast_km FROM c, r GROUP BY lat_bin, lon_bin"
+
+
+@query(", " + _cells("traffic", 1.0) + _to_rectangles(), "traffic", "countries")
 def e7_boundary_distance(spark, d):
-    return _features(spark, d).select("lat_bin", "lon_bin", *_r("distance_to_coast_km"))
+    cells = grid.aggregate_grid(fx.traffic(spark, d), 1.0).withColumn("longitude", F.col("lon_bin")).withColumn("latitude", F.col("lat_bin"))
+    return geo.boundary_km(cells, fx.countries(spark, d)).select("lat_bin", "lon_bin", *_r("distance_to_coast_km", digits=4))
 
 
 def _hot_points(spark, d):
@@ -534,9 +550,6 @@ def f3_haversine(spark, d):
     return n.join(b, "n_regionkey").select(F.col("n_nationkey").alias("a"), "b", F.round(fn.haversine_km(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), 4).alias("km"))
 
 
-_E2 = fn.WGS84_E2
-_E = _E2**0.5
-_K0 = 0.75**0.5 / (1 - _E2 * 0.25) ** 0.5
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+BROADCAST_BYTES = 64 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -26,6 +27,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df as a broadcast side if its rows take at most BROADCAST_BYTES, else as it is, for a shuffled join; df should be a written table."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def connected(pairs: DataFrame) -> DataFrame:
     """(id, root) for the undirected graph of pairs (a, b), root being the smallest id; labels jump along their own labels."""
     both = materialize(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())

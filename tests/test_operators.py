@@ -65,6 +65,84 @@ def test_point_in_polygon_and_choropleth(spark):
     assert geo.choropleth(c, stats).first().asDict() == {"country": "x", "mean_density": 0.0, "total_density": 0}
 
 
+def test_polygon_of_many_edges(spark):
+    """A star of 100,000 edges with a star as its hole, other countries inside and beside it, and points on corners, edges and the cells' borders."""
+    rng = np.random.default_rng(8)
+
+    def star(n, x, y, r, wobble):
+        t = np.linspace(0, 2 * np.pi, n, endpoint=False)
+        d = r * (1 + wobble * rng.uniform(-1, 1, n))
+        xy = np.c_[x + d * np.cos(t), y + d * np.sin(t)]
+        return np.r_[xy, xy[:1]]
+
+    shapes = {"big": [star(100_000, 10.5, 5.5, 20, 0.2), star(300, 11, 5, 6, 0.3)], "inner": [star(7, 11, 5, 3, 0.1)], "box": [np.array([(40.0, -2), (43, -2), (43, 3), (40, 3), (40, -2)])], "dent": [np.array([(-50.0, 0), (-40, 0), (-45, 5), (-40, 10), (-50, 10), (-50, 0)])]}
+    c = spark.createDataFrame([(n, [[(float(a), float(b)) for a, b in ring] for ring in rings]) for n, rings in shapes.items()], "country string, rings array<array<struct<lon:double,lat:double>>>")
+    xy = np.r_[rng.uniform(-55, 45, (250, 2)) * [1, 0.5], np.array([(40, 1), (41, 3), (43, 3), (42, 1), (41, -2), (-45, 5), (-46, 5), (-44, 5), (-41, 1), (11, 5), (10, 5), (40.0001, 2.9999)]), shapes["big"][0][:5], np.floor(rng.uniform(-20, 30, (30, 2)))]
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate([*xy, xy[0]])]
+    p = spark.createDataFrame([*rows, (-1, None, 1.0), (-2, float("nan"), 1.0)], "i int, longitude double, latitude double")
+    want = set()
+    for i, x, y in rows:
+        for name, rings in shapes.items():
+            x1, y1, x2, y2 = np.concatenate([np.c_[r[:-1], r[1:]] for r in rings]).T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                crossed = (((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)).sum() % 2
+            on = (((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1)) & (np.minimum(x1, x2) <= x) & (x <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= y) & (y <= np.maximum(y1, y2))).any()
+            if crossed and not on:
+                want.add((i, name))
+    for cell in (1.0, 7.0):
+        got = [(r.i, r.country) for r in geo.within(p, c, cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert {n for _, n in want} == set(shapes)
+
+
+def test_boundary_distance_against_all_segments(spark):
+    """More segments than any limit, places far out at sea among them, with cells large and small."""
+    rng = np.random.default_rng(9)
+    t = np.linspace(0, 2 * np.pi, 20_000)
+    coast = np.c_[20 + 15 * np.cos(t) + rng.normal(0, 0.05, len(t)), 10 + 12 * np.sin(t) + rng.normal(0, 0.05, len(t))]
+    wide = np.array([(-170.0, 60), (-100, 62), (-120, 75), (-170, 60)])
+    c = spark.createDataFrame([(n, [[(float(a), float(b)) for a, b in ring]]) for n, ring in (("a", coast), ("b", wide))], "country string, rings array<array<struct<lon:double,lat:double>>>")
+    xy = np.r_[rng.uniform(-1, 1, (150, 2)) * [180, 85], coast[:3], [[20, 10]]]
+    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate([*xy, xy[0]])] + [(-1, None, 1.0)], "i int, longitude double, latitude double")
+
+    def plane(lonlat):
+        s, e = np.sin(np.radians(lonlat[:, 1])), math.sqrt(fn.WGS84_E2)
+        k = math.cos(math.radians(30)) / math.sqrt(1 - fn.WGS84_E2 * 0.25)
+        q = (1 - e * e) * (s / (1 - e * e * s * s) - np.log((1 - e * s) / (1 + e * s)) / (2 * e))
+        return np.c_[6378137 * k * np.radians(lonlat[:, 0]), 6378137 * q / (2 * k)]
+
+    a, b = (np.concatenate([plane(r)[i : len(r) - 1 + i] for r in (coast, wide)]) for i in (0, 1))
+    want = []
+    for q in plane(xy):
+        d, g = b - a, q - a
+        along = np.clip((g * d).sum(axis=1) / np.maximum((d * d).sum(axis=1), 1e-300), 0, 1)
+        want.append(np.hypot(*(g - along[:, None] * d).T).min() / 1000)
+    for cell in (50_000.0, 700_000.0):
+        got = {r.i: r.distance_to_coast_km for r in geo.boundary_km(p, c, cell_metres=cell).collect()}
+        assert got.pop(-1) is None and got[len(xy)] == got[0]
+        assert [got[i] for i in range(len(xy))] == pytest.approx(want, abs=1e-6)
+    assert [r.distance_to_coast_km for r in geo.boundary_km(p, c.limit(0)).collect()] == [None] * (len(xy) + 2)
+
+
+def test_nearest_anchor_by_list_and_by_cells(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    own = [(float(a), float(b)) for a, b in rng.uniform(-1, 1, (40, 2)) * [30, 20]] + [(179.9, 1.0), (0.0, 90.0)]
+    anchors = spark.createDataFrame([("port", *a) for a in own] + [("strait", 0.0, 0.0)], "kind string, lon double, lat double")
+    places = [(float(a), float(b)) for a, b in rng.uniform(-1, 1, (120, 2)) * [180, 90]] + [(-179.9, 1.0), (10.0, -90.0), own[0]]
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate([*places, places[0]])] + [(-1, None, 0.0)], "i int, longitude double, latitude double")
+
+    def km(x, y):
+        a, b, c, d = np.radians([*x, *y])
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(math.sin((d - b) / 2) ** 2 + math.cos(b) * math.cos(d) * math.sin((c - a) / 2) ** 2)))
+
+    want = [min(km(x, y) for y in own) for x in [*places, places[0]]]
+    for limit in (1000, 2):
+        monkeypatch.setattr(geo, "ANCHORS", limit)
+        got = {r.i: r.d for r in geo.nearest_anchor_km(p, anchors, "port", "d").collect()}
+        assert got.pop(-1) is None and [got[i] for i in range(len(want))] == pytest.approx(want, abs=1e-6)
+    assert geo.nearest_anchor_km(p, anchors, "lighthouse", "d").where("d is not null").count() == 0
+
+
 def test_boundary_distance(spark):
     ring = [(0.0, -1.0), (10.0, -1.0), (10.0, 1.0), (0.0, 1.0), (0.0, -1.0)]
     c = spark.createDataFrame([("x", [ring])], "country string, rings array<array<struct<lon:double,lat:double>>>")
@@ -281,14 +359,3 @@ def test_inventory_names_what_is_there(spark, sf_dir):
 
     got = {r["name"]: (r.present, r.mb) for r in catalogue.QUERIES["a9_e12_file_inventory"](spark, sf_dir).collect()}
     assert {n for n, (present, _) in got.items() if present} == {"lineitem.parquet", "nation.parquet", "events.parquet", "region.parquet"} and got["traffic.csv"] == (False, None)
-
-
-def test_too_many_anchors_raise(spark, monkeypatch):
-    import pytest
-
-    from gridwake.operators import geo
-
-    monkeypatch.setattr(geo, "ANCHORS", 2)
-    anchors = spark.createDataFrame([("port", float(i), 0.0) for i in range(3)], "kind string, lon double, lat double")
-    with pytest.raises(ValueError):
-        geo.nearest_anchor_km(spark.createDataFrame([(0.0, 0.0)], "longitude double, latitude double"), anchors, "port", "d")
