@@ -81,6 +81,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwake.llm.pii import digest, sanitise
+
+    return digest(sanitise(_table(spark, sf_dir, "documents"), keep_text=False))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridwake.llm.spelling import variants
 
@@ -88,7 +94,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_packing, op2_toxicity, op3_html_extraction, op4_sharding, op5_jaccard_join, op6_mixing, op7_token_counts, op8_fingerprints, op9_quality, op10_embedding_dedup, op11_hard_negatives, op13_spelling)
+    found = (op1_packing, op2_toxicity, op3_html_extraction, op4_sharding, op5_jaccard_join, op6_mixing, op7_token_counts, op8_fingerprints, op9_quality, op10_embedding_dedup, op11_hard_negatives, op12_pii, op13_spelling)
     return {f.__name__: f for f in found}
 
 
