@@ -15,7 +15,8 @@ POSITIVES = 5
 NEGATIVES = 3
 LOWEST, HIGHEST = 50, 95  # per cent of the positive's score that a negative's may have
 SCALE = 256
-BLOCK_VALUES = 1 << 19  # components in a block of rows or of anchors
+BLOCK_VALUES = 1 << 17  # components in a block of rows
+ANCHOR_BLOCKS = 4  # a block of anchors is so many times as large, as the rows are copied for each of those
 SLICE = 1 << 20  # scores at a time
 _LONG = (1 << 63) - 1
 
@@ -127,7 +128,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = POSITIVES, nega
     width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
     size = max(256, block_values // width)
     own = _blocks(rows, "vec_id", size, "r_block")
-    anchors = _blocks(own.where("is_anchor").select(F.col("vec_id").alias("anchor_id"), "label", "embedding"), "anchor_id", size, "a_block").withColumnRenamed("row_no", "anchor")
+    anchors = _blocks(own.where("is_anchor").select(F.col("vec_id").alias("anchor_id"), "label", "embedding"), "anchor_id", size * ANCHOR_BLOCKS, "a_block").withColumnRenamed("row_no", "anchor")
     own = own.drop("is_anchor", "row_no")
     with_label = anchors.select("label", "a_block").distinct().join(own.select("label", "r_block").distinct(), "label").select("a_block", "r_block").distinct()
     by_score = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
