@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridwake.functions.scalar import lisa_label
 from gridwake.operators.neighbors import spatial_lag
+from gridwake.operators.pointpattern import ranked
 from gridwake.tables import materialize
 
 PERMUTED_CELLS = 200_000
@@ -30,10 +31,39 @@ def moran(cells: DataFrame, weights: DataFrame, value: str) -> DataFrame:
     return a.select("n", (F.col("zl") / F.col("zz")).alias("moran_i"), (-1.0 / (F.col("n") - 1)).alias("expected_i"))
 
 
+def moran_moments(cells: DataFrame, weights: DataFrame, value: str) -> DataFrame:
+    """(n, moran_i, expected_i, variance, z_norm, p_norm): Moran's I against its moments under randomisation (Cliff and Ord 1981), for any number of cells.
+
+    S0 is the sum of the weights, S1 that of (w_ij + w_ji)^2 over unordered pairs, S2 that of (w_i. + w_.i)^2 over cells, all by aggregates; kurtosis
+    is that of the values. Null variance for fewer than four cells or values all alike.
+    """
+    z = materialize(centred(cells, weights, value).select("lat_idx", "lon_idx", "z", "lag_z"))
+    z2 = F.col("z") * F.col("z")
+    m = z.agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("lag_z")).alias("zl"), F.sum(z2).alias("zz"), F.sum(z2 * z2).alias("z4"))
+    src, dst = F.struct(F.col("src_lat").alias("lat"), F.col("src_lon").alias("lon")), F.struct(F.col("dst_lat").alias("lat"), F.col("dst_lon").alias("lon"))
+    pair = weights.groupBy(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).agg(F.sum("w").alias("w"))
+    s1 = pair.agg(F.sum(F.col("w") * F.col("w")).alias("s1"), F.sum("w").alias("s0"))
+    ends = weights.select(src.alias("at"), "w").union(weights.select(dst.alias("at"), "w")).groupBy("at").agg(F.sum("w").alias("w"))
+    s2 = ends.agg(F.sum(F.col("w") * F.col("w")).alias("s2"))
+    x = m.crossJoin(s1).crossJoin(s2)  # one row each
+    n, s0, s1, s2, expected = F.col("n").cast("double"), F.col("s0"), F.col("s1"), F.col("s2"), -1.0 / (F.col("n") - 1)
+    k = n * F.col("z4") / (F.col("zz") * F.col("zz"))
+    second = (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 * s0) - k * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0 * s0)) / ((n - 1) * (n - 2) * (n - 3) * s0 * s0)
+    known = (F.col("n") > 3) & (F.col("zz") > 0)
+    out = x.select("n", F.when(F.col("zz") > 0, n / s0 * F.col("zl") / F.col("zz")).alias("moran_i"), expected.alias("expected_i"), F.when(known, second - expected * expected).alias("variance"))
+    out = out.withColumn("z_norm", F.when(F.col("variance") > 0, (F.col("moran_i") - F.col("expected_i")) / F.sqrt("variance")))
+
+    def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(p_norm=[normal_tail(v) for v in pdf["z_norm"]])
+
+    return out.mapInPandas(tails, "n long, moran_i double, expected_i double, variance double, z_norm double, p_norm double")
+
+
 def _indexed(cells: DataFrame, weights: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
     """z and the neighbours' positions of a bounded set of cells, for permutations."""
     if cells.limit(PERMUTED_CELLS + 1).count() > PERMUTED_CELLS:
-        raise ValueError("too many cells to permute: use the analytic moments or a coarser grid")
+        raise ValueError("too many cells to permute on arrays: use moran_moments")
     c = cells.select("lat_idx", "lon_idx", F.col(value).cast("double").alias("v")).toPandas().sort_values(["lat_idx", "lon_idx"]).reset_index(drop=True)
     e = weights.select("src_lat", "src_lon", "dst_lat", "dst_lon", "rank").toPandas()
     at = pd.Series(c.index, index=pd.MultiIndex.from_frame(c[["lat_idx", "lon_idx"]]))
@@ -86,27 +116,33 @@ def distinct_draws(rng: np.random.Generator, n: int, rows: int, k: int) -> np.nd
 
 
 def local_permutations(cells: DataFrame, weights: DataFrame, value: str, permutations: int = 999, seed: int = 42) -> DataFrame:
-    """(lat_idx, lon_idx, p_sim) by conditional permutation: each cell's draws have a seed of their own, whatever the partitioning."""
-    z, near, c = _indexed(cells, weights, value)
-    spark = cells.sparkSession
-    sent, k = spark.sparkContext.broadcast((z, near)), near.shape[1]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z, near = sent.value
-        n = len(z)
+    """(lat_idx, lon_idx, p_sim) by conditional permutation, for any number of cells.
+
+    Each permutation draws k + 1 different cells by their numbers, k being the number of neighbours. The mean of the first k is a lag under the null
+    for every cell but those k; for them the last one stands in. So all cells share one short list of lags, and only the drawn cells, at most k for
+    a permutation, have others of their own; what is joined and broadcast grows with the permutations, not with the cells.
+    """
+    own = ranked(centred(cells, weights, value).select("lat_idx", "lon_idx", "z", "lag_z"), [F.asc("lat_idx"), F.asc("lon_idx")], "no")
+    n, k = own.count(), int(weights.agg(F.max("rank")).first()[0] or 0)
+    if k == 0:
+        return cells.select("lat_idx", "lon_idx", F.lit(1.0).alias("p_sim"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for i in pdf["id"].to_numpy():
-                rng = np.random.default_rng([seed, int(i)])
-                draw = distinct_draws(rng, n - 1, permutations, k)
-                draw += draw >= i  # any cell but this one
-                lag, own = z[draw].mean(axis=1), z[near[i]].mean()
-                over = int((z[i] * lag >= z[i] * own).sum())
-                out.append((min(over, permutations - over) + 1) / (permutations + 1))
-            yield pd.DataFrame({"id": pdf["id"], "p_sim": out})
-
-    at = spark.createDataFrame(c.reset_index()[["index", "lat_idx", "lon_idx"]].rename(columns={"index": "id"}))
-    return spark.range(len(z)).repartition(16).mapInPandas(run, "id long, p_sim double").join(at, "id").select("lat_idx", "lon_idx", "p_sim")
+            for p in pdf["id"].tolist():
+                yield pd.DataFrame({"p": p, "no": distinct_draws(np.random.default_rng([seed, p]), n, 1, k + 1)[0] + 1, "j": range(k + 1)})
+
+    draws = materialize(own.sparkSession.range(permutations).repartition(16).mapInPandas(draw, "p long, no long, j long"))
+    values = own.select("no", "z").join(F.broadcast(draws), "no")
+    lags = materialize(values.groupBy("p").agg((F.sum(F.when(F.col("j") < k, F.col("z"))) / k).alias("lag"), F.max(F.when(F.col("j") == k, F.col("z"))).alias("spare")))
+    swapped = values.where(F.col("j") < k).join(F.broadcast(lags), "p").select("no", F.struct(F.col("lag").alias("old"), (F.col("lag") + (F.col("spare") - F.col("z")) / k).alias("new")).alias("swap"))
+    swaps = swapped.groupBy("no").agg(F.collect_list("swap").alias("swaps"))  # one for each permutation at most
+    every = lags.agg(F.collect_list("lag").alias("lags"))
+    z, least = F.col("z"), F.col("z") * F.col("lag_z")
+    own_swaps = F.coalesce("swaps", F.array().cast("array<struct<old:double,new:double>>"))
+    over = F.size(F.filter("lags", lambda x: z * x >= least)) - F.size(F.filter(own_swaps, lambda s: z * s["old"] >= least)) + F.size(F.filter(own_swaps, lambda s: z * s["new"] >= least))
+    x = own.join(F.broadcast(swaps), "no", "left").crossJoin(F.broadcast(every)).withColumn("_over", over)
+    return x.select("lat_idx", "lon_idx", ((F.least("_over", permutations - F.col("_over")) + 1) / (permutations + 1)).alias("p_sim"))
 
 
 def lisa(cells: DataFrame, weights: DataFrame, value: str, permutations: int = 999, seed: int = 42) -> DataFrame:

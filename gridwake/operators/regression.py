@@ -8,15 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.operators.autocorr import _indexed, moran, moran_permutations, normal_tail
+from gridwake.operators.autocorr import moran, moran_permutations, normal_tail
 from gridwake.operators.neighbors import spatial_lag
 from gridwake.tables import materialize
 
 SAMPLE_ROWS = 4000
-EXACT_ROWS = 800  # up to here from eigenvalues
-DRIVER_ROWS = 200_000  # up to here the probes run on arrays, beyond as joins
-PROBES = 64
-POWERS = 40
+EXACT_ROWS = 4000  # up to here the determinant comes from eigenvalues
+PROBES = 32
+STEP_POWERS, MOST_POWERS = 6, 120
+TAIL = 0.01  # of the log-likelihood, that powers left out may hold
 
 
 def _products(df: DataFrame, columns: list[str]) -> np.ndarray:
@@ -97,42 +97,83 @@ def seeded_rows(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = 42) -> DataFram
     return df.orderBy(h, "lat_idx", "lon_idx").limit(n)
 
 
-def _log_determinant(weights: DataFrame, cells: DataFrame, n: int):
-    """rho -> log|I - rho W|: from eigenvalues for few rows, else from traces of powers of W by random probes (Barry and Pace 1999)."""
-    if n <= EXACT_ROWS:
+class ExactLogDeterminant:
+    """log|I - rho W| from the eigenvalues of a few rows' weights."""
+
+    def __init__(self, weights: DataFrame, cells: DataFrame, n: int):
         c = cells.select("lat_idx", "lon_idx").toPandas().reset_index(drop=True)
         at = {t: i for i, t in enumerate(zip(c.lat_idx, c.lon_idx))}
         w = np.zeros((n, n))
         for r in weights.toPandas().itertuples():
             w[at[r.src_lat, r.src_lon], at[r.dst_lat, r.dst_lon]] = r.w
-        values = np.linalg.eigvals(w)
-        return lambda rho: float(np.log(np.abs(1 - rho * values)).sum())
-    if n <= DRIVER_ROWS:
-        _, near, _ = _indexed(cells, weights, cells.columns[0])
-        start = np.random.default_rng(42).choice([-1.0, 1.0], (n, PROBES))
-        x, sums = start, []
-        for _ in range(POWERS):
-            x = sum(x[near[:, j]] for j in range(near.shape[1])) / near.shape[1]
-            sums.append(float((x * start).sum() / PROBES))
-        return lambda rho: -sum(rho ** (i + 1) * t / (i + 1) for i, t in enumerate(sums))
-    probes = [F.when(F.xxhash64("lat_idx", "lon_idx", F.lit(i)) % 2 == 0, 1.0).otherwise(-1.0).alias(f"p{i}") for i in range(PROBES)]
-    names = [f"p{i}" for i in range(PROBES)]
-    x = cells.select("lat_idx", "lon_idx", *probes)
-    start = x.select("lat_idx", "lon_idx", *[F.col(p).alias(f"o{p}") for p in names])
-    traces = []
-    for _ in range(POWERS):
-        v = x.withColumnsRenamed({"lat_idx": "dst_lat", "lon_idx": "dst_lon"})
-        x = materialize(weights.join(v, ["dst_lat", "dst_lon"]).groupBy(F.col("src_lat").alias("lat_idx"), F.col("src_lon").alias("lon_idx")).agg(*[F.sum(F.col("w") * F.col(p)).alias(p) for p in names]))
-        row = x.join(start, ["lat_idx", "lon_idx"]).agg(*[F.sum(F.col(p) * F.col(f"o{p}")).alias(p) for p in names]).first()
-        traces.append(float(np.mean([row[p] for p in names])))
-    return lambda rho: -sum(rho ** (i + 1) * t / (i + 1) for i, t in enumerate(traces))
+        self.values = np.linalg.eigvals(w)
+
+    def value(self, rho: float) -> float:
+        return float(np.log(np.abs(1 - rho * self.values)).sum())
+
+    def error(self, rho: float) -> float:
+        return 0.0
+
+    def refine(self, rho: float) -> bool:
+        return False
+
+
+class TraceLogDeterminant:
+    """log|I - rho W| as minus the sum of rho^k tr(W^k) / k, by joins alone (Barry and Pace 1999).
+
+    tr(W) and tr(W^2) are exact; further traces are means over probes of random signs, one join of the weights with the probes for each power. What
+    powers over m hold is at most F rho^(m+1) / ((m+1) (1 - rho)) with F the square norm of W^(m/2), since eigenvalues of row-standardised weights lie in the
+    unit circle and their squares sum to no more than that norm (Schur). The error is twice the probes' standard error plus that.
+    """
+
+    def __init__(self, weights: DataFrame, cells: DataFrame, n: int):
+        self.weights, self.names = weights, [f"p{i}" for i in range(PROBES)]
+        back = weights.select(F.col("dst_lat").alias("src_lat"), F.col("dst_lon").alias("src_lon"), F.col("src_lat").alias("dst_lat"), F.col("src_lon").alias("dst_lon"), F.col("w").alias("v"))
+        self.second = weights.join(back, ["src_lat", "src_lon", "dst_lat", "dst_lon"]).agg(F.sum(F.col("w") * F.col("v"))).first()[0] or 0.0
+        own = weights.where("src_lat = dst_lat and src_lon = dst_lon").agg(F.sum("w"))
+        self.first = own.first()[0] or 0.0
+        self.x = cells.select("lat_idx", "lon_idx", *[self._sign(i).alias(p) for i, p in enumerate(self.names)])
+        self.traces, self.norms = [], [float(n)]  # by power: one number for each probe; square norms
+
+    @staticmethod
+    def _sign(i: int):
+        return F.when(F.xxhash64("lat_idx", "lon_idx", F.lit(i)) % 2 == 0, 1.0).otherwise(-1.0)
+
+    def _power(self) -> None:
+        v = self.x.withColumnsRenamed({"lat_idx": "dst_lat", "lon_idx": "dst_lon"})
+        lagged = self.weights.join(v, ["dst_lat", "dst_lon"]).groupBy(F.col("src_lat").alias("lat_idx"), F.col("src_lon").alias("lon_idx")).agg(*[F.sum(F.col("w") * F.col(p)).alias(p) for p in self.names])
+        self.x = materialize(lagged)
+        row = self.x.agg(*[F.sum(F.col(p) * self._sign(i)).alias(p) for i, p in enumerate(self.names)], *[F.sum(F.col(p) * F.col(p)).alias(f"s{p}") for p in self.names]).first()
+        self.traces.append(np.array([row[p] or 0.0 for p in self.names]))
+        self.norms.append(float(np.mean([row[f"s{p}"] or 0.0 for p in self.names])))
+
+    def _sums(self, rho: float) -> np.ndarray:
+        return -sum((rho**k * t / k for k, t in enumerate(self.traces, 1) if k > 2), np.zeros(PROBES))
+
+    def value(self, rho: float) -> float:
+        return float(self._sums(rho).mean() - rho * self.first - rho * rho * self.second / 2)
+
+    def _tail(self, rho: float) -> float:
+        m, r = len(self.traces), abs(rho)
+        return self.norms[m // 2] * r ** (m + 1) / ((m + 1) * (1 - r)) if r < 1 else math.inf
+
+    def error(self, rho: float) -> float:
+        return float(2 * self._sums(rho).std(ddof=1) / math.sqrt(PROBES) + self._tail(rho))
+
+    def refine(self, rho: float) -> bool:
+        """Take more powers if those left out may matter at rho; whether any were taken."""
+        if self.traces and (self._tail(rho) <= TAIL or len(self.traces) >= MOST_POWERS):
+            return False
+        for _ in range(STEP_POWERS):
+            self._power()
+        return True
 
 
 def spatial_lag_model(df: DataFrame, weights: DataFrame, y: str, xs: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Maximum-likelihood y = rho W y + X b + e: (variable, coefficient, std_error, z_stat, p_value) and (rho, aic, pseudo_r2, n).
+    """Maximum-likelihood y = rho W y + X b + e: (variable, coefficient, std_error, z_stat, p_value) and (rho, aic, pseudo_r2, n, logdet_error).
 
-    The likelihood, concentrated in rho, needs one aggregate of cross products and the log-determinant. Standard errors come from
-    the observed information of all parameters together.
+    The likelihood, concentrated in rho, needs one aggregate of cross products and the log-determinant: from eigenvalues up to EXACT_ROWS rows, else from traces,
+    with powers until those left out can't move it, and a bound of its error. Standard errors come from the observed information of all parameters.
     """
     lagged = spatial_lag(df, weights, y, "_wy")
     m = _products(lagged, [*xs, y, "_wy"])
@@ -143,17 +184,23 @@ def spatial_lag_model(df: DataFrame, weights: DataFrame, y: str, xs: list[str])
     ee = m[k, k] - by @ m[:k, k]
     ew = m[k, k + 1] - by @ m[:k, k + 1]
     ww = m[k + 1, k + 1] - bw @ m[:k, k + 1]
-    logdet = _log_determinant(weights, df, n)
+    logdet = ExactLogDeterminant(weights, df, n) if n <= EXACT_ROWS else TraceLogDeterminant(weights, df, n)
 
     def loglik(rho: float) -> float:
         s2 = max(1e-300, (ee - 2 * rho * ew + rho * rho * ww) / n)
-        return -n / 2 * (math.log(2 * math.pi * s2) + 1) + logdet(rho)
-
-    lo, hi, g = -0.99, 0.999, (math.sqrt(5) - 1) / 2
-    for _ in range(80):  # golden section; the concentrated likelihood has one peak
-        a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-        lo, hi = (lo, b) if loglik(a) > loglik(b) else (a, hi)
-    rho = (lo + hi) / 2
+        return -n / 2 * (math.log(2 * math.pi * s2) + 1) + logdet.value(rho)
+
+    def peak() -> float:
+        lo, hi, g = -0.99, 0.999, (math.sqrt(5) - 1) / 2
+        for _ in range(80):  # golden section; the concentrated likelihood has one peak
+            a, b = hi - g * (hi - lo), lo + g * (hi - lo)
+            lo, hi = (lo, b) if loglik(a) > loglik(b) else (a, hi)
+        return (lo + hi) / 2
+
+    rho = 0.5
+    while logdet.refine(rho):
+        rho = peak()
+    rho = peak()
     s2 = (ee - 2 * rho * ew + rho * rho * ww) / n
     h = 1e-4
     curve = -(loglik(rho + h) - 2 * loglik(rho) + loglik(rho - h)) / h**2
@@ -167,8 +214,8 @@ def spatial_lag_model(df: DataFrame, weights: DataFrame, y: str, xs: list[str])
         fitted = fitted + F.col(x) * b
     r = lagged.agg(F.corr(F.col(y), fitted).alias("r")).first()["r"] or 0.0
     spark = df.sparkSession
-    fit = [(float(rho), float(-2 * loglik(rho) + 2 * (k + 1)), float(r * r), n)]
-    return spark.createDataFrame(rows, "variable string, coefficient double, std_error double, z_stat double, p_value double"), spark.createDataFrame(fit, "rho double, aic double, pseudo_r2 double, n long")
+    fit = [(float(rho), float(-2 * loglik(rho) + 2 * (k + 1)), float(r * r), n, logdet.error(rho))]
+    return spark.createDataFrame(rows, "variable string, coefficient double, std_error double, z_stat double, p_value double"), spark.createDataFrame(fit, "rho double, aic double, pseudo_r2 double, n long, logdet_error double")
 
 
 def documents(coefficients: DataFrame, fit: DataFrame) -> DataFrame:

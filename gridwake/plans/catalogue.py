@@ -702,6 +702,18 @@ def h4_moran_permutations(spark, d):
     return autocorr.moran_permutations(c, w, "log_density")
 
 
+@query(
+    KNN + ", z AS (SELECT v - (SELECT avg(v) FROM val) AS z, lag - (SELECT avg(v) FROM val) AS lz FROM val JOIN lag USING (lat_idx, lon_idx)), m AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(z * lz) AS zl, sum(z * z) AS zz, count(*) * sum(z * z * z * z) / pow(sum(z * z), 2) AS k FROM z), w AS (SELECT src_lat * 1000 + src_lon AS a, dst_lat * 1000 + dst_lon AS b, 0.125 AS w FROM knn), "
+    "s1 AS (SELECT sum(w * w) AS s1 FROM (SELECT CAST(sum(w) AS DOUBLE) AS w FROM w GROUP BY least(a, b), greatest(a, b))), s2 AS (SELECT sum(w * w) AS s2 FROM (SELECT CAST(sum(w) AS DOUBLE) AS w FROM (SELECT a AS i, w FROM w UNION ALL SELECT b, w FROM w) GROUP BY i)), "
+    "v AS (SELECT n, zl / zz AS i, -1 / (n - 1) AS e, (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * n * n) - k * ((n * n - n) * s1 - 2 * n * s2 + 6 * n * n)) / ((n - 1) * (n - 2) * (n - 3) * n * n) AS q FROM m, s1, s2) "
+    "SELECT CAST(n AS BIGINT) AS n, round(i, 6) AS moran_i, round(e, 8) AS expected_i, round((q - e * e) * 1000, 6) AS variance_milli, round((i - e) / sqrt(q - e * e), 4) AS z_norm FROM v",
+    "traffic",
+)
+def h4_moran_moments(spark, d):
+    c, w = _cells_and_weights(spark, d)
+    return autocorr.moran_moments(c, w, "log_density").select("n", *_r("moran_i"), *_r("expected_i", digits=8), F.round(F.col("variance") * 1000, 6).alias("variance_milli"), *_r("z_norm", digits=4))
+
+
 @query(KNN + ", z AS (SELECT lat_idx, lon_idx, v - (SELECT avg(v) FROM val) AS z, lag - (SELECT avg(v) FROM val) AS lz FROM val JOIN lag USING (lat_idx, lon_idx)) SELECT lat_idx, lon_idx, round(z * lz * (SELECT (count(*) - 1) / sum(z * z) FROM z), 5) AS local_i, CASE WHEN z > 0 AND lz > 0 THEN 1 WHEN z <= 0 AND lz > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS quadrant FROM z", "traffic")
 def h5_local_moran(spark, d):
     c, w = _cells_and_weights(spark, d)
@@ -790,7 +802,7 @@ def i3_residual_moran(spark, d):
 
 @query()
 def i4_i7_spatial_lag_model(spark, d):
-    m = materialize(regression.seeded_rows(_model(spark, d)))
+    m = _model(spark, d)
     w = materialize(neighbors.knn_grid(m))
     coefficients, fit = regression.spatial_lag_model(m, w, "log_density", XS)
     return regression.documents(coefficients, fit)

@@ -238,6 +238,68 @@ def test_permutations_tell_order_from_noise(spark):
     assert autocorr.lisa(c, w, "v", 99).where("lat_idx = 11").select("lisa_cluster").distinct().first()[0] == "HH"
 
 
+def _matrix(w, at):
+    m = np.zeros((len(at), len(at)))
+    for r in w.collect():
+        m[at[r.src_lat, r.src_lon], at[r.dst_lat, r.dst_lon]] = r.w
+    return m
+
+
+def test_moran_moments_are_the_textbooks(spark, monkeypatch):
+    monkeypatch.setattr(autocorr, "PERMUTED_CELLS", 10)  # moments have no limit
+    rng = np.random.default_rng(11)
+    at = {k: i for i, k in enumerate(sorted({(int(a), int(b)) for a, b in rng.integers(0, 15, (80, 2))}))}
+    v = rng.gamma(1.0, size=len(at))
+    c = spark.createDataFrame([(*k, float(v[i])) for k, i in at.items()], "lat_idx int, lon_idx int, v double")
+    w = neighbors.knn_grid(c, 5)
+    m, n, z = _matrix(w, at), len(at), v - v.mean()
+    s0, s1, s2 = m.sum(), ((m + m.T) ** 2).sum() / 2, ((m.sum(axis=1) + m.sum(axis=0)) ** 2).sum()
+    i, e, k = n / s0 * (z @ m @ z) / (z @ z), -1 / (n - 1), n * (z**4).sum() / (z @ z) ** 2
+    q = (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0**2) - k * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0**2)) / ((n - 1) * (n - 2) * (n - 3) * s0**2) - e * e
+    r = autocorr.moran_moments(c, w, "v").first()
+    assert (r.n, r.moran_i, r.expected_i, r.variance, r.z_norm) == pytest.approx((n, i, e, q, (i - e) / q**0.5))
+    assert r.p_norm == pytest.approx(math.erfc(abs(i - e) / (2 * q) ** 0.5))
+    drawn = [n / s0 * (p @ m @ p) / (z @ z) for p in (rng.permutation(z) for _ in range(4000))]
+    assert np.mean(drawn) == pytest.approx(e, abs=5 * (q / 4000) ** 0.5) and np.var(drawn) == pytest.approx(q, rel=0.12)
+    flat = autocorr.moran_moments(c.withColumn("v", F.lit(1.0)), w, "v").first()
+    assert flat.variance is None and flat.z_norm is None and flat.moran_i is None
+
+
+def test_conditional_permutations_without_limit(spark, monkeypatch):
+    """The shared draws give exactly what a loop over cells gives for them, and p as from draws of each cell's own."""
+    monkeypatch.setattr(autocorr, "PERMUTED_CELLS", 10)
+    rng = np.random.default_rng(12)
+    at = {k: i for i, k in enumerate(sorted({(int(a), int(b)) for a, b in rng.integers(0, 12, (90, 2))}))}
+    v = rng.normal(size=len(at)) + np.array([a for a, _ in at]) * 0.3
+    c = spark.createDataFrame([(*k, float(v[i])) for k, i in at.items()], "lat_idx int, lon_idx int, v double")
+    w = neighbors.knn_grid(c, 4)
+    n, k, runs, z = len(at), 4, 499, v - v.mean()
+    own = z * (_matrix(w, at) @ z)
+    draws = [autocorr.distinct_draws(np.random.default_rng([42, p]), n, 1, k + 1)[0] for p in range(runs)]
+    got = {at[r.lat_idx, r.lon_idx]: r.p_sim for r in autocorr.local_permutations(c, w, "v", runs).collect()}
+    free = []
+    for i in range(n):
+        lags = [z[[d[k] if j == i else j for j in d[:k]]].mean() for d in draws]
+        over = sum(z[i] * x >= own[i] for x in lags)
+        assert got[i] == pytest.approx((min(over, runs - over) + 1) / (runs + 1), abs=1.01 / (runs + 1))
+        others = np.delete(z, i)
+        lags = np.array([rng.choice(others, k, replace=False).mean() for _ in range(2000)])
+        over = (z[i] * lags >= own[i]).mean()
+        free.append(min(over, 1 - over))
+    assert np.abs(np.array([got[i] for i in range(n)]) - free).max() < 5 * (0.25 / runs) ** 0.5
+
+
+def test_log_determinant_by_traces(spark):
+    c = cells(spark, 24, lambda i, j: 0)
+    w = neighbors.knn_grid(c)
+    exact, traces = regression.ExactLogDeterminant(w, c, 576), regression.TraceLogDeterminant(w, c, 576)
+    while traces.refine(0.8):
+        pass
+    for rho in (-0.4, 0.1, 0.5, 0.8):
+        assert abs(traces.value(rho) - exact.value(rho)) <= 1.5 * traces.error(rho) + 1e-9
+    assert 0 < traces.error(0.8) < 0.05 * abs(exact.value(0.8)) and traces.error(0.1) < 0.01 and exact.error(0.8) == 0
+
+
 def test_ols(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 3))
@@ -249,7 +311,9 @@ def test_ols(spark):
     assert regression.t_tail(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
 
 
-def test_spatial_lag_model_finds_rho(spark):
+@pytest.mark.parametrize("exact_rows", [4000, 0])
+def test_spatial_lag_model_finds_rho(spark, monkeypatch, exact_rows):
+    monkeypatch.setattr(regression, "EXACT_ROWS", exact_rows)
     n, rho = 20, 0.6
     c = cells(spark, n, lambda i, j: 0)
     w = neighbors.knn_grid(c)
