@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,10 +91,15 @@ def raster_tiles(spark: SparkSession, sf_dir: str, tile: int = TILE) -> DataFram
     p = p.withColumn("height", F.least(F.lit(tile), HEIGHT - F.col("row_off"))).withColumn("width", F.least(F.lit(tile), WIDTH - F.col("col_off")))
     at = (F.col("row_id") - F.col("row_off")) * F.col("width") + F.col("col_id") - F.col("col_off")
     keys = ["category", "tile_row", "tile_col", "row_off", "col_off", "height", "width"]
-    held = p.select(*keys, at.alias("at"), "value")
-    every = held.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("at"))
-    filled = every.join(held, [*keys, "at"], "left").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("cells"))
-    return filled.select(*keys, F.col("cells.value").alias("data"))
+
+    def dense(pdf: pd.DataFrame) -> pd.DataFrame:
+        tile = pdf.iloc[0]
+        data = np.full(int(tile["height"] * tile["width"]), None, object)
+        data[pdf["at"].to_numpy()] = pdf["value"].to_numpy()
+        return pd.DataFrame([[*tile[keys], data]], columns=[*keys, "data"])
+
+    schema = "category string, tile_row int, tile_col int, row_off int, col_off int, height int, width int, data array<int>"
+    return p.select(*keys, at.cast("int").alias("at"), "value").groupBy(*keys).applyInPandas(dense, schema)
 
 
 def raster_meta(spark: SparkSession, sf_dir: str) -> DataFrame:

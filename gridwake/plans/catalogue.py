@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridwake import fixtures as fx
 from gridwake.functions import scalar as fn
-from gridwake.operators import autocorr, geo, grid, neighbors, pointpattern, raster, regression, serving, validate
+from gridwake.operators import autocorr, geo, grid, neighbors, pointpattern, raster, regression, serving, tiles, validate
 from gridwake.sources import tables
 from gridwake.tables import materialize, scratch_dir
 
@@ -223,14 +223,14 @@ def _down(how: str) -> str:
 
 @query(_down("round(sum(value) / CAST(count(*) AS DOUBLE))"), "pixels")
 def c1_downsample_average(spark, d):
-    return raster.downsample(fx.pixels(spark, d), H, W, 10, ND)
+    return tiles.downsample(fx.raster_tiles(spark, d), H, W, 10, ND)
 
 
 for _how in ("max", "min", "sum"):
 
     @query(_down(f"{_how}(value)"), "pixels", name=f"c2_downsample_{_how}")
     def _downsampled(spark, d, how=_how):
-        return raster.downsample(fx.pixels(spark, d), H, W, 10, ND, how)
+        return tiles.downsample(fx.raster_tiles(spark, d), H, W, 10, ND, how)
 
 
 @query("SELECT event_id, CAST(x - 360 * floor((x + 180) / 360) AS DOUBLE) AS lon FROM (SELECT event_id, CAST(-900 AS DOUBLE) + (event_id * 7) % 1800 + CAST(0.25 AS DOUBLE) AS x FROM events)")
@@ -287,7 +287,7 @@ STATS = f"SELECT category, count(*) AS valid, count(*) FILTER (WHERE value = 0)
 
 @query(STATS, "pixels")
 def c10_raster_statistics(spark, d):
-    return raster.statistics(fx.pixels(spark, d), ND).select("category", "valid", "zeros", "nonzeros", "min", "max", *_r("mean"), *_r("std", digits=4), *_r("zero_pct", "nonzero_pct"))
+    return tiles.statistics(fx.raster_tiles(spark, d), ND).select("category", "valid", "zeros", "nonzeros", "min", "max", *_r("mean"), *_r("std", digits=4), *_r("zero_pct", "nonzero_pct"))
 
 
 def _bins_sql(bins) -> str:
@@ -297,12 +297,12 @@ def _bins_sql(bins) -> str:
 
 @query(_bins_sql(raster.HISTOGRAM), "pixels")
 def c11_histogram(spark, d):
-    return raster.histogram(fx.pixels(spark, d), ND).select("category", "label", "n", *_r("pct"))
+    return tiles.histogram(fx.raster_tiles(spark, d), ND).select("category", "label", "n", *_r("pct"))
 
 
 @query(_bins_sql(raster.RANGES), "pixels")
 def c12_exploration_ranges(spark, d):
-    return raster.histogram(fx.pixels(spark, d), ND, raster.RANGES).select("category", "label", "n", *_r("pct"))
+    return tiles.histogram(fx.raster_tiles(spark, d), ND, raster.RANGES).select("category", "label", "n", *_r("pct"))
 
 
 def _q(value: str, p: float, name: str) -> str:
@@ -321,7 +321,7 @@ def c14_raster_consistency(spark, d):
 
 @query(f"SELECT category, round(avg(value), 6) AS mean, max(value) AS max, round(count(*) FILTER (WHERE value > 0) / CAST(count(*) AS DOUBLE) * 100, 6) AS traffic_pct FROM pixels WHERE value <> {ND} GROUP BY category", "pixels")
 def c15_category_comparison(spark, d):
-    return raster.statistics(fx.pixels(spark, d), ND).select("category", *_r("mean"), "max", F.round("nonzero_pct", 6).alias("traffic_pct"))
+    return tiles.statistics(fx.raster_tiles(spark, d), ND).select("category", *_r("mean"), "max", F.round("nonzero_pct", 6).alias("traffic_pct"))
 
 
 SUMMARY = ", ".join(f"CAST({f}(CAST({v} AS DOUBLE)) AS DOUBLE) AS {v}_{f}" for v in ("density", "intensity") for f in ("min", "max"))
@@ -837,9 +837,9 @@ def i9_preprocess_checks(spark, d):
 def j1_streaming_statistics(spark, d):
     from gridwake.streaming import raster_stats
 
-    tiles = _folder(spark)
-    fx.raster_tiles(spark, d).write.partitionBy("tile_row").parquet(tiles)
-    s = raster_stats.run(spark, tiles, _folder(spark), _folder(spark), ND)
+    arriving = _folder(spark)
+    fx.raster_tiles(spark, d).write.partitionBy("tile_row").parquet(arriving)
+    s = raster_stats.run(spark, arriving, _folder(spark), _folder(spark), ND)
     s = s.withColumn("zero_pct", F.col("zeros") / F.col("valid") * 100).withColumn("nonzero_pct", F.col("nonzeros") / F.col("valid") * 100)
     return s.select("category", "valid", "zeros", "nonzeros", "min", "max", *_r("mean"), *_r("std", digits=4), *_r("zero_pct", "nonzero_pct"))
 

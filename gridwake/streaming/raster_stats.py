@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.operators.raster import HISTOGRAM, _bin_counts, tile_pixels, valid
+from gridwake.operators.raster import HISTOGRAM
+from gridwake.operators.tiles import partial_statistics
 
 
 def running_statistics(tiles: DataFrame, nodata: int | None) -> DataFrame:
     """One state row for each category: counts, range, sums of values and squares, and histogram bins. There is no event time."""
-    v = F.col("value")
-    return valid(tile_pixels(tiles), nodata).groupBy("category").agg(F.count("*").alias("valid"), F.count_if(v == 0).alias("zeros"), F.count_if(v > 0).alias("nonzeros"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v.cast("long")).alias("total"), F.sum(v.cast("double") * v.cast("double")).alias("squares"), *_bin_counts(HISTOGRAM))
+    sums = ["valid", "zeros", "nonzeros", "total", "squares", *[f"bin{i}" for i in range(len(HISTOGRAM))]]
+    return partial_statistics(tiles, nodata).groupBy("category").agg(*[F.sum(c).alias(c) for c in sums], F.min("min").alias("min"), F.max("max").alias("max"))
 
 
 def with_moments(state: DataFrame) -> DataFrame:
@@ -20,14 +21,18 @@ def with_moments(state: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, tile_folder: str, checkpoint: str, out: str, nodata: int | None, files_at_once: int = 64) -> DataFrame:
-    """Take in all tiles that have arrived, in batches, and return the statistics of all so far."""
+    """Take in the tiles that have arrived since the last run with this checkpoint, in batches, and return the statistics of all so far.
+
+    Each batch writes the categories that it changed; the newest row of each is returned. A batch that is done anew after a failure overwrites what it had written.
+    """
     schema = spark.read.parquet(tile_folder).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(tile_folder)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    running_statistics(stream, nodata).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    last = spark.read.parquet(out)
-    newest = last.agg(F.max("batch").alias("b")).first()["b"]
-    return with_moments(last.where(F.col("batch") == newest).drop("batch"))
+    running_statistics(stream, nodata).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    changed = spark.read.parquet(out)
+    columns = [c for c in changed.columns if c not in ("category", "batch")]
+    newest = changed.groupBy("category").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("category", "s.*")
+    return with_moments(newest)
