@@ -25,6 +25,13 @@ CLUSTERED = [
     "CAST(floor(value * 100) AS BIGINT) + 1 AS density",
     "CAST(round(log10(CAST(floor(value * 100) AS DOUBLE) + 2), 4) AS DECIMAL(10,4)) AS intensity",
 ]
+# Points on pixels of 0.005 degrees: crowds around twelve places, and stray ones.
+PIXELLED = [
+    "CASE WHEN event_type = 'error' THEN CAST(-179.875 AS DOUBLE) + CAST(0.25 AS DOUBLE) * ((event_id * 61) % 1440) ELSE CAST(-165 AS DOUBLE) + 30 * (user_id % 12) + CAST(0.005 AS DOUBLE) * ((event_id * 7) % 24 - 12) + CAST(0.0025 AS DOUBLE) END AS longitude",
+    "CASE WHEN event_type = 'error' THEN CAST(-84.875 AS DOUBLE) + CAST(0.25 AS DOUBLE) * ((event_id * 37) % 679) ELSE CAST(-50 AS DOUBLE) + 20 * (user_id % 6) + CAST(0.005 AS DOUBLE) * ((event_id * 13) % 24 - 12) + CAST(0.0025 AS DOUBLE) END AS latitude",
+    "CAST(floor(value * 100) AS BIGINT) + 1 AS density",
+    "CAST(round(log10(CAST(floor(value * 100) AS DOUBLE) + 2), 4) AS DECIMAL(10,4)) AS intensity",
+]
 PIXELS = [
     "CASE l_returnflag WHEN 'A' THEN 'commercial' WHEN 'N' THEN 'oil_gas' ELSE 'passenger' END AS category",
     f"CAST((l_partkey * 37 + l_suppkey * 101 + l_linenumber) % {HEIGHT} AS INT) AS row_id",
@@ -50,7 +57,7 @@ ANCHORS = [
 
 def view(name: str) -> str:
     """The SQL of a derived view, as `name AS (...)`."""
-    lists = {"traffic": (TRAFFIC, "lineitem"), "clustered": (CLUSTERED, "events"), "countries": (COUNTRIES, "nation")}
+    lists = {"traffic": (TRAFFIC, "lineitem"), "clustered": (CLUSTERED, "events"), "pixelled": (PIXELLED, "events"), "countries": (COUNTRIES, "nation")}
     if name == "pixels":
         return f"pixels AS (SELECT category, row_id, col_id, max(value) AS value FROM (SELECT {', '.join(PIXELS)} FROM lineitem) GROUP BY category, row_id, col_id)"
     columns, source = lists[name]
@@ -69,6 +76,10 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").selectExpr(*CLUSTERED)
 
 
+def pixelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").selectExpr(*PIXELLED)
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "lineitem").selectExpr(*PIXELS).groupBy("category", "row_id", "col_id").agg(F.max("value").alias("value"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwake.functions.scalar import lisa_label
-from gridwake.operators.neighbors import spatial_lag
+from gridwake.operators.neighbors import offsets, spatial_lag
 from gridwake.operators.pointpattern import ranked
 from gridwake.tables import materialize
 
@@ -169,6 +169,20 @@ def getis_ord(cells: DataFrame, weights: DataFrame, value: str) -> DataFrame:
     return out.withColumn("significance", level).drop("_s", "_w", "_m", "_sd", "_n")
 
 
+def getis_ord_by(cells: DataFrame, by: list[str], value: str, reach: int = 1) -> DataFrame:
+    """Add gi_star of each cell among those of its group: the cell and the cells of the group at most `reach` steps away, with binary weights.
+
+    Null where a group's values are all alike or every cell is a neighbour of all.
+    """
+    v, keys = F.col(value).cast("double"), [*by, "lat_idx", "lon_idx"]
+    left = cells.select(*keys, F.explode(offsets(2, reach)).alias("_o")).select(*by, F.col("lat_idx").alias("_i"), F.col("lon_idx").alias("_j"), (F.col("lat_idx") + F.col("_o")[0]).alias("lat_idx"), (F.col("lon_idx") + F.col("_o")[1]).alias("lon_idx"))
+    sums = left.join(cells.select(*keys, v.alias("_v")), keys).groupBy(*by, F.col("_i").alias("lat_idx"), F.col("_j").alias("lon_idx")).agg(F.sum("_v").alias("_s"), F.count("*").alias("_w"))
+    whole = cells.groupBy(*by).agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_sd"), F.count("*").alias("_n"))
+    scale = F.col("_sd") * F.sqrt((F.col("_n") * F.col("_w") - F.col("_w") * F.col("_w")) / F.nullif(F.col("_n") - 1, F.lit(0)))
+    z = (F.col("_s") - F.col("_m") * F.col("_w")) / F.nullif(scale, F.lit(0.0))
+    return cells.join(sums, keys).join(F.broadcast(whole), by).withColumn("gi_star", z).drop("_s", "_w", "_m", "_sd", "_n")
+
+
 def summary(cells: DataFrame, weights: DataFrame, value: str, permutations: int = 999) -> DataFrame:
     """One row with Moran's I, its expectation, p and z, and a map of cells by LISA label."""
     labels = materialize(lisa(cells, weights, value, permutations)).groupBy("lisa_cluster").agg(F.count("*").alias("n"))

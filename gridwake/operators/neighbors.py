@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwake.functions.scalar import EARTH_KM, haversine_km, unit_vector
-from gridwake.tables import materialize, small
+from gridwake.tables import BROADCAST_BYTES, materialize, small
 
 DESCENT = 2  # doublings of the cells' size from one level of a search to the next
 CHORD = 1 / 64  # edge of the cubes in which the nearest of a set is searched, about 100 km
 
 
-def _offsets(dims: int, reach: int = 1) -> Column:
+def offsets(dims: int, reach: int = 1) -> Column:
+    """All steps of at most `reach` along each of `dims` axes, as an array of arrays."""
     span = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
     out = F.transform(span, lambda a: F.array(a))
     for _ in range(dims - 1):
@@ -31,19 +32,20 @@ def radius_pairs(points: DataFrame, km: float, id_col: str = "id") -> DataFrame:
     chord = 2 * math.sin(min(math.pi / 2, km / (2 * EARTH_KM)))
     x, y, z = unit_vector(F.col("longitude"), F.col("latitude"))
     p = points.select(F.col(id_col).alias("id"), "longitude", "latitude", *[F.floor(c / chord).cast("int").alias(n) for n, c in (("cx", x), ("cy", y), ("cz", z))])
-    left = p.withColumn("o", F.explode(_offsets(3))).select(F.col("id").alias("a"), F.col("longitude").alias("lon_a"), F.col("latitude").alias("lat_a"), *[(F.col(n) + F.col("o")[i]).alias(n) for i, n in enumerate(("cx", "cy", "cz"))])
+    left = p.withColumn("o", F.explode(offsets(3))).select(F.col("id").alias("a"), F.col("longitude").alias("lon_a"), F.col("latitude").alias("lat_a"), *[(F.col(n) + F.col("o")[i]).alias(n) for i, n in enumerate(("cx", "cy", "cz"))])
     right = p.withColumnsRenamed({"id": "b", "longitude": "lon_b", "latitude": "lat_b"})
     d = haversine_km(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"))
     return left.join(right, ["cx", "cy", "cz"]).where("a <> b").select("a", "b", d.alias("km")).where(F.col("km") <= km)
 
 
-def planar_pairs(points: DataFrame, radius: float, id_col: str = "id") -> DataFrame:
-    """(a, b, dist) for all ordered pairs of different points within a radius in degrees."""
-    p = points.select(F.col(id_col).alias("id"), "longitude", "latitude", F.floor(F.col("longitude") / radius).cast("int").alias("cx"), F.floor(F.col("latitude") / radius).cast("int").alias("cy"))
-    left = p.withColumn("o", F.explode(_offsets(2))).select(F.col("id").alias("a"), F.col("longitude").alias("lon_a"), F.col("latitude").alias("lat_a"), (F.col("cx") + F.col("o")[0]).alias("cx"), (F.col("cy") + F.col("o")[1]).alias("cy"))
+def planar_pairs(points: DataFrame, radius: float, id_col: str = "id", by: list[str] | None = None) -> DataFrame:
+    """(a, b, dist) for all ordered pairs of different points within a radius in degrees, of the same pattern where `by` names its columns."""
+    by = by or []
+    p = points.select(*by, F.col(id_col).alias("id"), "longitude", "latitude", F.floor(F.col("longitude") / radius).cast("int").alias("cx"), F.floor(F.col("latitude") / radius).cast("int").alias("cy"))
+    left = p.withColumn("o", F.explode(offsets(2))).select(*by, F.col("id").alias("a"), F.col("longitude").alias("lon_a"), F.col("latitude").alias("lat_a"), (F.col("cx") + F.col("o")[0]).alias("cx"), (F.col("cy") + F.col("o")[1]).alias("cy"))
     right = p.withColumnsRenamed({"id": "b", "longitude": "lon_b", "latitude": "lat_b"})
     d = F.sqrt(F.pow(F.col("lon_a") - F.col("lon_b"), 2) + F.pow(F.col("lat_a") - F.col("lat_b"), 2))
-    return left.join(right, ["cx", "cy"]).where("a <> b").select("a", "b", d.alias("dist")).where(F.col("dist") <= radius)
+    return left.join(right, [*by, "cx", "cy"]).where("a <> b").select(*by, "a", "b", d.alias("dist")).where(F.col("dist") <= radius)
 
 
 def nearest_neighbour(points: DataFrame, id_col: str = "id", start_km: float = 100.0) -> DataFrame:
@@ -67,7 +69,7 @@ def radius_pairs_between(some: DataFrame, others: DataFrame, km: float, id_col:
         x, y, z = unit_vector(F.col("longitude"), F.col("latitude"))
         return d.select(F.col(id_col).alias("id"), "longitude", "latitude", *[F.floor(c / chord).cast("int").alias(n) for n, c in (("cx", x), ("cy", y), ("cz", z))])
 
-    left = placed(some).withColumn("o", F.explode(_offsets(3))).select(F.col("id").alias("a"), F.col("longitude").alias("lon_a"), F.col("latitude").alias("lat_a"), *[(F.col(n) + F.col("o")[i]).alias(n) for i, n in enumerate(("cx", "cy", "cz"))])
+    left = placed(some).withColumn("o", F.explode(offsets(3))).select(F.col("id").alias("a"), F.col("longitude").alias("lon_a"), F.col("latitude").alias("lat_a"), *[(F.col(n) + F.col("o")[i]).alias(n) for i, n in enumerate(("cx", "cy", "cz"))])
     right = placed(others).withColumnsRenamed({"id": "b", "longitude": "lon_b", "latitude": "lat_b"})
     d = haversine_km(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"))
     return left.join(right, ["cx", "cy", "cz"]).where("a <> b").select("a", "b", d.alias("km")).where(F.col("km") <= km)
@@ -88,13 +90,14 @@ def candidate_cells(places: DataFrame, occupied: DataFrame, dims: int, size: flo
     """
     p, c, u = ([f"{x}{i}" for i in range(dims)] for x in "pcu")
     occupied = materialize(occupied.select(*c).distinct())
+    sent = F.broadcast if occupied.count() * 32 * dims <= BROADCAST_BYTES else lambda d: d
     top = math.ceil(math.log2(span / size)) + 1
     top += -top % DESCENT
     at = lambda level, names: [F.shiftright(x, level).alias(n) for x, n in zip(c, names)]
     found = places.select(*p).distinct().crossJoin(F.broadcast(occupied.select(*at(top, c)).distinct()))  # 2 ** dims cells at most
     for level in range(top - DESCENT, -1, -DESCENT):
         parts = occupied.select(*at(level + DESCENT, u), *at(level, c)).distinct()
-        met = found.withColumnsRenamed(dict(zip(c, u))).join(small(parts, 32 * dims), u).drop(*u)
+        met = found.withColumnsRenamed(dict(zip(c, u))).join(sent(parts), u).drop(*u)
 
         def distance(far: bool, width: float = size * 2**level) -> Column:
             gaps = [_gap(F.col(a), F.col(b), width, size, far) for a, b in zip(p, c)]
@@ -131,7 +134,7 @@ def knn_grid(cells: DataFrame, k: int = 8, start_reach: int = 2) -> DataFrame:
     while want:
         # Coarse buckets of the reach's size: nine of them hold all cells within it.
         b = lambda x: F.floor(x / reach).cast("int")
-        left = todo.withColumn("o", F.explode(_offsets(2))).select(F.col("lat_idx").alias("src_lat"), F.col("lon_idx").alias("src_lon"), (b(F.col("lat_idx")) + F.col("o")[0]).alias("by"), (b(F.col("lon_idx")) + F.col("o")[1]).alias("bx"))
+        left = todo.withColumn("o", F.explode(offsets(2))).select(F.col("lat_idx").alias("src_lat"), F.col("lon_idx").alias("src_lon"), (b(F.col("lat_idx")) + F.col("o")[0]).alias("by"), (b(F.col("lon_idx")) + F.col("o")[1]).alias("bx"))
         right = c.select(F.col("lat_idx").alias("dst_lat"), F.col("lon_idx").alias("dst_lon"), b(F.col("lat_idx")).alias("by"), b(F.col("lon_idx")).alias("bx"))
         d2 = (F.col("src_lat") - F.col("dst_lat")) * (F.col("src_lat") - F.col("dst_lat")) + (F.col("src_lon") - F.col("dst_lon")) * (F.col("src_lon") - F.col("dst_lon"))
         met = left.join(right, ["by", "bx"]).where("src_lat <> dst_lat or src_lon <> dst_lon").withColumn("dist2", d2.cast("long")).where(F.col("dist2") <= reach * reach)

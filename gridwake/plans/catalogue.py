@@ -424,10 +424,16 @@ def d7_density_tiers(spark, d):
     return validate.density_tiers(fx.traffic(spark, d)).groupBy("category", "tier").agg(F.count("*").alias("n"))
 
 
-@query(", " + _cells("traffic", 1.0, "category,") + " SELECT category, lat_bin, lon_bin, density_sum, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY density_sum * points DESC, lat_idx, lon_idx) AS rank FROM cells) WHERE rank <= 20", "traffic")
+@query(
+    ", " + _cells("traffic", 1.0, "category,") + ", s AS (SELECT a.category, a.lat_idx, a.lon_idx, sum(CAST(b.density_sum AS DOUBLE)) AS s, count(*) AS w FROM cells a JOIN cells b ON a.category = b.category AND b.lat_idx BETWEEN a.lat_idx - 1 AND a.lat_idx + 1 AND b.lon_idx BETWEEN a.lon_idx - 1 AND a.lon_idx + 1 GROUP BY ALL), g AS (SELECT category, avg(CAST(density_sum AS DOUBLE)) AS m, stddev_pop(CAST(density_sum AS DOUBLE)) AS sd, count(*) AS n FROM cells GROUP BY category), "
+    "z AS (SELECT *, (s - m * w) / (sd * sqrt((n * w - w * w) / CAST(n - 1 AS DOUBLE))) AS gi FROM cells JOIN s USING (category, lat_idx, lon_idx) JOIN g USING (category)) "
+    "SELECT category, lat_bin, lon_bin, density_sum, round(gi, 5) AS gi_star, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY density_sum * gi DESC, lat_idx, lon_idx) AS rank FROM z WHERE gi > 1.96) WHERE rank <= 20",
+    "traffic",
+)
 def d8_top_hotspots(spark, d):
-    cells = grid.aggregate_grid(fx.traffic(spark, d), 1.0, ["category"])
-    return validate.top_by(cells, ["category"], [F.desc(F.col("density_sum") * F.col("points")), F.asc("lat_idx"), F.asc("lon_idx")], 20).select("category", "lat_bin", "lon_bin", "density_sum", "rank")
+    cells = autocorr.getis_ord_by(materialize(grid.aggregate_grid(fx.traffic(spark, d), 1.0, ["category"])), ["category"], "density_sum").where("gi_star > 1.96")
+    order = [F.desc(F.col("density_sum") * F.col("gi_star")), F.asc("lat_idx"), F.asc("lon_idx")]
+    return validate.top_by(cells, ["category"], order, 20).select("category", "lat_bin", "lon_bin", "density_sum", *_r("gi_star", digits=5), "rank")
 
 
 # ---- joins
@@ -659,9 +665,10 @@ def g8_cluster_profiles(spark, d):
 
 @query()
 def g9_planar_dbscan(spark, d):
-    cells = pointpattern.ranked_hotspots(grid.aggregate_grid(fx.clustered(spark, d), 0.25).where("density_sum > 10000"), 0.0)
-    x = cells.withColumn("longitude", F.col("lon_bin")).withColumn("latitude", F.col("lat_bin"))
-    return pointpattern.dbscan(materialize(x), 0.05, 10, "planar").select("hotspot_rank", "cluster_id", "is_noise")
+    pixels = grid.aggregate_grid(fx.pixelled(spark, d), 0.005).where("density_sum > 10000")
+    order = [F.desc("density_sum"), F.asc("lat_idx"), F.asc("lon_idx")]
+    x = pointpattern.ranked(pixels, order, "hotspot_rank").withColumn("longitude", F.col("lon_bin")).withColumn("latitude", F.col("lat_bin"))
+    return pointpattern.dbscan(materialize(x), 0.05, 10, "planar").select("hotspot_rank", "lat_idx", "lon_idx", "cluster_id", "is_noise")
 
 
 # ---- autocorrelation and regression (one-degree cells; four-degree cells where the SQL is)

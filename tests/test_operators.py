@@ -191,6 +191,92 @@ def test_dbscan_against_brute_force(spark):
     assert got == dict(enumerate(want.tolist()))
 
 
+@pytest.mark.parametrize("n", [40, 60_000])
+def test_kernel_density_against_the_sum(spark, n):
+    """The series of cells gives what the sum over all points gives, for few points and for more than fit one array of pairs."""
+    rng = np.random.default_rng(14)
+    xy = np.concatenate([rng.normal((10, 5), (3, 1), (n // 2, 2)), rng.normal((-20, 0), (1, 4), (n // 4, 2)), rng.uniform(-60, 60, (n - n // 2 - n // 4, 2))])
+    w = rng.gamma(1, 2, n)
+    d = spark.createDataFrame(pd.DataFrame({"i": range(n), "longitude": xy[:, 0], "latitude": xy[:, 1], "w": w, "kde": "x"}))
+    got = pointpattern.kernel_density(d, "w").toPandas().set_index("i").sort_index()
+    p = w / w.sum()
+    m = (p[:, None] * xy).sum(axis=0)
+    h = ((xy - m).T * p) @ (xy - m) / (1 - (p**2).sum()) * (1 / (p**2).sum()) ** (-1 / 3)
+    some = rng.choice(n, min(n, 300), replace=False)
+    gap = xy[some][:, None] - xy
+    want = (np.exp(-0.5 * np.einsum("nij,jk,nik->ni", gap, np.linalg.inv(h), gap)) * p).sum(axis=1) / (2 * np.pi * np.linalg.det(h) ** 0.5)
+    assert len(got) == n and np.abs(got["kde_score"][some].to_numpy() - want).max() < 1e-9 * got["kde_score"].max()
+    assert got["kde_score_norm"].max() == 1 and list(got.columns) == ["longitude", "latitude", "w", "kde", "kde_score", "kde_score_norm"]
+
+
+def test_ripley_p_against_counting(spark):
+    """Twelve pairs a hundredth apart: K and p from counts over the same drawn patterns."""
+    rng = np.random.default_rng(15)
+    xy = rng.uniform((0, 0), (20, 10), (25, 2))
+    xy = np.r_[xy, xy[:12] + 0.01]
+    at, n, runs = [0.05, 0.5, 2.0, 6.0], len(xy), 49
+    count = lambda z: np.array([(np.hypot(*(z[:, None] - z).T) <= r).sum() - len(z) for r in at])
+    west, south, east, north = *xy.min(axis=0), *xy.max(axis=0)
+    drawn = pointpattern.random_patterns(spark, runs, n, (west, east, south, north)).toPandas()
+    assert drawn.groupby("sim").size().eq(n).all() and drawn.longitude.between(west, east).all() and drawn.latitude.between(south, north).all()
+    assert abs(drawn.longitude.mean() - (west + east) / 2) < 0.05 * (east - west) and abs(np.corrcoef(drawn.longitude, drawn.latitude)[0, 1]) < 0.1
+    over = sum(count(z[["longitude", "latitude"]].to_numpy()) >= count(xy) for _, z in drawn.groupby("sim"))
+    got = sorted(pointpattern.ripley_p(points(spark, xy), runs, at=at).collect())
+    assert [r.radius for r in got] == at
+    assert [r.k for r in got] == pytest.approx(((east - west) * (north - south) * count(xy) / n**2).tolist())
+    assert [r.p_value for r in got] == pytest.approx(((over + 1) / (runs + 1)).tolist()) and got[0].p_value == pytest.approx(0.02)
+    assert {r.p_value for r in pointpattern.ripley_p(points(spark, xy[:5]), runs, at=at).collect()} <= {None}
+
+
+def plain_dbscan(near, least):
+    """Labels from a matrix of neighbours: clusters by their first core, border points in their smallest cluster."""
+    core, label, number = near.sum(axis=1) >= least, np.full(len(near), -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            stack = [i]
+            while stack:
+                j = stack.pop()
+                if label[j] < 0:
+                    label[j] = number
+                    stack += np.flatnonzero(near[j] & core & (label < 0)).tolist()
+            number += 1
+    for i in np.flatnonzero(~core):
+        of = label[near[i] & core]
+        label[i] = of.min() if len(of) else -1
+    return label
+
+
+@pytest.mark.parametrize("metric", ["haversine", "planar"])
+@pytest.mark.parametrize("pairs", [4096, 1])
+def test_dbscan_of_crowds(spark, monkeypatch, metric, pairs):
+    """Crowded cells side by side, many points on one place, and chains of just eps: boxes are halved until all is settled."""
+    monkeypatch.setattr(pointpattern, "PAIRS", pairs)
+    rng = np.random.default_rng(13)
+    eps = 111.0 if metric == "haversine" else 1.0
+    xy = np.concatenate([rng.normal((0, 0), 0.5, (500, 2)), np.tile([[5.0, 5.0]], (60, 1)), [[5.9, 5.0], [5.0, 5.95]], [[20 + 0.999 * i, 3.0] for i in range(12)], rng.uniform((30, 0), (33, 3), (150, 2)), rng.uniform(-80, 80, (60, 2)), [[179.9, 10.0]] * 4 + [[-179.9, 10.0]] * 4])
+    xy = xy[rng.permutation(len(xy))]
+    d = xy[:, None] - xy
+    if metric == "haversine":
+        rad = np.radians(xy)
+        h = np.sin((rad[:, None, 1] - rad[:, 1]) / 2) ** 2 + np.cos(rad[:, None, 1]) * np.cos(rad[:, 1]) * np.sin((rad[:, None, 0] - rad[:, 0]) / 2) ** 2
+        near = 2 * 6371.0088 * np.arcsin(np.minimum(1, np.sqrt(h))) <= eps
+    else:
+        near = np.sqrt((d**2).sum(axis=2)) <= eps
+    want = plain_dbscan(near, 5)
+    got = labels(pointpattern.dbscan(points(spark, xy), eps, 5, metric))
+    assert [got[i] for i in range(len(xy))] == want.tolist() and want.max() >= 2
+
+
+def test_pixel_clusters(spark):
+    """The registered query finds the clusters that all pairs give, and there are some."""
+    from gridwake.plans import catalogue
+
+    r = sorted(catalogue.QUERIES["g9_planar_dbscan"](spark, "/root/testdata/sf0.01").collect(), key=lambda r: r.hotspot_rank)
+    at = np.array([(r.lat_idx * 0.005 - 90 + 0.0025, r.lon_idx * 0.005 - 180 + 0.0025) for r in r])
+    want = plain_dbscan(np.hypot(*(at[:, None] - at).T) <= 0.05, 10)
+    assert [x.cluster_id for x in r] == want.tolist() and want.max() >= 3 and (want < 0).any()
+
+
 def test_nearest_and_ripley_small(spark):
     one = pointpattern.nearest_neighbour_ratio(points(spark, [(0, 0)])).first()
     assert (one.observed_km, one.expected_km, one.ratio) == (0, 0, None)
