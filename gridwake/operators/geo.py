@@ -10,7 +10,7 @@ from gridwake.operators.neighbors import candidate_cells, nearest_of
 from gridwake.tables import materialize, small
 
 CELL_DEG = 1.0
-CELL_METRES = 50_000.0
+CELL_METRES = 100_000.0
 WORLD_METRES = 40_000_000.0
 ANCHORS = 1000  # so many distances are taken at once for each point; beyond, cells are searched
 
