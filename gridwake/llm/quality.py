@@ -137,28 +137,27 @@ def _framed(x: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.n
     return out, owner
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, models, symbols, row of each symbol) of some texts at a time, a row for each reading; the id is twice its own, and one more for shapes."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, list], int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(the texts' other columns, reading, models, symbols, row of each symbol) of some texts at a time, once for each reading; `part` counts a long text's parts."""
 
-    def read(ids: list[int], langs: list[str], texts: list[str]):
+    def read(held: dict[str, list]):
         for reading, f in enumerate((letters, shapes)):
-            x, row = _framed(*f(texts), len(texts))
-            yield 2 * np.array(ids, np.int64) + reading, np.array([model_code(lang + _SHAPES * reading) for lang in langs], np.int64), x, row
+            x, row = _framed(*f(held["text"]), len(held["text"]))
+            yield held, reading, np.array([model_code(lang + _SHAPES * reading) for lang in held["lang"]], np.int64), x, row
 
-    ids, langs, texts, size = [], [], [], 0
+    held, size = {}, 0
     for batch in batches:
-        for rid, lang, text in zip(batch["rid"].to_pylist(), batch["lang"].to_pylist(), batch["text"]):
-            whole = text.as_py()
-            for part in [whole] if len(whole) <= CHUNK_CHARS else [whole[i : i + CHUNK_CHARS] for i in range(0, len(whole), CHUNK_CHARS)]:
-                ids.append(rid)
-                langs.append(lang)
-                texts.append(part)
-                size += len(part)
+        for doc in batch.to_pylist():
+            whole = doc["text"]
+            for part, i in enumerate(range(0, max(1, len(whole)), CHUNK_CHARS)):
+                for name, value in (doc | {"text": whole[i : i + CHUNK_CHARS], "part": part}).items():
+                    held.setdefault(name, []).append(value)
+                size += len(held["text"][-1])
                 if size >= CHUNK_CHARS:
-                    yield from read(ids, langs, texts)
-                    ids, langs, texts, size = [], [], [], 0
-    if texts:
-        yield from read(ids, langs, texts)
+                    yield from read(held)
+                    held, size = {}, 0
+    if held:
+        yield from read(held)
 
 
 def _sets_thresholds(doc_id: Column) -> Column:
@@ -166,7 +165,7 @@ def _sets_thresholds(doc_id: Column) -> Column:
 
 
 def _text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -174,7 +173,7 @@ def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where("quality = 1").where(~_sets_thresholds(F.col("doc_id"))).select("doc_id").distinct()
     if good.count() <= BROADCAST_IDS:
         good = F.broadcast(good)
-    return _text(docs).join(good, "doc_id", "left_semi").select("rid", "lang", "text")
+    return _text(docs).join(good, "doc_id", "left_semi").select("lang", "text")
 
 
 def _columns(n: int) -> list[str]:
@@ -213,7 +212,7 @@ def _as_context(model):
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, models, x, row in _chunks(batches):
+    for _, _, models, x, row in _chunks(batches):
         at = np.flatnonzero(row[ORDER - 1 :] == row[: 1 - ORDER]) + ORDER - 1
         key = _keys(hashed(models)[row[at]], [x[at - i] for i in range(ORDER)])[-1]
         _, first, n = np.unique(key, return_index=True, return_counts=True)
@@ -368,28 +367,29 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         keys, weights, log_p, bits, unseen = sent.value
         longest = ~np.isnan(log_p)
         whole, table = Lookup(keys[longest], log_p[longest]), Lookup(keys[~longest], weights[~longest])
-        for rids, models, x, row in _chunks(batches):
+        for texts, reading, models, x, row in _chunks(batches):
+            h1, h2 = (np.array(texts[c], np.int64) for c in ("h1", "h2"))
             known = np.array([m in unseen for m in models.tolist()], bool)
             lost = np.array([unseen.get(m, 0.0) for m in models.tolist()])
             own, as_context = hashed(models), hashed(_as_context(models))
             at = np.arange(ORDER - 1, len(x))
             at = at[(row[at] == row[at - ORDER + 1]) & known[row[at]]]
             doc = row[at]
-            n = np.bincount(doc, minlength=len(rids))
+            n = np.bincount(doc, minlength=len(h1))
             key = own[doc]
             for i in range(0, ORDER - 1, 2):
                 key = hashed(_pack(x[at - i], x[at - i - 1]), key)
             key = hashed(x[at - ORDER + 1], key) if ORDER % 2 else key
             value, found = whole.find(key)
-            base = np.bincount(doc, value, len(rids))
+            base = np.bincount(doc, value, len(h1))
             # Where the longest n-gram isn't among the frequent ones, all orders add up.
             at, doc, key = at[~found], doc[~found], key[~found]
-            base = base + np.bincount(doc, lost[doc], len(rids))
+            base = base + np.bincount(doc, lost[doc], len(h1))
             parts = _keys(own[doc], [x[at - i] for i in range(ORDER - 1)]) + _keys(as_context[doc], [x[at - i] for i in range(1, ORDER)])
             rest_key, rest_doc = [key], [doc]
             for k in parts:
                 value, found = table.find(k)
-                base = base + np.bincount(doc, value, len(rids))
+                base = base + np.bincount(doc, value, len(h1))
                 rest_key.append(k[~found])
                 rest_doc.append(doc[~found])
             key, doc = np.concatenate(rest_key), np.concatenate(rest_doc)
@@ -400,25 +400,36 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             key, doc = key[order], doc[order]
             first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, np.int64)
             times = np.diff(np.r_[first, len(key)])
-            # A row for each document comes first, with a key that spreads them and no times; the others have its counted n-grams.
+            # A row for each text comes first, with a key that spreads them, no times and its names; the others have its counted n-grams.
+            rest = len(first)
+            named = [reading == 0 and part == 0 for part in texts["part"]]
+            own = {"copies": pa.array([int(x) for x in named], pa.int64())} | {c: pa.array([v if x else None for v, x in zip(texts[c], named)], pa.string()) for c in ("doc_id", "lang")}
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.r_[rids, rids[doc[first]]]), pa.array(np.r_[hashed(rids), key[first]]), pa.array(np.r_[np.zeros(len(rids), np.int32), times.astype(np.int32)]),
-                    pa.array(np.r_[n, np.zeros(len(first), np.int64)]), pa.array(np.r_[base, np.zeros(len(first))]),
+                    pa.array(np.r_[h1, h1[doc[first]]]), pa.array(np.r_[h2, h2[doc[first]]]), pa.array(np.full(len(h1) + rest, reading, np.int32)), pa.array(np.r_[hashed(h1), key[first]]), pa.array(np.r_[np.zeros(len(h1), np.int32), times.astype(np.int32)]),
+                    pa.array(np.r_[n, np.zeros(rest, np.int64)]), pa.array(np.r_[base, np.zeros(rest)]), *(pa.concat_arrays([x, pa.nulls(rest, x.type)]) for x in own.values()),
                 ],
-                names=["rid", "key", "times", "n", "base"],
+                names=["h1", "h2", "reading", "key", "times", "n", "base", *own],
             )
 
-    x = materialize(_text(docs).select("rid", "doc_id", "lang"))
-    rows = _text(docs).select("rid", "lang", "text").mapInArrow(grams, "rid long, key long, times int, n long, base double")
+    # A row is known by two digests of all that its result depends on, the same whenever and wherever a task computes them.
+    doc_id = F.col("doc_id").cast("string")
+    known_by = [F.xxhash64(F.lit(seed), F.coalesce(doc_id, F.lit("null")), "lang", "text").alias(h) for seed, h in ((1, "h1"), (2, "h2"))]
+    rows = _text(docs).select(*known_by, doc_id.alias("doc_id"), "lang", "text").mapInArrow(grams, "h1 long, h2 long, reading int, key long, times int, n long, base double, copies long, doc_id string, lang string")
     value = F.col("base") + F.col("times") * F.coalesce("weight", F.lit(0.0))
-    # A document's own row has no times, so a weight that met its key by chance adds nothing.
-    of_shapes = F.col("rid") % 2 == 1
-    sums = rows.join(model.weights.select("key", "weight"), "key", "left").groupBy(F.shiftright("rid", 1).alias("rid")).agg(
-        F.sum(F.when(of_shapes, 0).otherwise(F.col("n"))).alias("n_symbols"), (-F.sum(F.when(of_shapes, 0.0).otherwise(value))).alias("surprise"),
-        F.sum(F.when(of_shapes, F.col("n")).otherwise(0)).alias("n_shapes"), (-F.sum(F.when(of_shapes, value).otherwise(0.0))).alias("shape_surprise"),
+    # A text's own row has no times, so a weight that met its key by chance adds nothing.
+    of_shapes = F.col("reading") == 1
+    copies = F.sum("copies")  # repeated rows add up in one group and share its sums
+
+    def share(x: Column) -> Column:
+        return F.sum(x) / copies
+
+    sums = rows.join(model.weights.select("key", "weight"), "key", "left").groupBy("h1", "h2").agg(
+        F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), copies.alias("copies"), share(F.when(of_shapes, 0).otherwise(F.col("n"))).cast("long").alias("n_symbols"), (-share(F.when(of_shapes, 0.0).otherwise(value))).alias("surprise"),
+        share(F.when(of_shapes, F.col("n")).otherwise(0)).cast("long").alias("n_shapes"), (-share(F.when(of_shapes, value).otherwise(0.0))).alias("shape_surprise"),
     )
-    return x.join(sums, "rid").select("doc_id", "lang", "n_symbols", "surprise", "n_shapes", "shape_surprise")
+    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "lang", "n_symbols", "surprise", "n_shapes", "shape_surprise")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, shape_margin: float = SHAPE_MARGIN) -> DataFrame:

@@ -274,6 +274,24 @@ def _prose(rnd, n):
     return " ".join(rnd.choice(WORDS) if rnd.random() < 0.5 else "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 9))) for _ in range(n)) + "."
 
 
+def test_quality_of_a_shuffled_table(spark):
+    """Rows that come from a shuffle, which adaptive execution cuts anew each time, give what a plain scan gives; repeated rows and null ids too."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    some = docs.unionByName(docs.where("doc_id < 20")).unionByName(docs.where("doc_id < 5").withColumn("doc_id", F.lit(None).cast("long")))
+    model = quality.fit(docs, labels)
+    read = lambda d: Counter((r.doc_id, r.lang, r.n_symbols, round(r.surprise, 6), r.n_shapes, round(r.shape_surprise, 6)) for r in quality.scores(d, model).collect())
+    want = read(some)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        assert read(some.repartition("doc_id")) == want and read(some.distinct().union(docs.where("doc_id < 20")).union(some.where("doc_id is null").limit(0))) == want
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sum(want.values()) == some.count()
+
+
 def test_quality(spark, documents):
     rnd = random.Random(7)
     rows = [(i, _prose(rnd, 120)) for i in range(120)] + [(1000 + i, " ".join(w.upper() + "!!" for w in _prose(rnd, 120).split())) for i in range(20)] + [(2000, None), (2001, ""), (None, _prose(rnd, 60))]
