@@ -30,8 +30,8 @@ def query(sql: str | None = None, *views: str, name: str | None = None):
         QUERIES[key] = f
         if sql:
             views_sql = ", ".join(fx.view(v) for v in views)
-            # SQL that begins with a comma goes on with views of its own.
-            ORACLE[key] = f"WITH {views_sql}{'' if sql.startswith(',') else ' '}{sql}" if views else sql
+            # SQL that begins with a comma goes on with views of its own, some of them recursive.
+            ORACLE[key] = f"WITH RECURSIVE {views_sql}{'' if sql.startswith(',') else ' '}{sql}" if views else sql
         return f
 
     return add
@@ -314,9 +314,11 @@ def c13_exploration_statistics(spark, d):
     return raster.exploration(fx.pixels(spark, d), ND).select("category", "min", "max", *_r("mean", "median", "p25", "p75", "p90", "p95", "p99", "coverage_pct"))
 
 
-@query("SELECT true AS same_dimensions, true AS same_crs, true AS same_resolution, count(DISTINCT category) AS rasters FROM pixels", "pixels")
+@query(f", m AS (SELECT category, max(col_id) + 1 AS w, max(row_id) + 1 AS h FROM pixels WHERE value <> {ND} GROUP BY category) SELECT count(DISTINCT (w, h)) = 1 AS same_dimensions, count(DISTINCT 'EPSG:4326') = 1 AS same_crs, count(DISTINCT (CAST(360 AS DOUBLE) / w, CAST(-170 AS DOUBLE) / h)) = 1 AS same_resolution, count(*) AS rasters FROM m", "pixels")
 def c14_raster_consistency(spark, d):
-    return raster.consistent(fx.raster_meta(spark, d))
+    """Whether the categories' data reach over one extent, and what resolution that would give."""
+    reached = raster.valid(fx.pixels(spark, d), ND).groupBy("category").agg((F.max("col_id") + 1).alias("width"), (F.max("row_id") + 1).alias("height"))
+    return raster.consistent(reached.select("width", "height", F.lit("EPSG:4326").alias("crs"), (F.lit(360.0) / F.col("width")).alias("px"), (F.lit(-170.0) / F.col("height")).alias("py")))
 
 
 @query(f"SELECT category, round(avg(value), 6) AS mean, max(value) AS max, round(count(*) FILTER (WHERE value > 0) / CAST(count(*) AS DOUBLE) * 100, 6) AS traffic_pct FROM pixels WHERE value <> {ND} GROUP BY category", "pixels")
@@ -364,6 +366,22 @@ def c22_payload_summary(spark, d):
     return serving.payload_summary(_weighted(spark, d), c9_source_rows(spark, d), fx.taxonomy(spark, d))
 
 
+@query(
+    WEIGHTED + ", f AS (SELECT resolution, top_category, count(*) AS n FROM w WHERE weight >= 0.01 GROUP BY ALL) SELECT 'categories' AS section, top_category AS key, NULL::BIGINT AS n FROM f GROUP BY 2 UNION ALL SELECT 'feature_counts', resolution || '/' || top_category, n FROM f "
+    "UNION ALL SELECT 'source_rows', coalesce(category, 'global'), count(*) FROM traffic GROUP BY ROLLUP (category) UNION ALL SELECT 'subcategory_counts', r_name, count(*) FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 2",
+    "traffic",
+)
+def c22_payload_entries(spark, d):
+    """The payload's JSON document, read again: a row for each entry of each section."""
+    counts = "map<string,bigint>"
+    read = F.from_json("document", f"categories array<string>, feature_counts {counts}, source_rows {counts}, subcategory_counts {counts}")
+    doc = c22_payload_summary(spark, d).select(read.alias("r"))
+    names = doc.select(F.lit("categories").alias("section"), F.explode("r.categories").alias("key"), F.lit(None).cast("long").alias("n"))
+    for section in ("feature_counts", "source_rows", "subcategory_counts"):
+        names = names.unionByName(doc.select(F.lit(section).alias("section"), F.explode(f"r.{section}").alias("key", "n")))
+    return names
+
+
 @query("SELECT r_name AS category, n_name AS subcategory, CAST(count(*) OVER (PARTITION BY r_name) AS BIGINT) AS n FROM region JOIN nation ON r_regionkey = n_regionkey")
 def c23_taxonomy(spark, d):
     s = serving.subcategories(fx.taxonomy(spark, d))
@@ -638,11 +656,36 @@ def g4_ripley_p_values(spark, d):
     return pointpattern.ripley_p(_hot_points(spark, d))
 
 
-@query()
+DBSCAN = (
+    f", near AS (SELECT a.hotspot_rank AS a, b.hotspot_rank AS b FROM hot a JOIN hot b ON a.hotspot_rank <> b.hotspot_rank WHERE {PAIR} <= 150), core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5), joined AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), "
+    "reach(id, root) AS (SELECT id, id FROM core UNION SELECT joined.b, reach.root FROM reach JOIN joined ON reach.id = joined.a), low AS (SELECT id, min(root) AS root FROM reach GROUP BY id), num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS c FROM (SELECT DISTINCT root FROM low)), "
+    "label AS (SELECT id, c FROM low JOIN num USING (root) UNION ALL SELECT near.a, min(c) FROM near JOIN low ON low.id = near.b JOIN num USING (root) WHERE near.a NOT IN (SELECT id FROM core) GROUP BY near.a), clusters AS (SELECT hot.*, CAST(coalesce(c, -1) AS INT) AS cluster_id FROM hot LEFT JOIN label ON label.id = hot.hotspot_rank)"
+)
+
+
+@query(_hot("clustered") + DBSCAN + " SELECT hotspot_rank, lat_bin, lon_bin, cluster_id, cluster_id < 0 AS is_noise FROM clusters", "clustered")
 def g5_c19_dbscan(spark, d):
     return pointpattern.dbscan(_hot_points(spark, d)).select("hotspot_rank", "lat_bin", "lon_bin", "cluster_id", "is_noise")
 
 
+@query(_hot("clustered") + DBSCAN + ", size AS (SELECT cluster_id, count(*) AS n FROM clusters GROUP BY cluster_id) SELECT cluster_id, n, (SELECT count(*) FROM size WHERE cluster_id >= 0) AS clusters, CAST((SELECT coalesce(sum(n), 0) FROM size WHERE cluster_id < 0) AS BIGINT) AS noise FROM size", "clustered")
+def c19_cluster_sizes(spark, d):
+    counts = pointpattern.cluster_counts(pointpattern.dbscan(_hot_points(spark, d)))
+    return counts.select(F.explode("sizes").alias("cluster_id", "n"), "clusters", "noise")
+
+
+@query(
+    KDE + DBSCAN + ", k AS (SELECT a.hotspot_rank, sum(round(b.intensity_sum, 4) / sw * exp(-0.5 * ((a.lon_bin - b.lon_bin) * (a.lon_bin - b.lon_bin) * yy - 2 * (a.lon_bin - b.lon_bin) * (a.lat_bin - b.lat_bin) * xy + (a.lat_bin - b.lat_bin) * (a.lat_bin - b.lat_bin) * xx) / det)) / (2 * pi() * sqrt(any_value(det))) AS kde FROM hot a, hot b, h GROUP BY 1) "
+    "SELECT hotspot_rank, lon_bin AS lon, lat_bin AS lat, density_sum, points, round(kde * 1000, 6) AS kde_milli, cluster_id, cluster_id < 0 AS is_noise FROM clusters JOIN k USING (hotspot_rank)",
+    "clustered",
+)
+def g6_feature_properties(spark, d):
+    """The features' text, read again."""
+    read = F.from_json("feature", "geometry struct<type:string,coordinates:array<double>>, properties struct<density_sum:bigint,points:bigint,hotspot_rank:bigint,kde_score:double,cluster_id:int,is_noise:boolean>")
+    f = g6_cluster_features(spark, d).select(read.alias("f")).select("f.geometry.coordinates", "f.properties.*")
+    return f.select("hotspot_rank", F.col("coordinates")[0].alias("lon"), F.col("coordinates")[1].alias("lat"), "density_sum", "points", F.round(F.col("kde_score") * 1000, 6).alias("kde_milli"), "cluster_id", "is_noise")
+
+
 @query()
 def g6_cluster_features(spark, d):
     k = pointpattern.dbscan(pointpattern.kernel_density(_hot_points(spark, d), "intensity_sum"))
@@ -658,9 +701,13 @@ def g7_pattern_metrics(spark, d):
     return pointpattern.nearest_neighbour_ratio(hot).crossJoin(counts).crossJoin(k)
 
 
-@query()
+@query(
+    _hot("clustered") + DBSCAN + " SELECT cluster_id, round(avg(lon_bin), 6) AS centre_lon, round(avg(lat_bin), 6) AS centre_lat, min(lon_bin) AS west, max(lon_bin) AS east, min(lat_bin) AS south, max(lat_bin) AS north, CAST(sum(density_sum) AS BIGINT) AS total_density, max(density_sum) AS max_density, count(*) AS size FROM clusters WHERE cluster_id >= 0 GROUP BY cluster_id",
+    "clustered",
+)
 def g8_cluster_profiles(spark, d):
-    return pointpattern.cluster_profile(pointpattern.dbscan(_hot_points(spark, d)))
+    profile = pointpattern.cluster_profile(pointpattern.dbscan(_hot_points(spark, d)))
+    return profile.withColumns({c: F.round(c, 6) for c in ("centre_lon", "centre_lat")})
 
 
 @query()
@@ -671,18 +718,21 @@ def g9_planar_dbscan(spark, d):
     return pointpattern.dbscan(materialize(x), 0.05, 10, "planar").select("hotspot_rank", "lat_idx", "lon_idx", "cluster_id", "is_noise")
 
 
-# ---- autocorrelation and regression (one-degree cells; four-degree cells where the SQL is)
+# ---- autocorrelation and regression on one-degree cells
 
 
-def _cells_and_weights(spark, d, degrees=4.0):
-    c = materialize(grid.aggregate_grid(fx.traffic(spark, d), degrees).withColumn("log_density", F.log1p(F.col("density_sum").cast("double"))))
+def _cells_and_weights(spark, d):
+    c = materialize(grid.aggregate_grid(fx.traffic(spark, d), 1.0).withColumn("log_density", F.log1p(F.col("density_sum").cast("double"))))
     return c, materialize(neighbors.knn_grid(c))
 
 
+# Neighbours are looked for in a square of steps, which is wide where cells are few.
 KNN = (
-    ", " + _cells("traffic", 4.0)
-    + ", knn AS (SELECT * FROM (SELECT a.lat_idx AS src_lat, a.lon_idx AS src_lon, b.lat_idx AS dst_lat, b.lon_idx AS dst_lon, ln(CAST(b.density_sum + 1 AS DOUBLE)) AS v, row_number() OVER (PARTITION BY a.lat_idx, a.lon_idx ORDER BY pow(a.lat_idx - b.lat_idx, 2) + pow(a.lon_idx - b.lon_idx, 2), b.lat_idx, b.lon_idx) AS rank FROM cells a JOIN cells b ON abs(a.lat_idx - b.lat_idx) <= 12 AND abs(a.lon_idx - b.lon_idx) <= 12 AND (a.lat_idx <> b.lat_idx OR a.lon_idx <> b.lon_idx)) WHERE rank <= 8)"
-    + ", val AS (SELECT lat_idx, lon_idx, ln(CAST(density_sum + 1 AS DOUBLE)) AS v FROM cells), lag AS (SELECT src_lat AS lat_idx, src_lon AS lon_idx, avg(v) AS lag FROM knn GROUP BY 1, 2)"
+    ", " + _cells("traffic", 1.0)
+    + ", reach AS (SELECT CASE WHEN count(*) > 20000 THEN 12 ELSE 45 END AS r FROM cells), step AS (SELECT unnest(range(-r, r + 1)) AS s FROM reach), steps AS (SELECT CAST(a.s AS INT) AS di, CAST(b.s AS INT) AS dj FROM step a, step b WHERE a.s <> 0 OR b.s <> 0)"
+    + ", val AS (SELECT lat_idx, lon_idx, ln(CAST(density_sum + 1 AS DOUBLE)) AS v FROM cells)"
+    + ", knn AS (SELECT * FROM (SELECT a.lat_idx AS src_lat, a.lon_idx AS src_lon, b.lat_idx AS dst_lat, b.lon_idx AS dst_lon, b.v, row_number() OVER (PARTITION BY a.lat_idx, a.lon_idx ORDER BY di * di + dj * dj, b.lat_idx, b.lon_idx) AS rank FROM val a CROSS JOIN steps JOIN val b ON b.lat_idx = a.lat_idx + di AND b.lon_idx = a.lon_idx + dj) WHERE rank <= 8)"
+    + ", lag AS (SELECT src_lat AS lat_idx, src_lon AS lon_idx, avg(v) AS lag FROM knn GROUP BY 1, 2)"
 )
 
 
@@ -705,7 +755,7 @@ def h3_moran(spark, d):
 
 @query()
 def h4_moran_permutations(spark, d):
-    c, w = _cells_and_weights(spark, d, 1.0)
+    c, w = _cells_and_weights(spark, d)
     return autocorr.moran_permutations(c, w, "log_density")
 
 
@@ -729,7 +779,7 @@ def h5_local_moran(spark, d):
 
 @query()
 def h6_h7_c20_lisa(spark, d):
-    c, w = _cells_and_weights(spark, d, 1.0)
+    c, w = _cells_and_weights(spark, d)
     return autocorr.lisa(c, w, "log_density").select("lat_idx", "lon_idx", "local_i", "quadrant", "p_sim", "lisa_cluster")
 
 
@@ -750,7 +800,7 @@ def h9_feature_table(spark, d):
 
 @query()
 def h10_autocorrelation_summary(spark, d):
-    c, w = _cells_and_weights(spark, d, 1.0)
+    c, w = _cells_and_weights(spark, d)
     return autocorr.summary(c, w, "log_density")
 
 
@@ -765,11 +815,11 @@ def h11_getis_ord(spark, d):
 
 
 @query(
-    ", " + _cells("traffic", 4.0) + ", val AS (SELECT lat_idx, lon_idx, ln(CAST(density_sum + 1 AS DOUBLE)) AS v FROM cells) SELECT a.lat_idx, a.lon_idx, round(sum(b.v * exp(-0.5 * (pow(a.lat_idx - b.lat_idx, 2) + pow(a.lon_idx - b.lon_idx, 2)))) / sum(exp(-0.5 * (pow(a.lat_idx - b.lat_idx, 2) + pow(a.lon_idx - b.lon_idx, 2)))), 6) AS smooth FROM val a JOIN val b ON abs(a.lat_idx - b.lat_idx) <= 4 AND abs(a.lon_idx - b.lon_idx) <= 4 GROUP BY 1, 2",
+    ", " + _cells("traffic", 1.0) + ", val AS (SELECT lat_idx, lon_idx, ln(CAST(density_sum + 1 AS DOUBLE)) AS v FROM cells), step AS (SELECT CAST(unnest(range(-4, 5)) AS INT) AS s), near AS (SELECT a.lat_idx, a.lon_idx, b.v, exp(-0.5 * (di.s * di.s + dj.s * dj.s)) AS w FROM val a CROSS JOIN step di CROSS JOIN step dj JOIN val b ON b.lat_idx = a.lat_idx + di.s AND b.lon_idx = a.lon_idx + dj.s) SELECT lat_idx, lon_idx, round(sum(v * w) / sum(w), 6) AS smooth FROM near GROUP BY 1, 2",
     "traffic",
 )
 def h12_gaussian_smoothing(spark, d):
-    c = grid.aggregate_grid(fx.traffic(spark, d), 4.0).withColumn("v", F.log1p(F.col("density_sum").cast("double")))
+    c = grid.aggregate_grid(fx.traffic(spark, d), 1.0).withColumn("v", F.log1p(F.col("density_sum").cast("double")))
     return grid.smoothed(c, "v", 1.0).select("lat_idx", "lon_idx", *_r("smooth"))
 
 
@@ -834,6 +884,19 @@ def i8_preprocess(spark, d):
     return raster.preprocess(fx.pixels(spark, d), H, W, ND, raster.PRESETS["global"]).select("category", "row_id", "col_id", *_r("value", digits=5))
 
 
+@query(
+    f", dn AS (SELECT category, CAST(row_id * 68 // 340 AS INT) AS row_id, CAST(col_id * 144 // 720 AS INT) AS col_id, round(sum(value) / CAST(count(*) AS DOUBLE)) AS value FROM pixels WHERE value <> {ND} GROUP BY 1, 2, 3), rt AS (SELECT category, row_id, col_id, sqrt(value) AS v FROM dn) SELECT category, row_id, col_id, round(CASE WHEN p IS NULL THEN v ELSE least(greatest(v, 0), p) END, 5) AS value FROM (SELECT *, quantile_cont(v, 0.995) FILTER (WHERE v > 0) OVER (PARTITION BY category) AS p FROM rt)",
+    "pixels",
+)
+def i8_preprocess_regional(spark, d):
+    return raster.preprocess(fx.pixels(spark, d), H, W, ND, raster.PRESETS["regional"]).select("category", "row_id", "col_id", *_r("value", digits=5))
+
+
+@query(f"SELECT category, row_id, col_id, CAST(CASE WHEN value < 10 THEN 0 ELSE value END AS DOUBLE) AS value FROM pixels WHERE value <> {ND}", "pixels")
+def i8_preprocess_analysis(spark, d):
+    return raster.preprocess(fx.pixels(spark, d), H, W, ND, raster.PRESETS["analysis"]).select("category", "row_id", "col_id", "value")
+
+
 @query("SELECT category, true AS no_negatives, true AS max_ok, true AS not_all_null, true AS same_rows FROM pixels GROUP BY category", "pixels")
 def i9_preprocess_checks(spark, d):
     p = fx.pixels(spark, d)

@@ -71,3 +71,12 @@ def test_stream_is_taken_up_again(spark, tmp_path):
     bins = raster.histogram(raster.tile_pixels(every), ND).groupBy("category").agg(F.sum("n").alias("n"))
     got = raster_stats.run(spark, folder, check, out, ND)
     same(got.select("category", sum(F.col(f"bin{i}") for i in range(7)).alias("n")), bins, ["category"])
+
+
+def test_rasters_that_differ(spark):
+    meta = "width int, height int, crs string, px double, py double"
+    one = spark.createDataFrame([(4, 3, "EPSG:4326", 0.5, -0.5)] * 2, meta)
+    assert raster.consistent(one).first()[:4] == (True, True, True, 2)
+    for row, wrong in (((5, 3, "EPSG:4326", 0.5, -0.5), 0), ((4, 3, "EPSG:6933", 0.5, -0.5), 1), ((4, 3, "EPSG:4326", 0.5, -0.25), 2)):
+        got = raster.consistent(one.union(spark.createDataFrame([row], meta))).first()
+        assert [i for i in range(3) if not got[i]] == [wrong]
