@@ -4,7 +4,7 @@ Tokens of a page are its containers (by path) and its text blocks (by path and t
 the same occurrence vector form an equivalence class; vectors are compared by one hash, which combines before the
 shuffle. A host may have several classes: one for each layout, and others for parts that come in some pages or several times.
 Classes nest by their containers' paths. From the outermost class inwards, the container that holds most of the varying text is the
-slot of the article; blocks of the slot's classes are fixed text. A page takes the innermost slot of its host's template that it has.
+slot of the article; blocks of the slot's classes that most of its pages share are fixed text, unless they are most of the text. A page takes the innermost slot of its host's template that it has.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from gridwake.llm.common import materialize
 
 LEAST_PAGES = 2  # different pages from which a host has a template
 LEAST_SHARE = 0.1  # of a host's pages that a token of its template occurs in
-FIXED_PAGES = 3  # different pages from which a block counts as fixed: two near copies of a page share their article
+FIXED_PAGES = 3  # different pages from which a block counts as fixed when slots are sought
+FIXED_SHARE = 0.5  # of the pages with a slot that hold a fixed block of it; and of the slot's text that such blocks may be
+DEEPEST = 200  # containers below so many are one with the one above them
 MAIN_SHARE = 0.5  # of the varying text around it that the article's slot holds
 OWN_SHARE = 0.05  # of a container's varying text that stands in it directly, from which it is the slot itself
 FEW_HOSTS = 500_000  # counts by host are broadcast up to so many
@@ -39,12 +41,14 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "tfoot", "pre", "blockquote", "figcaption", "caption", "hr", "br", "option"}
 OUTSIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "input", "datalist", "dialog", "menu", "template", "object", "embed", "applet", "audio", "video", "canvas", "svg", "fieldset", "legend", "progress", "meter"} | RAW
 MAIN = {"article", "main"}
-# What the class, id or role of a container begins with where it isn't the article.
+# Words for containers that aren't the article, as class, id or role, alone or with a word for a part of a page's layout.
 MARKS = {"ad", "ads", "adbox", "adslot", "adunit", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "sidebar", "widget", "widgets", "masthead", "topbar", "footer", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "recommended", "comment", "comments", "commentlist", "respond", "disqus", "pager", "pagination", "toolbar", "copyright", "complementary", "contentinfo", "skip"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+PARTS = {"area", "bar", "banner", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "footer", "form", "group", "header", "inner", "item", "items", "left", "link", "links", "list", "main", "menu", "mobile", "modal", "nav", "notice", "outer", "panel", "popup", "primary", "right", "row", "secondary", "section", "slot", "thread", "top", "unit", "widget", "widgets", "wrap", "wrapper"}
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_FIRST = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[a-z]+")
+_SPECIAL, _BRACKET = re.compile("[>\"']"), re.compile("[<>]")
 _CLOSES_P = LEAVES - {"br", "option"} | {"div", "article", "section", "main", "ul", "ol", "dl", "table", "nav", "aside", "footer", "header", "form", "figure", "address", "details"}
 
 
@@ -58,10 +62,85 @@ def _role(tag: str, attrs: str, inside_main: bool) -> tuple[bool, str]:
         return True, name
     if found and tag not in LEAVES and tag not in ("html", "body") and tag not in MAIN:
         words = entities.unescape(" ".join(found.get(k, "") for k in ("class", "id", "role"))).lower().split()
-        return any((m := _FIRST.match(w)) and m[0] in MARKS for w in words), name
+        return any(_is_mark(w) for w in words), name
     return False, name
 
 
+def _is_mark(name: str) -> bool:
+    """Whether a class, id or role is a mark, with nothing besides but words for parts and numbers: sidebar-2 and cookie-notice, not social-history."""
+    words = _WORDS.findall(name)
+    return bool(words) and words[0] in MARKS and all(w in PARTS or w in MARKS for w in words[1:])
+
+
+class _Scanner:
+    """Finds the tags of a page in time linear in its length, however broken it is: what one search has learnt serves the later ones."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.special = -1  # the next of > " ' at or after where it was last looked for
+        self.looked = 0
+        self.ends: dict[int, int] = {}  # where a tag ends that is open, outside quotes, at a place; -1 for nowhere
+        self.missing: dict[str, int] = {}  # from where on a string doesn't occur
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.missing.get(what, len(self.page) + 1):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing[what] = at
+        return found
+
+    def _special(self, at: int) -> int:
+        if not self.looked <= at <= self.special:
+            m = _SPECIAL.search(self.page, at)
+            self.special, self.looked = m.start() if m else len(self.page), at
+        return self.special
+
+    def end(self, at: int) -> int:
+        """The > that ends a tag which is open at a place, quoted ones apart; -1 if none does."""
+        passed = []
+        while at not in self.ends:
+            passed.append(at)
+            special = self._special(at)
+            if special == len(self.page):
+                found = -1
+            elif self.page[special] == ">":
+                found = special
+            else:
+                close = self.find(self.page[special], special + 1)
+                if close >= 0:
+                    at = close + 1
+                    continue
+                found = -1
+            break
+        else:
+            found = self.ends[at]
+        for x in passed:
+            self.ends[x] = found
+        return found
+
+    def tag(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the first tag at or after a place; comments and the like have no name."""
+        page = self.page
+        while (start := self.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                close = self.find("-->", start + 4)
+                return start, close + 3 if close >= 0 else len(page), "", "", ""
+            if m := _NAME.match(page, start):
+                close = self.end(m.end())
+                if close >= 0:
+                    return start, close + 1, m[1], m[2], page[m.end() : close]
+                # The quotes never close: the tag ends at the next bracket, if that isn't one that opens another.
+                stop = _BRACKET.search(page, m.end())
+                if not stop or stop[0] == ">":
+                    return start, stop.end() if stop else len(page), m[1], m[2], page[m.end() : stop.start() if stop else len(page)]
+            if page.startswith(("<!", "<?", "</"), start):
+                close = self.find(">", start + 2)
+                return start, close + 1 if close >= 0 else len(page), "", "", ""
+            at = start + 1
+        return None
+
+
 def blocks(page: str) -> tuple[list[tuple[str, str, int]], Counter]:
     """The blocks (container path, text, depth of the path where the article is left, or 0) in page order, and how often each container path occurs."""
     out: list[tuple[str, str, int]] = []
@@ -78,13 +157,13 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], Counter]:
                 _, outside, path, _ = stack[-1] if stack else ("", 0, "", False)
                 out.append((path, t, outside))
 
+    scan, opened, endless = _Scanner(page), Counter(), set()
     while True:
-        m = _TAG.search(page, at)
-        text.append(page[at : m.start()] if m else page[at:])
+        m = scan.tag(at)
+        text.append(page[at : m[0]] if m else page[at:])
         if not m:
             break
-        at = m.end()
-        closing, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        _, at, closing, tag, attrs = m
         if not tag:
             continue
         tag = tag.lower()
@@ -96,26 +175,30 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], Counter]:
         if closing:
             if tag in INLINE:
                 continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while opened[tag]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
                     break
             continue
         if tag in RAW and not attrs.rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if not end:
+                endless.add(tag)
             if tag != "noscript" or end:
                 at = end.end() if end else len(page)
             continue
         if tag in VOID or tag in INLINE:
             continue
         while stack and (stack[-1][0] == "p" and tag in _CLOSES_P or stack[-1][0] == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option")):
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         _, outside, path, inside = stack[-1] if stack else ("", 0, "", False)
         own, name = _role(tag, attrs, inside)
-        if tag not in LEAVES:
+        if tag not in LEAVES and path.count("/") < DEEPEST:
             path = f"{path}/{name}"
             containers[path] += 1
         if not attrs.rstrip().endswith("/"):
+            opened[tag] += 1
             stack.append((tag, path.count("/") + (tag in LEAVES) if own else outside, path, inside or tag in MAIN))
     flush()
     return out, containers
@@ -220,7 +303,14 @@ def nested(members: list[tuple[str, int, int, float, float]]) -> dict:
             around = varying[at] * containers[child][1] / max(1, containers[at][1])  # in the pages that have the child, on average
             if varying[child] > 0 and varying[child] >= MAIN_SHARE * min(around, varying[at]):
                 todo.append(child)
-    return {"slots": sorted(slots, key=lambda t: (-t.count("/"), -varying[t], t)), "fixed": sorted(fixed)}
+    return {"slots": sorted(slots, key=lambda t: (-t.count("/"), -varying[t], t)), "fixed": {t: own for t in slots if (own := _fixed_in(t, fixed, members, containers[t]))}}
+
+
+def _fixed_in(slot: str, fixed: dict[str, float], members: list[tuple[str, int, int, float, float]], own: tuple) -> list[str]:
+    """The fixed blocks of a slot: those in at least FIXED_SHARE of the pages that have it. None if they are most of its text: such pages are near copies of each other."""
+    _, pages, chars, _ = own
+    found = {t: c for t, _, n, c, _ in members if t in fixed and n >= FIXED_SHARE * pages and (p := t.split(" ", 1)[1]) and (p == slot or p.startswith(slot + "/"))}
+    return sorted(found) if sum(found.values()) <= FIXED_SHARE * chars else []
 
 
 def extract(page: str, template: dict | None, roles: bool = True) -> str:
@@ -231,7 +321,7 @@ def extract(page: str, template: dict | None, roles: bool = True) -> str:
     found, containers = blocks(page)
     slot = next((t for t in template["slots"] if t in containers), None) if template else None
     if slot is not None:
-        fixed = set(template["fixed"])
+        fixed = set(template["fixed"].get(slot, ()))
         depth = slot.count("/")
         rest = [(path, text, left) for path, text, left in found if (path == slot or path.startswith(slot + "/")) and _block_key(path, text) not in fixed]
         return "\n".join(text for _, text, left in rest if not roles or left <= depth)

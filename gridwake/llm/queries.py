@@ -102,7 +102,7 @@ _REACH = """, pair AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach(i
 
 OP3 = r"""
 WITH a AS (SELECT page_id, url, regexp_split_to_array(replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<br>', ' '), '</?(?:p|h1)>') AS parts FROM pages),
-b AS (SELECT page_id, url, [trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) FOR x IN parts] AS parts FROM a),
+b AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) FOR x IN parts] AS parts FROM a),
 t AS (SELECT page_id, url, array_to_string([x FOR x IN parts IF x <> ''], chr(10)) AS text FROM b)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t"""
 
