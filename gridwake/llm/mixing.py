@@ -34,8 +34,9 @@ def telling_strings(docs: DataFrame, labels: DataFrame, domain_col: str, most: i
     """
     known = labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(rows)
     x = docs.select("doc_id", F.col(domain_col).cast("string").alias("domain"), F.lower("text").alias("t")).where("domain is not null and length(t) > 1").join(F.broadcast(known), "doc_id")
-    pairs = x.select("domain", F.explode(F.expr("transform(sequence(1, length(t) - 1), i -> substring(t, i, 2))")).alias("pair"))
-    counts = materialize(pairs.where(F.regexp_like("pair", F.lit(r"^\p{L}\p{L}?$|^\p{L} $"))).groupBy("domain", "pair").agg(F.count("*").cast("double").alias("n")))
+    # A look ahead finds overlapping pairs in one pass; cutting substrings out would take time quadratic in a text's length.
+    pairs = x.select("domain", F.explode(F.regexp_extract_all("t", F.lit(r"(?=(\p{L}[\p{L} ]))"), F.lit(1))).alias("pair"))
+    counts = materialize(pairs.groupBy("domain", "pair").agg(F.count("*").cast("double").alias("n")))
     by_pair, by_domain, everything = counts.groupBy("pair").agg(F.sum("n").alias("np")), counts.groupBy("domain").agg(F.sum("n").alias("nd")), counts.agg(F.sum("n").alias("all"))
     expected = F.col("np") * F.col("nd") / F.col("all")
     scored = counts.join(by_pair, "pair").join(by_domain, "domain").crossJoin(F.broadcast(everything)).withColumn("gain", F.when(F.col("n") > expected, (F.col("n") - expected) * (F.col("n") - expected) / expected).otherwise(0.0))
@@ -92,12 +93,9 @@ def _dot(p: Column, values: Column) -> Column:
     return F.aggregate(F.zip_with(p, values, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
 
 
-def _rate(p: Column, start: float, steps: list[list[float]], penalty_step: float) -> Column:
-    """The rate after the projected gradient steps so far; each step is one array of the domains' scaled residuals."""
-    if not steps:
-        return F.lit(start)
-    history = F.array(*[F.array(*[F.lit(v) for v in s]) for s in steps])
-    return F.aggregate(history, F.lit(start), lambda r, g: F.greatest(F.lit(0.0), r - _dot(p, g) - F.lit(penalty_step) * (r - F.lit(start))))
+def _rate(p: Column, start: float, taken: list[float]) -> Column:
+    """The rate after projected gradient steps that add up to `taken`, a number for each domain; the projection comes last (dual averaging), so all steps cost one."""
+    return F.greatest(F.lit(0.0), F.lit(start) - _dot(p, F.array(*[F.lit(float(v)) for v in taken])))
 
 
 def fit_rates(x: DataFrame, targets: dict[str, float], total: float | None = None, domains: list[str] | None = None, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -124,7 +122,7 @@ def fit_rates(x: DataFrame, targets: dict[str, float], total: float | None = Non
     row = max(sum((first[f"m{i}_{j}"] or 0.0) / unit[i] for j in range(len(domains))) for i in range(len(domains))) or 1.0
     step = 1.0 / (row * (1 + PENALTY))
     start = goal / max(1.0, sum(have))
-    steps: list[list[float]] = []
+    taken = [0.0] * len(domains)
 
     def left(totals: list[float]) -> float:
         return max(abs(totals[i] - wanted[i]) / max(wanted[i], 1.0) for i in use)
@@ -134,11 +132,12 @@ def fit_rates(x: DataFrame, targets: dict[str, float], total: float | None = Non
         gap = [(got[i] - wanted[i]) / unit[i] for i in range(len(domains))]
         if left(got) < TOLERANCE:
             break
-        steps.append([step * g for g in gap])
-        r = _rate(F.col("p"), start, steps, step * PENALTY)
-        totals = x.agg(*[F.sum(r * F.col("n_tokens") * F.element_at("p", i + 1)).alias(f"e{i}") for i in range(len(domains))]).first()
+        # The penalty draws rates back to the start: at rest, taken is gap / PENALTY, which is what the least-squares solution has.
+        taken = [(1 - step * PENALTY) * t + step * g for t, g in zip(taken, gap)]
+        rated = x.select("p", (_rate(F.col("p"), start, taken) * F.col("n_tokens")).alias("_rn"))
+        totals = rated.agg(*[F.sum(F.col("_rn") * F.element_at("p", i + 1)).alias(f"e{i}") for i in range(len(domains))]).first()
         got = [totals[f"e{i}"] or 0.0 for i in range(len(domains))]
-    return x.withColumn("rate", _rate(F.col("p"), start, steps, step * PENALTY)).withColumn("gap", F.lit(float(left(got))))
+    return x.withColumn("rate", _rate(F.col("p"), start, taken)).withColumn("gap", F.lit(float(left(got))))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain_col: str = "lang", total: float | None = None, seed: int = 0, least_share: float = LEAST_SHARE) -> DataFrame:
