@@ -42,6 +42,41 @@ def test_template_of_a_host_without_roles(spark, monkeypatch, broadcast):
     assert all(got[i] == want[i] for i in want) and got[120] == want[0]
 
 
+def test_near_copies_and_quotes_keep_their_text(spark):
+    """Pages that share an article, or a clause, aren't a template: alone on a host, and among other pages."""
+    rng = np.random.default_rng(21)
+    body = [_words(rng, 20) for _ in range(8)]
+    page = lambda parts, note="": "<div class=top><p>Our site</p></div><article>" + "".join(f"<p>{p}</p>" for p in parts) + note + "</article><div class=end><p>All rights reserved</p></div>"
+    copies = [[f"{body[0]} {i}", *body[1:]] for i in range(3)]
+    rows = [(i, f"http://copies.example/{i}", page(c)) for i, c in enumerate(copies)]
+    others = [[_words(rng, 20) for _ in range(3)] for _ in range(10)]
+    rows += [(10 + i, f"http://mixed.example/{i}", page(c)) for i, c in enumerate(copies + others)]
+    clause = "A clause that three of ten articles quote word for word."
+    quoted = [(o, f"<div class=quote><p>{clause}</p></div>" if i < 3 else "") for i, o in enumerate(others)]
+    rows += [(40 + i, f"http://quotes.example/{i}", page(o, q)) for i, (o, q) in enumerate(quoted)]
+    ten = [[f"{body[0]} {i}", *body[1:]] for i in range(10)]
+    rows += [(60 + i, f"http://ten.example/{i}", page(c)) for i, c in enumerate(ten)]
+    got = texts(spark, rows)
+    want = {i: c for i, c in enumerate(copies)} | {10 + i: c for i, c in enumerate(copies + others)} | {40 + i: [*o, clause] if q else o for i, (o, q) in enumerate(quoted)} | {60 + i: c for i, c in enumerate(ten)}
+    assert {i: got[i].split("\n") for i in want} == want
+
+
+def test_marks_are_whole_words(spark):
+    kept = ("social-history", "share-prices", "menu-planning", "adventure", "navigator", "commented")
+    gone = ("sidebar-2", "cookie-notice", "share-buttons", "nav-main", "ad", "comments", "sidebar left")
+    page = "<article><p>Text</p>" + "".join(f"<div class='{c}'><p>{c}</p></div>" for c in (*kept, *gone)) + "</article>"
+    assert texts(spark, [(1, "x", page)])[1].split("\n") == ["Text", *kept]
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for broken in ("<a '", "<a '\"", "<a <b ", "<div>", "<div></x>", "<noscript>", "<p>'\"", "</a ' "):
+        began = time.time()
+        html_extract.page_tokens(broken * (1_000_000 // len(broken)) + "text")
+        assert time.time() - began < 15, broken  # quadratic ones took minutes
+
+
 def _words(rng, n):
     return " ".join("".join(rng.choice(list("abcdefg"), 5)) for _ in range(n))
 
