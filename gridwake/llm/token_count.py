@@ -9,7 +9,8 @@ boundaries.
 Inside a word a second deterministic transducer reads bytes. Its transitions are compiled from the merges of the vocabulary file:
 a state holds the longest suffix read that can still become part of a token, with the last token of the encoding at each
 place in it, and a transition carries by how much the number of emitted tokens changes. As a word begins in the start state, the boundaries
-of the first pass are where its chunk maps meet, and all words of a batch are read side by side.
+of the first pass are where its chunk maps meet, and all words of a batch are read side by side. Words of several thousand bytes are read in chunks
+side by side too, with maps from entry state to leaving state and emitted tokens for the entries that occur.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ WHITE = [9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 CHUNK = 512
 GROUP_BYTES = 2_000_000  # read at once
 STATES_KEPT = 300_000
+LONG_BYTES = 4096  # words of more are read by chunks
+WARM_BYTES = 64  # read before a chunk to guess its entry state
+BLOCK_BYTES = 1 << 18
 _SAFE_CUT = re.compile(rb"[A-Za-z0-9](?=[ \n])")  # a word ends here whatever surrounds it
 
 
@@ -300,17 +304,15 @@ class Transducer:
             open_ = open_[found[open_] != key[open_]]
         return out
 
-    def read(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
-        """The number of tokens of each word; with `last`, the last token of the encoding up to each byte is written to it."""
-        if len(self.states) > STATES_KEPT:
-            self.clear()
-        counts = np.zeros(len(start), np.int64)
+    def _run(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, entry: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States after, and tokens emitted in, some pieces of the data that begin in the given states, all pieces at once."""
+        out, counts = entry.copy(), np.zeros(len(start), np.int64)
         if not len(start):
-            return counts
+            return out, counts
         order = np.argsort(-size, kind="stable")
         at, longest = start[order], int(size[order[0]])
-        longer = len(size) - np.cumsum(np.bincount(size, minlength=longest + 1))  # words of more than so many bytes
-        state, emitted = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+        longer = len(size) - np.cumsum(np.bincount(size, minlength=longest + 1))  # pieces of more than so many bytes
+        state, emitted = entry[order], np.zeros(len(at), np.int64)
         for i in range(longest):
             n = int(longer[i])
             where = at[:n] + i
@@ -319,7 +321,60 @@ class Transducer:
             emitted[:n] += (got & ((1 << 20) - 1)) - _BIAS
             if last is not None:
                 last[where] = self.tokens[state[:n]]
-        counts[order] = emitted
+        out[order], counts[order] = state, emitted
+        return out, counts
+
+    def _long(self, data: np.ndarray, start: int, size: int, last: np.ndarray | None) -> int:
+        """The number of tokens of a long word, by chunks.
+
+        A chunk's map takes the state at its beginning to the state at its end and the tokens emitted. Maps hold the entry that reading the bytes before from scratch
+        gives, mostly the true one, for all chunks at once; they compose from the left, and an entry that a map lacks is read when it is met. Chunks of equal
+        bytes share a map, so that a word of one repeated letter needs few entries. A word is taken in blocks, between which old states are given up.
+        """
+        state, total = 1, 0
+        for block in range(start, start + size, BLOCK_BYTES):
+            state = self._trimmed(state)
+            begin = np.arange(block, min(block + BLOCK_BYTES, start + size), CHUNK)
+            length = np.minimum(CHUNK, min(block + BLOCK_BYTES, start + size) - begin)
+            warm = np.minimum(WARM_BYTES, begin - start)
+            guess, _ = self._run(data, begin - warm, warm, np.ones(len(begin), np.int64))
+            guess[0] = state
+            out, n = self._run(data, begin, length, guess)
+            names = [data[x : x + y].tobytes() for x, y in zip(begin.tolist(), length.tolist())]
+            maps = {(name, g): found for name, g, found in zip(names, guess.tolist(), zip(out.tolist(), n.tolist()))}
+            entry = np.zeros(len(begin), np.int64)
+            for i, name in enumerate(names):
+                entry[i] = state
+                if (name, state) not in maps:
+                    one_out, one_n = self._run(data, begin[i : i + 1], length[i : i + 1], entry[i : i + 1])
+                    maps[name, state] = int(one_out[0]), int(one_n[0])
+                state, emitted = maps[name, state]
+                total += emitted
+            if last is not None:
+                self._run(data, begin, length, entry, last)
+        return total
+
+    def _trimmed(self, state: int) -> int:
+        """The state's number after old states have been given up, if there are many."""
+        if len(self.states) <= STATES_KEPT:
+            return state
+        kept, token = self.states[state], self.tokens[state]
+        self.clear()
+        if kept in self.numbers:
+            return self.numbers[kept]
+        self.numbers[kept] = len(self.states)
+        self.states.append(kept)
+        self.tokens[self.numbers[kept]] = token
+        return self.numbers[kept]
+
+    def read(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+        """The number of tokens of each word; with `last`, the last token of the encoding up to each byte is written to it."""
+        self._trimmed(1)
+        counts = np.zeros(len(start), np.int64)
+        short = size <= LONG_BYTES
+        counts[short] = self._run(data, start[short], size[short], np.ones(int(short.sum()), np.int64), last)[1]
+        for i in np.flatnonzero(~short).tolist():
+            counts[i] = self._long(data, int(start[i]), int(size[i]), last)
         return counts
 
 
