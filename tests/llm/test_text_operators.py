@@ -274,6 +274,27 @@ def _prose(rnd, n):
     return " ".join(rnd.choice(WORDS) if rnd.random() < 0.5 else "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 9))) for _ in range(n)) + "."
 
 
+@pytest.mark.parametrize("kept", [300_000, 500])
+def test_long_words_by_chunks(vocabulary, monkeypatch, kept):
+    """Words of many chunks give the library's ids, in seconds, also while old states are given up between blocks."""
+    import time
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_count, "STATES_KEPT", kept)
+    monkeypatch.setattr(token_count, "BLOCK_BYTES", 1 << 14)
+    rnd = random.Random(16)
+    library, own = Tokenizer.from_file(vocabulary), token_count.Machine(vocabulary)
+    texts = ["a" * 70_001, "ab" * 20_000, "é" * 9_000, "日本" * 5_000, "0" * 30_000, "".join(rnd.choice("abcdefghijklmnop") for _ in range(30_000)), "".join(rnd.choice(["tion", "ing", "er", "a"]) for _ in range(9_000)), ("x" * 4097 + " ") * 5, "short words"]
+    began = time.time()
+    counts, ids = own.encode(pa.array(texts), True)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert own.encode(pa.array(["a" * 2_000_000]), False)[0].tolist() == [len(library.encode("a" * 2_000_000, add_special_tokens=False).ids)]
+    assert time.time() - began < 60
+
+
 def test_quality_of_a_shuffled_table(spark):
     """Rows that come from a shuffle, which adaptive execution cuts anew each time, give what a plain scan gives; repeated rows and null ids too."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
