@@ -259,7 +259,8 @@ WEIGHTED = LAYERS + ", w AS (SELECT *, CASE WHEN p99 > 0 THEN least(greatest(raw
 
 
 def _weighted(spark, d):
-    return grid.normalised_by_p99(grid.pyramid(fx.traffic(spark, d), "density"), ["resolution", "top_category"])
+    # Cells and their percentiles both read the pyramid.
+    return grid.normalised_by_p99(materialize(grid.pyramid(fx.traffic(spark, d), "density")), ["resolution", "top_category"])
 
 
 @query(WEIGHTED + " SELECT resolution, top_category, lat_idx, lon_idx, round(weight, 6) AS weight, raw_weight, points FROM w WHERE weight >= 0.01", "traffic")
@@ -550,9 +551,11 @@ def e9_nearest_neighbour(spark, d):
     return neighbors.nearest_neighbour(_hot_points(spark, d)).select("id", *_r("km", digits=4))
 
 
-@query(_hot("clustered") + f", {ANCHOR_ROWS} SELECT count(*) AS n, round(avg(CASE WHEN km <= 2000 THEN 1.0 ELSE 0.0 END), 6) AS precision FROM (SELECT hotspot_rank, min({_haversine('lon_bin', 'lat_bin', 'lon', 'lat')}) AS km FROM hot, anchors WHERE kind = 'port' GROUP BY 1)", "clustered")
+@query(_hot("clustered") + f", {ANCHOR_ROWS} SELECT CAST(radius AS DOUBLE) AS km, count(*) AS n, round(avg(CASE WHEN near <= radius THEN 1.0 ELSE 0.0 END), 6) AS precision FROM (SELECT hotspot_rank, min({_haversine('lon_bin', 'lat_bin', 'lon', 'lat')}) AS near FROM hot, anchors WHERE kind = 'port' GROUP BY 1), (VALUES (50), (500), (2000)) AS r(radius) GROUP BY radius", "clustered")
 def e11_port_precision(spark, d):
-    return geo.port_precision(_hot_points(spark, d), fx.anchors(spark), 2000.0).select("n", *_r("precision"))
+    hot, ports = _hot_points(spark, d), fx.anchors(spark)
+    parts = [geo.port_precision(hot, ports, km).select(F.lit(km).alias("km"), "n", *_r("precision")) for km in (50.0, 500.0, 2000.0)]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 # ---- scalar functions
