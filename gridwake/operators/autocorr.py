@@ -63,7 +63,7 @@ def moran_moments(cells: DataFrame, weights: DataFrame, value: str) -> DataFrame
 def _indexed(cells: DataFrame, weights: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
     """z and the neighbours' positions of a bounded set of cells, for permutations."""
     if cells.limit(PERMUTED_CELLS + 1).count() > PERMUTED_CELLS:
-        raise ValueError("too many cells to permute on arrays: use moran_moments")
+        raise ValueError("too many cells to shuffle on arrays: use moran_moments, or moran_test and summary with shuffles=0")
     c = cells.select("lat_idx", "lon_idx", F.col(value).cast("double").alias("v")).toPandas().sort_values(["lat_idx", "lon_idx"]).reset_index(drop=True)
     e = weights.select("src_lat", "src_lon", "dst_lat", "dst_lon", "rank").toPandas()
     at = pd.Series(c.index, index=pd.MultiIndex.from_frame(c[["lat_idx", "lon_idx"]]))
@@ -183,11 +183,19 @@ def getis_ord_by(cells: DataFrame, by: list[str], value: str, reach: int = 1) ->
     return cells.join(sums, keys).join(F.broadcast(whole), by).withColumn("gi_star", z).drop("_s", "_w", "_m", "_sd", "_n")
 
 
-def summary(cells: DataFrame, weights: DataFrame, value: str, permutations: int = 999) -> DataFrame:
-    """One row with Moran's I, its expectation, p and z, and a map of cells by LISA label."""
+def moran_test(cells: DataFrame, weights: DataFrame, value: str, shuffles: int = 999) -> DataFrame:
+    """moran_moments with p_sim and z_sim of moran_permutations, or null where `shuffles` is 0: for more cells than can be shuffled the moments answer."""
+    m = moran_moments(cells, weights, value)
+    if not shuffles:
+        return m.withColumns({"p_sim": F.lit(None).cast("double"), "z_sim": F.lit(None).cast("double")})
+    return m.crossJoin(moran_permutations(cells, weights, value, shuffles).select("p_sim", "z_sim"))
+
+
+def summary(cells: DataFrame, weights: DataFrame, value: str, permutations: int = 999, shuffles: int | None = None) -> DataFrame:
+    """One row with Moran's I, its moments, p and z, and a map of cells by LISA label. `shuffles` is for the whole pattern, as many as `permutations` unless given."""
     labels = materialize(lisa(cells, weights, value, permutations)).groupBy("lisa_cluster").agg(F.count("*").alias("n"))
     counts = labels.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lisa_cluster", "n")))).alias("lisa_counts"))
-    return moran_permutations(cells, weights, value, permutations).crossJoin(counts)
+    return moran_test(cells, weights, value, permutations if shuffles is None else shuffles).crossJoin(counts)
 
 
 def normal_tail(z: float) -> float:

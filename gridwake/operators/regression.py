@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.operators.autocorr import moran, moran_permutations, normal_tail
+from gridwake.operators.autocorr import moran_test, normal_tail
 from gridwake.operators.neighbors import spatial_lag
 from gridwake.tables import materialize
 
@@ -85,10 +85,10 @@ def residuals(df: DataFrame, y: str, xs: list[str], beta: np.ndarray) -> DataFra
     return df.withColumn("residual", F.col(y) - fitted)
 
 
-def residual_moran(df: DataFrame, weights: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """Moran's I of the residuals of an ordinary fit, with p and z from permutations."""
+def residual_moran(df: DataFrame, weights: DataFrame, y: str, xs: list[str], shuffles: int = 999) -> DataFrame:
+    """Moran's I of the residuals of an ordinary fit, against its moments and, unless `shuffles` is 0, against shuffled values."""
     r = materialize(residuals(df, y, xs, ols(df, y, xs)[2]))
-    return moran(r, weights, "residual").crossJoin(moran_permutations(r, weights, "residual").select("p_sim", "z_sim"))
+    return moran_test(r, weights, "residual", shuffles)
 
 
 def seeded_rows(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:

@@ -347,6 +347,8 @@ def test_moran_moments_are_the_textbooks(spark, monkeypatch):
     assert r.p_norm == pytest.approx(math.erfc(abs(i - e) / (2 * q) ** 0.5))
     drawn = [n / s0 * (p @ m @ p) / (z @ z) for p in (rng.permutation(z) for _ in range(4000))]
     assert np.mean(drawn) == pytest.approx(e, abs=5 * (q / 4000) ** 0.5) and np.var(drawn) == pytest.approx(q, rel=0.12)
+    whole = autocorr.summary(c, w, "v", 19, shuffles=0).first()  # more cells than may be shuffled
+    assert whole.z_norm == pytest.approx(r.z_norm) and whole.p_sim is None and sum(whole.lisa_counts.values()) == n
     flat = autocorr.moran_moments(c.withColumn("v", F.lit(1.0)), w, "v").first()
     assert flat.variance is None and flat.z_norm is None and flat.moran_i is None
 
