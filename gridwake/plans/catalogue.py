@@ -368,7 +368,7 @@ def c22_payload_summary(spark, d):
 
 
 @query(
-    WEIGHTED + ", f AS (SELECT resolution, top_category, count(*) AS n FROM w WHERE weight >= 0.01 GROUP BY ALL) SELECT 'categories' AS section, top_category AS key, NULL::BIGINT AS n FROM f GROUP BY 2 UNION ALL SELECT 'feature_counts', resolution || '/' || top_category, n FROM f "
+    WEIGHTED + ", f AS (SELECT resolution, top_category, count(*) AS n FROM w WHERE weight >= 0.01 GROUP BY ALL) SELECT 'categories' AS section, top_category AS key, CAST(1 AS BIGINT) AS n FROM f GROUP BY 2 UNION ALL SELECT 'feature_counts', resolution || '/' || top_category, n FROM f "
     "UNION ALL SELECT 'source_rows', coalesce(category, 'global'), count(*) FROM traffic GROUP BY ROLLUP (category) UNION ALL SELECT 'subcategory_counts', r_name, count(*) FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 2",
     "traffic",
 )
@@ -377,7 +377,7 @@ def c22_payload_entries(spark, d):
     counts = "map<string,bigint>"
     read = F.from_json("document", f"categories array<string>, feature_counts {counts}, source_rows {counts}, subcategory_counts {counts}")
     doc = c22_payload_summary(spark, d).select(read.alias("r"))
-    names = doc.select(F.lit("categories").alias("section"), F.explode("r.categories").alias("key"), F.lit(None).cast("long").alias("n"))
+    names = doc.select(F.lit("categories").alias("section"), F.explode("r.categories").alias("key"), F.lit(1).cast("long").alias("n"))
     for section in ("feature_counts", "source_rows", "subcategory_counts"):
         names = names.unionByName(doc.select(F.lit(section).alias("section"), F.explode(f"r.{section}").alias("key", "n")))
     return names
