@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.llm.common import components, materialize, measured
+from gridwake.llm.common import components, held, materialize, measured
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -27,7 +27,6 @@ WORDS_KEPT = 150_000
 
 _WORD = re.compile(r"\w+")
 _M = np.uint64(0x9E3779B97F4A7C15)
-_HASHES: dict[str, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -38,15 +37,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def words(text: str) -> np.ndarray:
     """A 64-bit hash of each lower-case word."""
     found = _WORD.findall(text.lower())
-    if len(_HASHES) > WORDS_KEPT:
-        _HASHES.clear()
+    hashes = held("hashes of words", dict)
+    if len(hashes) > WORDS_KEPT:
+        hashes.clear()
     try:
-        return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+        return np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     except KeyError:
         for w in found:
-            if w not in _HASHES:
-                _HASHES[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+            if w not in hashes:
+                hashes[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
 
 
 def shingles(w: np.ndarray, size: int = SHINGLE) -> np.ndarray:

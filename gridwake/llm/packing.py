@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwake.llm.common import materialize, numbered
+from gridwake.llm.common import give_back, materialize, numbered
 from gridwake.llm.token_count import machine
 
 WINDOW = 2048
@@ -122,6 +122,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int =
             if keep_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(low, len(flat)).astype(np.int32)), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+            give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut, T.StructType(fields))
 

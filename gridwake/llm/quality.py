@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.llm.common import materialize
+from gridwake.llm.common import held, materialize
 
 ORDER = 5
 HOT_KEYS = 600_000  # n-grams whose weights are sent to the scoring tasks
@@ -61,19 +61,18 @@ def model_code(name: str) -> int:
     return int.from_bytes(blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_KINDS: list[np.ndarray] = []
-
-
 def _kinds() -> np.ndarray:
     """The kind of each code point; a worker keeps the table."""
-    if not _KINDS:
+
+    def make() -> np.ndarray:
         kind = {"Ll": _LOWER, "Lu": _UPPER, "Lt": _UPPER, "Nd": _DIGIT, "Nl": _DIGIT, "No": _DIGIT, "Zs": _BLANK}
         letters = {"Lm", "Lo", "Mn", "Mc"}
         of = lambda c: kind.get(c, _OTHER if c in letters else _MARK)
         table = np.fromiter((of(unicodedata.category(chr(i))) for i in range(0x110000)), np.uint8, 0x110000)
         table[[9, 11, 12, 13]], table[[10, 0x85, 0x2028, 0x2029]] = _BLANK, _LINE
-        _KINDS.append(table)
-    return _KINDS[0]
+        return table
+
+    return held("kinds of characters", make)
 
 
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwake.llm.common import give_back, held
+
 # Character classes.
 S, W, A, N, T, R, V, L, E, X, O, END = range(12)
 # States: what the last character was part of. SP/SPN end in a blank, WS/WSN in other white space (first of its run or
@@ -34,7 +36,7 @@ BEFORE, BACK = 1, 2  # a boundary before this character; one before the previous
 # Unicode White_Space without the blank.
 WHITE = [9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CHUNK = 512
-GROUP_BYTES = 2_000_000  # read at once
+GROUP_BYTES = 1_000_000  # read at once
 STATES_KEPT = 300_000
 LONG_BYTES = 4096  # words of more are read by chunks
 WARM_BYTES = 64  # read before a chunk to guess its entry state
@@ -183,18 +185,19 @@ class Vocabulary:
             self.merges[i, j], self.made[k] = rank, (i, j, rank)
         if any(bytes((b,)) not in self.ids for b in range(256)):
             raise ValueError("not a byte-level vocabulary")
-        self.beginnings = {t[:n] for t in self.ids for n in range(1, len(t))}
+        self.beginnings = {b: b for b in (t[:n] for t in self.ids for n in range(1, len(t)))}  # states share them
         self.sizes = np.zeros(max([*self.ids.values(), *self.special.values()]) + 1, np.int64)
         for t, i in self.ids.items():
             self.sizes[i] = len(t)
-        self._known: dict[tuple[int, int], bool] = {}
+        self._known: dict[int, bool] = {}
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' text is the two tokens: no earlier merge would have crossed the cut.
 
         Their merges are undone from the latest to the earliest, the right one first among equals, as merging goes from the left.
         """
-        found = self._known.get((left, right))
+        pair = left << 32 | right
+        found = self._known.get(pair)
         if found is not None:
             return found
         if len(self._known) > 4 * STATES_KEPT:
@@ -214,7 +217,7 @@ class Vocabulary:
                 a, before = self.made[a][1], rank_a
             else:
                 b, before = self.made[b][0], rank_b + 1
-        self._known[left, right] = found
+        self._known[pair] = found
         return found
 
 
@@ -238,6 +241,7 @@ class Transducer:
     def clear(self) -> None:
         self.states, self.tokens = [None, _START], np.full(1024, -1, np.int64)
         self.numbers = {_START: 1}
+        self.places: dict[tuple[int, int], tuple[int, int]] = {}  # states share these too
         self.bits, self.n = 16, 0
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
 
@@ -254,7 +258,7 @@ class Transducer:
         while cut < len(x) and x[cut:] not in v.beginnings:
             cut += 1
         kept = [(p[0], p[1] - emitted) if p is not None and x[cut + i :] in v.beginnings else None for i, p in enumerate(places[cut:])]
-        state = (x[cut:], (*kept, (token, 0)))
+        state = (v.beginnings.get(x[cut:], b""), tuple(p and self.places.setdefault(p, p) for p in (*kept, (token, 0))))
         number = self.numbers.get(state)
         if number is None:
             number = self.numbers[state] = len(self.states)
@@ -449,14 +453,9 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-_MACHINES: dict[str, Machine] = {}
-
-
 def machine(path: str) -> Machine:
     """The worker's machine for a vocabulary file; the workers of an executor keep it between batches."""
-    if path not in _MACHINES:
-        _MACHINES[path] = Machine(path)
-    return _MACHINES[path]
+    return held(("machine", path), lambda: Machine(path))
 
 
 def count_batch(texts: list[str], vocabulary: str) -> list[int]:
@@ -477,6 +476,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
         for batch in batches:
             n, _ = m.encode(batch.column(1), want_ids=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
+            give_back()
 
     x = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     kind = docs.schema[id_col].dataType.simpleString()

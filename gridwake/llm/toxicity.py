@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwake.llm.common import materialize
+from gridwake.llm.common import held, materialize
 
 TOXIC_ROWS = 3000  # labelled rows of either kind that are used for training
 ORDINARY_ROWS = 6000
@@ -115,15 +115,9 @@ class Distance:
         return sum(map(self.gain, found)) / math.sqrt(len(found) + 10) if self.toxic else 0.0
 
 
-_DISTANCES: dict[bytes, Distance] = {}
-
-
 def _distance(contents: tuple[list[bytes], list[bytes]]) -> Distance:
     key = xxhash.xxh3_128_digest(b"".join(contents[0] + contents[1]))
-    if key not in _DISTANCES:
-        _DISTANCES.clear()
-        _DISTANCES[key] = Distance(*contents)
-    return _DISTANCES[key]
+    return held(("distance", key), lambda: Distance(*contents))
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int) -> tuple[DataFrame, dict[int, int]]:
