@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,9 @@ BEFORE, BACK = 1, 2  # a boundary before this character; one before the previous
 # Unicode White_Space without the blank.
 WHITE = [9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CHUNK = 512
-GROUP_BYTES = 1_000_000  # read at once
-STATES_KEPT = 300_000
+GROUP_BYTES = 250_000  # read at once
+STATES_KEPT = 200_000
+PAIRS_KEPT = 100_000  # of tokens, known to stay apart or not
 LONG_BYTES = 4096  # words of more are read by chunks
 WARM_BYTES = 64  # read before a chunk to guess its entry state
 BLOCK_BYTES = 1 << 18
@@ -185,7 +187,8 @@ class Vocabulary:
             self.merges[i, j], self.made[k] = rank, (i, j, rank)
         if any(bytes((b,)) not in self.ids for b in range(256)):
             raise ValueError("not a byte-level vocabulary")
-        self.beginnings = {b: b for b in (t[:n] for t in self.ids for n in range(1, len(t)))}  # states share them
+        self.texts = sorted({b"", *(t[:n] for t in self.ids for n in range(1, len(t)))})
+        self.beginnings = {t: i for i, t in enumerate(self.texts)}  # of tokens, the empty one too; states hold their numbers
         self.sizes = np.zeros(max([*self.ids.values(), *self.special.values()]) + 1, np.int64)
         for t, i in self.ids.items():
             self.sizes[i] = len(t)
@@ -200,7 +203,7 @@ class Vocabulary:
         found = self._known.get(pair)
         if found is not None:
             return found
-        if len(self._known) > 4 * STATES_KEPT:
+        if len(self._known) >= PAIRS_KEPT:
             self._known.clear()
         a, b, before = left, right, len(self.merges)
         while True:
@@ -221,7 +224,6 @@ class Vocabulary:
         return found
 
 
-_START = (b"", ((-1, 0),))
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _BIAS = 1 << 19
 
@@ -231,7 +233,8 @@ class Transducer:
 
     A state is a suffix and, for each place in it from which a token may still begin, the last token of the encoding up to there and the
     number of tokens there less that at the end. The next token is the longest one that ends at the next byte and stays apart
-    from the last token before it; there is exactly one such token.
+    from the last token before it; there is exactly one such token. A worker has many states, so each is one string of bytes: the number of
+    its suffix and for each place the number of that pair, or 0.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
@@ -239,26 +242,27 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.states, self.tokens = [None, _START], np.full(1024, -1, np.int64)
-        self.numbers = {_START: 1}
-        self.places: dict[tuple[int, int], tuple[int, int]] = {}  # states share these too
+        self.places, self.place_numbers = [None, (-1, 0)], {(-1, 0): 1}
+        start = array("I", (0, 1)).tobytes()
+        self.states, self.tokens = [b"", start], np.full(1024, -1, np.int32)
+        self.numbers = {start: 1}
         self.bits, self.n = 16, 0
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
 
     def _compile(self, key: int) -> int:
         """The transition of a state and a byte: target, and emitted tokens plus _BIAS in the lower 20 bits."""
-        (suffix, places), v = self.states[key >> 8], self.vocabulary
-        x = suffix + bytes((key & 255,))
+        v, (suffix, *places) = self.vocabulary, array("I", self.states[key >> 8])
+        x, places = v.texts[suffix] + bytes((key & 255,)), [self.places[p] for p in places]
         for at in range(len(x)):
             token = v.ids.get(x[at:])
             if token is not None and places[at] is not None and (places[at][0] < 0 or v.stay_apart(places[at][0], token)):
                 break
         emitted = places[at][1] + 1
         cut = 0
-        while cut < len(x) and x[cut:] not in v.beginnings:
+        while x[cut:] not in v.beginnings:
             cut += 1
         kept = [(p[0], p[1] - emitted) if p is not None and x[cut + i :] in v.beginnings else None for i, p in enumerate(places[cut:])]
-        state = (v.beginnings.get(x[cut:], b""), tuple(p and self.places.setdefault(p, p) for p in (*kept, (token, 0))))
+        state = array("I", (v.beginnings[x[cut:]], *map(self._place, kept), self._place((token, 0)))).tobytes()
         number = self.numbers.get(state)
         if number is None:
             number = self.numbers[state] = len(self.states)
@@ -268,18 +272,27 @@ class Transducer:
             self.tokens[number] = token
         return number << 20 | emitted + _BIAS
 
+    def _place(self, place: tuple[int, int] | None) -> int:
+        """The number of a place's token and count."""
+        if place is None:
+            return 0
+        number = self.place_numbers.setdefault(place, len(self.places))
+        if number == len(self.places):
+            self.places.append(place)
+        return number
+
     def _slots(self, key: np.ndarray) -> np.ndarray:
         return ((key.view(np.uint64) * _HASH) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def _add(self, keys: np.ndarray) -> None:
-        """Compile new transitions and put them into the table, which is kept at most half full."""
+        """Compile new transitions and put them into the table, which is kept at most three quarters full."""
         self._put(keys, np.fromiter(map(self._compile, keys.tolist()), np.int64, len(keys)))
 
     def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        if 2 * (self.n + len(keys)) > 1 << self.bits:
+        if 4 * (self.n + len(keys)) > 3 << self.bits:
             old = self.keys >= 0
             keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
-            while 2 * len(keys) > 1 << self.bits:
+            while 4 * len(keys) > 3 << self.bits:
                 self.bits += 1
             self.keys, self.values, self.n = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), 0
         self.n += len(keys)
@@ -362,8 +375,10 @@ class Transducer:
         """The state's number after old states have been given up, if there are many."""
         if len(self.states) <= STATES_KEPT:
             return state
-        kept, token = self.states[state], self.tokens[state]
+        (suffix, *places), token = array("I", self.states[state]), self.tokens[state]
+        places = [self.places[p] for p in places]
         self.clear()
+        kept = array("I", (suffix, *(self._place(p) for p in places))).tobytes()
         if kept in self.numbers:
             return self.numbers[kept]
         self.numbers[kept] = len(self.states)
@@ -417,7 +432,7 @@ class Machine:
         """The number of tokens of each text and, if wanted, all their ids in a row."""
         data, offsets = utf8(texts)
         where, special = self._segments(data.tobytes(), offsets)
-        counts, ids = np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)]
+        counts, ids = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
         first = 0
         while first < len(where) - 1:
             past = max(first + 1, int(np.searchsorted(where, where[first] + GROUP_BYTES, "right")) - 1)
@@ -427,7 +442,7 @@ class Machine:
             segment = np.searchsorted(cut - cut[0], start, "right") - 1
             plain = own[segment] < 0
             start, size, segment = start[plain], size[plain], segment[plain]
-            last = np.full(len(part), -1, np.int64) if want_ids else None
+            last = np.full(len(part), -1, np.int32) if want_ids else None
             n = np.bincount(segment, self.transducer.read(part, start, size, last), past - first).astype(np.int64) + (own >= 0)
             counts += np.bincount(np.searchsorted(offsets, cut[:-1], "right") - 1, n, len(texts)).astype(np.int64)
             if last is not None:
