@@ -43,9 +43,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in windows of 2048 tokens."""
+    """Pieces in windows of 2048 tokens. Executors that ran the other stages have little memory left, so the tokenizer is small."""
     ship.to_executors(spark)
-    return packing.pack(docs, VOCABULARY, keep_ids=False)
+    return packing.pack(docs, VOCABULARY, keep_ids=False, small=True)
 
 
 STAGES = [("quality", good), ("toxicity", clean), ("near_duplicates", distinct), ("mixing", mix), ("packing", pack)]

@@ -92,7 +92,7 @@ def best_fit_plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[in
     return plan
 
 
-def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", small: bool = False) -> DataFrame:
     """Tokenize each text, add end_id and cut the ids into full windows and a rest.
 
     Returns (doc_id, start, length, doc_tokens, ids_crc32) and, with keep_ids, the ids themselves.
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int =
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = machine(vocabulary)
+        m = machine(vocabulary, small)
         for batch in batches:
             counts, ids = m.encode(batch.column(1), want_ids=True)
             total = counts + 1
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int =
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut, T.StructType(fields))
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", small: bool = False) -> DataFrame:
     """Pack all documents into windows of `window` tokens by best-fit decreasing; one row for each piece.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with keep_ids, ids. Each token lies in exactly one
@@ -135,18 +135,20 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     the histogram of lengths, of `window` rows at most, is planned on the driver, and each piece finds its run in the plan.
 
     Null and empty texts give one piece with end_id alone. Repeated rows and null ids are documents of their own. An empty
-    table gives no rows. Other columns are not read.
+    table gives no rows. Other columns are not read. With `small`, workers tokenize in less memory and more time.
     """
     spark = docs.sparkSession
     # Written first: a range shuffle reads its input twice, and texts are to be tokenized once.
-    cut = materialize(pieces(docs, vocabulary, window, end_id, keep_ids, id_col, text_col))
+    cut = materialize(pieces(docs, vocabulary, window, end_id, keep_ids, id_col, text_col, small))
     placed = numbered(cut, [F.desc("length"), F.asc("doc_id"), F.asc("start"), F.asc("ids_crc32")])
     counts = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `window` rows at most
     plan, before, seen = best_fit_plan(counts, window), {}, 0
     for length in sorted(counts, reverse=True):
         before[length], seen = seen, seen + counts[length]
     rows = [(length, before[length] + rank, before[length] + rank + n, first, each, offset) for length, rank, n, first, each, offset in plan]
-    runs = spark.createDataFrame(rows, "run_length long, lo long, hi long, first_window long, each long, run_offset long")
+    # As an Arrow table: from a list, Spark would start a second set of Python workers in every executor.
+    names = ["run_length", "lo", "hi", "first_window", "each", "run_offset"]
+    runs = spark.createDataFrame(pa.table(list(np.array(rows, np.int64).reshape(-1, len(names)).T), names=names))
     at = (F.col("length") == F.col("run_length")) & (F.col("row_no") >= F.col("lo")) & (F.col("row_no") < F.col("hi"))
     k = F.col("row_no") - F.col("lo")
     sequence = (F.col("first_window") + F.floor(k / F.col("each"))).cast("long")
