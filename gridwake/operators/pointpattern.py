@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridwake.functions.scalar import EARTH_KM, haversine_km, unit_vector
 from gridwake.operators.grid import at_least_percentile
 from gridwake.operators.neighbors import nearest_neighbour, offsets, planar_pairs
-from gridwake.tables import connected, materialize, small
+from gridwake.tables import connected, materialize, met, small
 
 CELL_SIDE, SERIES = 0.4, 12  # cells of the density in bandwidths, and terms of its series along each axis
 BLOCK_CELLS = 20  # eight bandwidths
@@ -209,15 +209,15 @@ class _Space:
         lon, lat, lon2, lat2 = (F.col(f"{p}{n}") for p in (a, b) for n in ("longitude", "latitude"))
         return haversine_km(lon, lat, lon2, lat2) <= self.eps if self.sphere else F.sqrt(F.pow(lon - lon2, 2) + F.pow(lat - lat2, 2)) <= self.eps
 
-    def around(self, points: DataFrame, others: DataFrame, keep: list[str]) -> DataFrame:
-        """Each point with the others within eps, itself too if among them, from the cells around; `keep` names columns of the others, prefixed with o_."""
-        left = points.withColumn("_o", F.explode(offsets(self.dims, 2))).withColumns({c: F.col(c) + F.col("_o")[i] for i, c in enumerate(self.c)})
+    def around(self, points: DataFrame, others: DataFrame, n: int, keep: list[str]) -> DataFrame:
+        """Each point with the n others within eps, itself too if among them, from the cells around; `keep` names columns of the others, prefixed with o_."""
+        left = points.select("id", "longitude", "latitude", *self.c, F.explode(offsets(self.dims, 2)).alias("_o")).withColumns({c: F.col(c) + F.col("_o")[i] for i, c in enumerate(self.c)})
         right = others.select(*self.c, *[F.col(n).alias(f"o_{n}") for n in ("longitude", "latitude", *keep)])
-        return left.join(right, self.c).where(self.near("", "o_"))
+        return left.join(met(right, n), self.c).where(self.near("", "o_"))
 
 
-def _linked_cells(spots: DataFrame, nodes: DataFrame, space: _Space) -> DataFrame:
-    """(a, b): the pairs of cells' nodes with core points within eps of each other, one for each pair of cells.
+def _linked_cells(spots: DataFrame, nodes: DataFrame, n: int, space: _Space) -> DataFrame:
+    """(a, b): the pairs of cells' nodes with core points within eps of each other, one for each pair of cells. There are at most n nodes and n spots.
 
     Boxes around the core points of two cells decide most pairs: the greatest distance within eps links them, the least over eps parts them. Boxes with
     few places are settled by their points; the rest are halved and compared again, so that two crowded cells never meet point by point.
@@ -239,24 +239,26 @@ def _linked_cells(spots: DataFrame, nodes: DataFrame, space: _Space) -> DataFram
         return F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
 
     named = nodes.select(*[F.col(x).alias(f"_s{i}") for i, x in enumerate(c)], "node")
-    side = {p: boxes(0, p).join(named.withColumnsRenamed({f"_s{i}": f"{p}s{i}" for i in range(space.dims)}), parts(p)).withColumnRenamed("node", n) for p, n in (("l", "a"), ("r", "b"))}
+    side = {p: boxes(0, p).join(met(named.withColumnsRenamed({f"_s{i}": f"{p}s{i}" for i in range(space.dims)}), n), parts(p)).withColumnRenamed("node", end) for p, end in (("l", "a"), ("r", "b"))}
     ahead = side["l"].withColumn("_o", F.explode(offsets(space.dims, 2))).withColumns({f"rs{i}": F.col(f"ls{i}") + F.col("_o")[i] for i in range(space.dims)}).drop("_o")
-    open_pairs, found, level = materialize(ahead.join(side["r"], parts("r")).where("a < b")), [], 0
+    open_pairs, found, level = materialize(ahead.join(met(side["r"], n), parts("r")).where("a < b")), [], 0
+    pairs = open_pairs.count()
     while True:
-        met = open_pairs.where(spread(False) <= r * (1 + 1e-9))
-        sure = met.where(spread(True) <= r * (1 - 1e-9)).select("a", "b").distinct()
-        open_pairs = materialize(met.join(sure, ["a", "b"], "left_anti"))
+        close = open_pairs.where(spread(False) <= r * (1 + 1e-9))
+        sure = close.where(spread(True) <= r * (1 - 1e-9)).select("a", "b").distinct()
+        open_pairs = materialize(close.join(met(sure, pairs), ["a", "b"], "left_anti"))
         few = open_pairs.where(F.col("ln") * F.col("rn") <= PAIRS)
         at = {p: spots.select("longitude", "latitude", *[F.floor(F.col(x) / space.side * 2**level).cast("long").alias(f"{p}s{i}") for i, x in enumerate(u)]).withColumnsRenamed({"longitude": f"{p}longitude", "latitude": f"{p}latitude"}) for p in "lr"}
-        settled = few.select("a", "b", *parts("l"), *parts("r")).join(at["l"], parts("l")).join(at["r"], parts("r")).where(space.near("l", "r")).select("a", "b").distinct()
+        settled = few.select("a", "b", *parts("l"), *parts("r")).join(met(at["l"], n), parts("l")).join(met(at["r"], n), parts("r")).where(space.near("l", "r")).select("a", "b").distinct()
         found.append(materialize(sure.union(settled)))
-        many = open_pairs.where(F.col("ln") * F.col("rn") > PAIRS).join(found[-1], ["a", "b"], "left_anti").select("a", "b", *parts("l"), *parts("r"))
+        many = open_pairs.where(F.col("ln") * F.col("rn") > PAIRS).join(met(found[-1], pairs), ["a", "b"], "left_anti").select("a", "b", *parts("l"), *parts("r"))
         level += 1
         for p in "lr":
             finer = boxes(level, p).withColumns({f"_{x}": F.shiftright(x, 1) for x in parts(p)})
-            many = many.withColumnsRenamed({x: f"_{x}" for x in parts(p)}).join(finer, [f"_{x}" for x in parts(p)]).drop(*[f"_{x}" for x in parts(p)])
+            many = many.withColumnsRenamed({x: f"_{x}" for x in parts(p)}).join(met(finer, n), [f"_{x}" for x in parts(p)]).drop(*[f"_{x}" for x in parts(p)])
         open_pairs = materialize(many)
-        if open_pairs.isEmpty():
+        pairs = open_pairs.count()
+        if not pairs:
             return functools.reduce(DataFrame.union, found).distinct()
 
 
@@ -270,20 +272,22 @@ def dbscan(points: DataFrame, eps: float = 150.0, min_samples: int = 6, metric:
     """
     space = _Space(eps, metric)
     p = materialize(space.place(points, rank))
+    n = p.count()
     sizes = p.groupBy(*space.c).agg(F.count("*").alias("n"))
-    sized = materialize(p.join(sizes, space.c))
+    sized = materialize(p.join(met(sizes, n), space.c))
     sparse = sized.where(F.col("n") < min_samples).drop("n")
-    crowd = space.around(sparse, p, []).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
-    cores = materialize(sized.where(F.col("n") >= min_samples).drop("n").unionByName(sparse.join(crowd, "id", "left_semi")))
+    crowd = space.around(sparse, p, n, []).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
+    cores = materialize(sized.where(F.col("n") >= min_samples).drop("n").unionByName(sparse.join(met(crowd, n), "id", "left_semi")))
+    k = cores.count()
     nodes = materialize(cores.groupBy(*space.c).agg(F.min("id").alias("node")))
     spots = materialize(cores.select("longitude", "latitude", *space.u).distinct())
-    joined = connected(_linked_cells(spots, nodes, space))
-    roots = materialize(nodes.join(joined, nodes["node"] == joined["id"], "left").select(*space.c, F.coalesce("root", "node").alias("root")))
+    joined = connected(_linked_cells(spots, nodes, k, space))
+    roots = materialize(nodes.join(met(joined, k), nodes["node"] == joined["id"], "left").select(*space.c, F.coalesce("root", "node").alias("root")))
     numbers = ranked(roots.select("root").distinct(), [F.asc("root")], "_number").select("root", (F.col("_number") - 1).cast("int").alias("cluster_id"))
-    of_core = materialize(cores.join(roots, space.c).join(numbers, "root").select("id", "longitude", "latitude", *space.c, "cluster_id"))
-    border = space.around(sparse.join(cores, "id", "left_anti"), of_core, ["cluster_id"]).groupBy("id").agg(F.min("o_cluster_id").alias("cluster_id"))
+    of_core = materialize(cores.join(met(roots, k), space.c).join(met(numbers, k), "root").select("id", "longitude", "latitude", *space.c, "cluster_id"))
+    border = space.around(sparse.join(met(cores, k), "id", "left_anti"), of_core, k, ["cluster_id"]).groupBy("id").agg(F.min("o_cluster_id").alias("cluster_id"))
     label = of_core.select("id", "cluster_id").unionByName(border).withColumnRenamed("id", "_id")
-    out = points.join(label, F.col(rank) == F.col("_id"), "left").drop("_id").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
+    out = points.join(met(label, n), F.col(rank) == F.col("_id"), "left").drop("_id").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
     return out.withColumn("is_noise", F.col("cluster_id") < 0)
 
 

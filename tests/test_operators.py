@@ -277,6 +277,37 @@ def test_pixel_clusters(spark):
     assert [x.cluster_id for x in r] == want.tolist() and want.max() >= 3 and (want < 0).any()
 
 
+def executions(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {runs.apply(i).executionId() for i in range(runs.size())}
+
+
+def broadcast_rows(spark, runs):
+    """Rows of each broadcast of the given SQL executions."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    for run in sorted(runs):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            each = [metrics.apply(i) for i in range(metrics.size())] if node.name() == "BroadcastExchange" else []
+            out += [int(values.get(m.accumulatorId()).get().replace(",", "")) for m in each if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return out
+
+
+def test_dbscan_keeps_tables_from_the_driver(spark):
+    """Many points far apart and three chains: their compressed tables look small, but only those with few rows are to be broadcast."""
+    n, chain = 70_000, F.col("id") - 70_000
+    far = [(F.col("id") % 400) * 0.5, F.floor(F.col("id") / 400) * 0.5]
+    at = [F.when(F.col("id") < n, x).otherwise(y) for x, y in zip(far, (-50 + chain % 20 * 0.04, -50 + F.floor(chain / 20)))]
+    xy = spark.range(n + 60).select((F.col("id") + 1).alias("hotspot_rank"), at[0].alias("longitude"), at[1].alias("latitude"))
+    before = executions(spark)
+    got = labels(pointpattern.dbscan(xy, 0.05, 3, "planar"))
+    assert [got[i] for i in sorted(got)] == [-1] * n + [0] * 20 + [1] * 20 + [2] * 20
+    sent = broadcast_rows(spark, executions(spark) - before)
+    assert sent and max(sent) <= 1 << 16
+
+
 def test_nearest_and_ripley_small(spark):
     one = pointpattern.nearest_neighbour_ratio(points(spark, [(0, 0)])).first()
     assert (one.observed_km, one.expected_km, one.ratio) == (0, 0, None)
